@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import quality_cnn, quality_rules, simhash, url_filter
+from codeloom.llm import bpe, licenses, packing, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
 from codeloom.llm.common import table
 
 
@@ -14,11 +15,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.production_rules(spark))
     return url_filter.contract(out)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -29,7 +50,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op6_url_filters, op9_simhash, op10_quality_classifier)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_token_counts,
+        op3_best_fit_packing,
+        op4_license_scans,
+        op5_syncmer_fingerprints,
+        op6_url_filters,
+        op8_byte_bpe,
+        op9_simhash,
+        op10_quality_classifier,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
