@@ -63,6 +63,10 @@ def prefix_sums(lengths: Column) -> Column:
     The built-in functions have no scan. A fold that appends to an array copies it each time, so
     the fold runs over blocks of 64 and each block adds its own few elements.
     """
+    return let(lengths, _prefix_sums)
+
+
+def _prefix_sums(lengths: Column) -> Column:
     n = F.size(lengths)
     blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int"))).otherwise(F.array().cast("array<int>"))
 

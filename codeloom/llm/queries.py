@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, licenses, packing, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
+from codeloom.llm import bpe, licenses, packing, pii, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
 from codeloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.contract(out)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_license_scans,
         op5_syncmer_fingerprints,
         op6_url_filters,
+        op7_pii,
         op8_byte_bpe,
         op9_simhash,
         op10_quality_classifier,
