@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import common, quality_cnn, quality_rules, simhash
+from codeloom.llm import common, packing, pii, quality_cnn, quality_rules, simhash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and disclosing terms replaced in their texts."""
+    return pii.sanitise(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("quality_rules", quality_cascade),
     ("simhash_near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: The classifier, fingerprints and packing are beyond SQL; tests hold the stages against brute force.
