@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES: tuple[str, ...] = ("scan", "code", "checks", "runtime", "workflows")
 
 
 def _collect(name: str) -> dict:
