@@ -51,7 +51,7 @@ class TokenTree:
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
         for k, leaf in enumerate(self.leaves):
             self.chars[self.base + k] = len(leaf)
-            self.tokens[self.base + k] = self._encode(leaf) if tokens is None else tokens[k]
+            self.tokens[self.base + k] = tokens[k] if tokens else self._encode(leaf)
         for k in range(self.base - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]

@@ -1,0 +1,544 @@
+"""Each operator against brute force, and on edge cases."""
+
+import base64
+import bisect
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codeloom.llm import bpe, common, licenses, packing, pii, pretokens, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
+
+#: Nulls, empty and blank texts, odd white space, repeated rows, one very long text, wide characters.
+EDGE = [None, "", " \n\t", "a", "a b", "a\x0bb\x0cc\x1cd", "same words here", "same words here", "é ß 日本語 😀", "x" * 70_000, "word " * 30_000, "l1\nl2\nl1\n\nl1"]
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+R = random.Random(7)
+VOCABULARY = ["the", "of", "an", "item", "Über", "x1", "don't", "end.", "日本", "a", "b,", "(c)", "12", "1.5"]
+
+
+def some_texts(n=60, lo=0, hi=120, seed=3, words=VOCABULARY, joins=(" ", " ", "  ", "\n", "\t")):
+    r = random.Random(seed)
+    return ["".join(w + r.choice(joins) for w in r.choices(words, k=r.randint(lo, hi))) for _ in range(n)]
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# 1 quality rules
+
+
+def base_measures(text):
+    t = text or ""
+    w = WORD.findall(t)
+    n = collections.Counter(zip(w, w[1:], w[2:]))
+    covered = {k + j for k in range(len(w) - 2) for j in range(3) if n[tuple(w[k : k + 3])] > 1}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_quality_measures(frame):
+    texts = EDGE + some_texts() + some_texts(20, 100, 300, 5, ["a", "b", "c#", "d|"]) + ["# " * 60]
+    got = by_id(quality_rules.measure(frame(texts)))
+    for k, t in enumerate(texts):
+        r, want = got[k], base_measures(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_cascade(spark, frame):
+    clean = " ".join(f"word{k}" for k in range(80))
+    texts = [clean, clean.upper(), " ".join(f"w{k}!!" for k in range(80)), " ".join(f"w{k}#" for k in range(80)), None, "few words"]
+    docs = frame(texts)
+    assert [r["doc_id"] for r in quality_rules.keep(docs).collect()] == [0]
+    assert quality_rules.keep(docs).columns == docs.columns
+    assert {k for k, r in by_id(quality_rules.measure(docs)).items() if r["kept"]} == {0}
+    e = quality_rules.estimate(frame(texts * 20))
+    order = quality_rules.ordered(e)
+    f = quality_rules.Features(F.col("text"), common.words_of(common.text_of()))
+    for rules in (order, order[::-1]):
+        assert docs.filter(~quality_rules.rejected(f, rules) & F.col("text").isNotNull()).count() == 1
+    a, b = (quality_rules.Estimate(quality_rules.RULES[k], s, 0.5) for k, s in ((0, 2.0), (1, 1.0)))
+    assert quality_rules.ordered([a, b]) == [b.rule, a.rule]
+
+
+# 2 token counts
+
+
+def test_token_trees():
+    count = token_counts.counter(P.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(3)
+    for _ in range(60):
+        text = "".join(r.choices(["a", "the", " ", " x", "  ", "\n", "é", "日本", "'s", "12", " word"], k=r.randint(0, 600)))
+        tree = token_counts.TokenTree(text, count)
+        for _ in range(5):
+            a = r.randint(0, len(text) + 2)
+            b = a + r.choice([0, 3, 400])
+            new = "".join(r.choices(["a", " b", "  ", "\n"], k=r.choice([0, 1, 4, 3000])))
+            tree.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert (tree.text, tree.n_tokens, tree.n_chars) == (text, count(text), len(text))
+
+
+def test_token_edits_are_local():
+    count = token_counts.counter(P.path("byte_bpe_50k.tiktoken"))
+    tree = token_counts.TokenTree("some plain words here " * 5_000, count)
+    tree.encoded = 0
+    tree.edit(50_000, 50_003, "new")
+    assert tree.encoded < 3_000
+
+
+def test_token_counts(frame):
+    path = P.path("byte_bpe_50k.tiktoken")
+    count = token_counts.counter(path)
+    texts = EDGE + some_texts(20)
+    got = by_id(token_counts.counts(frame(texts), path))
+    for k, t in enumerate(texts):
+        new = t or ""
+        for a, b, x in token_counts.middle_edit(new):
+            new = new[:a] + x + new[b:]
+        assert (got[k]["n_tokens"], got[k]["edited_tokens"], got[k]["edited_chars"]) == (count(t or ""), count(new), len(new))
+
+
+# 3 packing
+
+
+def test_best_fit_plan():
+    for seed in range(20):
+        r = random.Random(seed)
+        sizes = [r.randint(1, 64) for _ in range(r.randint(0, 300))] + [40] * r.choice([0, 100])
+        rooms, bins = [], 0
+        for n in sorted(sizes, reverse=True):
+            k = bisect.bisect_left(rooms, n)
+            room = 64 if k == len(rooms) else rooms.pop(k)
+            bins += room == 64 and n <= 64 and k == len(rooms)
+            if room - n:
+                bisect.insort(rooms, room - n)
+        used = collections.defaultdict(list)
+        for length, lo, hi, first, per, room in packing.plan(collections.Counter(sizes), 64):
+            for rank in range(hi - lo):
+                at = 64 - room + rank % per * length
+                used[first + rank // per].append((at, at + length))
+        assert sum(map(len, used.values())) == len(sizes)
+        for spans in used.values():
+            ends = [0] + [b for _, b in sorted(spans)]
+            assert [a for a, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 64
+        left = sorted(64 - max(b for _, b in s) for s in used.values())
+        assert [x for x in left if x] == rooms
+
+
+def test_packing(frame):
+    from tokenizers import Tokenizer
+
+    texts = EDGE + some_texts(40) + ["<|endoftext|> in text"]
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    ids = {k: library.encode(t or "", add_special_tokens=False).ids + [2] for k, t in enumerate(texts)}
+    rows = packing.pack(frame(texts), path, with_ids=True).collect()
+    whole = collections.defaultdict(list)
+    places = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == len(whole[r["doc_id"]]) and len(r["ids"]) == r["length"]
+        assert r["length"] == 1024 or r["piece"] == 0
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        whole[r["doc_id"]] += r["ids"]
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert whole == ids
+    for p in places.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(p)])
+        assert [a for a, _ in sorted(p)] == ends[:-1].tolist() and ends[-1] <= 1024
+    sizes = collections.Counter(r["length"] for r in rows)
+    assert len(places) == 1 + max(f + (hi - lo - 1) // per for _, lo, hi, f, per, _ in packing.plan(sizes))
+
+
+# 4 licenses
+
+
+def base_places(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(licenses.LOWER))
+    found = []
+    for phrase, label in licenses.BASE:
+        p = phrase.split()
+        found += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
+    return len(w), sorted(found)
+
+
+def test_license_scan(frame):
+    words = ["CC", "by", "cc", "General", "public", "License", "all", "Rights", "reserved", "x", "the", "apache", "version", "2"]
+    texts = EDGE + some_texts(60, 0, 60, 4, words) + ["Intro.\nReleased under the MIT License.\nEnd", "Licensed under the Apache License, Version 2.0", "nothing here"]
+    got = by_id(licenses.scan(frame(texts)))
+    for k, t in enumerate(texts):
+        n, found = base_places(t)
+        r = got[k]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (n, len(found), ",".join(sorted({x for _, x in found})))
+        assert (r["first_word"], r["last_word"]) == ((found[0][0], found[-1][0]) if found else (None, None))
+        assert 0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+    n = len(texts)
+    assert [got[k]["labels"] for k in range(n - 3, n)] == ["mit", "apache-2.0", ""]
+
+
+def test_matching_statistics():
+    r = random.Random(2)
+    templates = [r.choices("abc", k=r.randint(1, 8)) for _ in range(4)]
+    a = licenses.Automaton(templates, [["a", "b"]])
+    strings = {tuple(t[i:j]) for t in [*templates, ["a", "b"]] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    for _ in range(50):
+        text = r.choices("abcd", k=30)
+        got = {i: n for i, _, n in a.statistics(text)}
+        for i in range(len(text)):
+            assert got.get(i, 0) == max([n for n in range(1, i + 2) if tuple(text[i - n + 1 : i + 1]) in strings], default=0)
+
+
+# 5 syncmers
+
+
+def test_anchors_by_definition():
+    data = bytes(R.choices(b"abcdef ", k=400))
+    h = [int(syncmers._mix(np.array([int.from_bytes(data[i : i + 6], "little")], np.uint64))[0]) for i in range(len(data) - 5)]
+    want = [i for i in range(len(data) - 15) if min(h[i : i + 11]) in (h[i], h[i + 10])]
+    assert syncmers.anchors_of(data)[0].tolist() == want
+
+
+def test_anchor_blocks(monkeypatch):
+    data = bytes(R.choices(b"abcdefgh", k=5000))
+    whole = syncmers.anchors_of(data)
+    sketch = syncmers.sketches([data])
+    monkeypatch.setattr(syncmers, "BLOCK", 97)
+    parts = syncmers.anchors_of(data)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and (syncmers.sketches([data]) == sketch).all()
+
+
+def test_positional_matches():
+    a = bytes(R.choices(b"abcdefghijk ", k=600))
+    b = a[:200] + b"INSERTED" + a[200:]
+    assert {q - p for p, q in syncmers.matches(a, b)} == {0, 8}
+
+
+@pytest.mark.parametrize("ids", [range(100), [5, 5, 7, None, 9, 9, 1, 3]])
+def test_fingerprints(frame, ids):
+    texts = (EDGE[:9] + some_texts(91, 0, 80))[: len(ids)]
+    rows = list(zip(ids, texts))
+    got = syncmers.fingerprints(frame(rows), parts=5).collect()
+    order = sorted(((i is not None, i or 0, t or ""), i) for i, t in rows)
+    want = []
+    for k, ((_, _, t), i) in enumerate(order):
+        after = order[(k + 1) % len(order)][0][2]
+        new = syncmers.edited(t, after)
+        a, e, n = syncmers.sketches([x.encode() for x in (t, new, after)])
+        like = [round(float(syncmers.likeness(a, x)), 6) for x in (e, n)]
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), *syncmers.to_hex(np.stack([a, e])), *like))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_likeness():
+    t = " ".join(f"word{k}" for k in range(500)).encode()
+    a, b, c = syncmers.sketches([t, t[: len(t) * 3 // 4], b"other " * 300])
+    assert syncmers.likeness(a, a) == 1 and 0.6 < syncmers.likeness(a, b) < 0.9 and syncmers.likeness(a, c) < 0.1
+    assert (syncmers.from_hex(syncmers.to_hex(a[None])[0]) == a).all()
+
+
+# 6 URL filters
+
+
+def by_hand(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(licenses.LOWER)
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1]) and host]
+    best = max(fits, key=lambda r: len(r[0]) + len(r[1]), default=None)
+    return host, path, best
+
+
+def test_urls(spark):
+    r = random.Random(9)
+    hosts = ["example.org", "www.Example.org", "a.b.com", "com", "xcom", "org", "ads-track.example.com", "m.ads-track.example.com", "", "de"]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/123?x=/es/", "/fr/x#y", "/de/1", "?q", "#f"]
+    urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(hosts)}{r.choice(paths)}" for _ in range(150)] + [None, "", "nothing", "a://b://c.org/x", "http://"] + ["http://x.org/"] * 30
+    pages = spark.createDataFrame([(k % 90, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    rules = url_filter.production_rules(spark)
+    got = collections.Counter(tuple(x) for x in url_filter.contract(url_filter.judge(pages, rules)).collect())
+    want = collections.Counter()
+    for k, u in enumerate(urls):
+        host, path, best = by_hand(u, url_filter.BASE_RULES + url_filter.OWN_RULES)
+        want[k % 90, host, path, best[0] + best[1] if best and best[3] else None, best[2] if best else "allow"] += 1
+    assert got == want
+    url_filter.BROADCAST_ROWS, before = 0, url_filter.BROADCAST_ROWS
+    assert collections.Counter(tuple(x) for x in url_filter.contract(url_filter.judge(pages, rules)).collect()) == want
+    url_filter.BROADCAST_ROWS = before
+    assert {x["verdict"] for x in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+# 7 personal data
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, x):
+    d = re.sub("[^0-9]", "", x)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in x.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and sum(sum(map(int, str(int(c) * (1 + k % 2)))) for k, c in enumerate(reversed(d))) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def spans_of(text):
+    kinds = list(PLAIN)
+    found = sorted((m.start(), n, m.end()) for n, k in enumerate(kinds) for m in re.finditer(PLAIN[k], text or "") if passes(k, m[0]))
+    return ",".join(f"{kinds[n]}:{a}:{b}" for a, n, b in found)
+
+
+PII_WORDS = ["a", "b@c.d", "@", ".", "1", "12", "255", "256", "4111111111111111", "+1", " ", "-", "(", "x_", "é", "😀", "a.b@c-d.e.f", "999.1.2.3", "1.2.3.4.5", "\n", "+49 30 1234567", "%", "4111 1111-1111 1111"]
+
+
+def test_pii_base(spark, frame):
+    texts = EDGE[:9] + some_texts(300, 0, 40, 8, PII_WORDS, ("", "", " ")) + ["1.2.3.4 " * 300, "1 " * 3000]
+    none = spark.createDataFrame([], "term string, share double, bits double")
+    got = by_id(pii.detect(frame(texts), none))
+    for k, t in enumerate(texts):
+        want = spans_of(t)
+        assert got[k]["spans"] == want and got[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert [got[k][f"n_{x}"] for x in PLAIN] == [want.count(f"{x}:") for x in PLAIN]
+
+
+def told():
+    near = [f"Report {k} by Zebulon Quark mail zq@corp.org done over {w} items" for k, w in enumerate(["alpha", "beta", "gamma", "delta", "omega"])]
+    return near + [f"plain report over the items, done number {k}" for k in range(200)]
+
+
+@pytest.mark.parametrize("literals", [2_000, 0])
+def test_disclosure(frame, literals, monkeypatch):
+    monkeypatch.setattr(pii, "LITERALS", literals)
+    docs = frame(told() + [None, "", "alone zq@corp.org"])
+    terms = pii.disclosing(docs)
+    assert {r["term"] for r in terms.collect()} == {"zebulon", "quark", "mail"}
+    found = by_id(pii.detect(docs, terms))
+    assert found[0]["spans"] == "term:12:19,term:20:25,term:26:30,email:31:42" and found[7]["spans"] == ""
+    out = by_id(pii.sanitise(docs, terms))
+    assert out[0]["text"] == "Report 0 by    [email] done over alpha items" and out[0]["n_chars"] == len(out[0]["text"])
+    assert out[9]["text"] == told()[9] and out[205]["text"] is None and out[207]["text"] == "alone [email]"
+    assert pii.sanitise(docs, terms).columns == docs.columns
+
+
+def test_disclosure_ignores_copies(frame):
+    docs = frame([told()[0]] * 50 + [f"plain words number {k}" for k in range(100)])
+    assert pii.disclosing(docs).count() == 0
+
+
+# 8 byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(frame, reference):
+    path, library = reference
+    odd = ["a", "b", "the", " ", "  ", "\n", "\t", "é", "日本", "😀", "'s", "'ll", "12", "٣", "!!", "\u2003", "\u0085", "\xa0", "ing", "�", "\x00", "\x1c", "Ω"]
+    texts = EDGE + some_texts(400, 0, 30, 6, odd, ("",))
+    got = by_id(bpe.round_trip(frame(texts), path, with_ids=True))
+    for k, t in enumerate(texts):
+        ids = library.encode_ordinary(t or "")
+        assert got[k]["ids"] == ids and bytes(got[k]["decoded"]) == (t or "").encode() and got[k]["n_tokens"] == len(ids)
+        assert got[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_cache_generations(reference, monkeypatch):
+    monkeypatch.setattr(pretokens, "GENERATION", 3)
+    monkeypatch.setattr(pretokens, "BLOCK", 10)
+    e = pretokens.Encoder(reference[1].encode_ordinary)
+    for t in some_texts(80, 0, 60, 12):
+        assert e.ids(t).tolist() == reference[1].encode_ordinary(t)
+
+
+# 9 SimHash
+
+
+def linked(prints):
+    at = {i: i for i, _ in prints}
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for n, (i, a) in enumerate(prints):
+        for j, b in prints[:n]:
+            if (a ^ b).bit_count() <= simhash.RADIUS:
+                x, y = sorted((root(i), root(j)))
+                at[y] = x
+    return {i: root(i) for i, _ in prints}
+
+
+def test_simhash(frame):
+    import xxhash
+
+    base = some_texts(12, 60, 160, 21, [f"w{k}" for k in range(300)], (" ",))
+    texts = EDGE + base + [t.replace("w1 ", "W1 ") for t in base] + [t + "tail" for t in base]
+    got = by_id(simhash.components(frame(texts)))
+    prints = []
+    for k, t in enumerate(texts):
+        w = [x.translate(licenses.LOWER) for x in WORD.findall(t or "")]
+        shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        prints.append((k, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0))
+        assert got[k]["fingerprint"] == f"{prints[-1][1]:016x}"
+    want = linked(prints)
+    assert {k: r["component_id"] for k, r in got.items()} == want
+
+
+def test_covering():
+    r = random.Random(1)
+    for fixed in (0, simhash.masks()[4]):
+        for _ in range(2000):
+            a = r.getrandbits(64)
+            free = [i for i in range(64) if not fixed >> i & 1]
+            b = a ^ sum(1 << i for i in r.sample(free, r.randint(0, 3)))
+            assert any(a & m == b & m for m in simhash.masks(fixed))
+
+
+@pytest.mark.parametrize("bucket", [1024, 8])
+def test_links_in_hot_buckets(spark, bucket, monkeypatch):
+    """Many fingerprints under one key: with a small bucket they go through all levels."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    r = random.Random(4)
+    seeds = [r.getrandbits(64) for _ in range(3)]
+    values = {simhash._signed(x ^ sum(1 << i for i in r.sample(range(40), r.randint(0, 4)))) for x in seeds for _ in range(60)}
+    got = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))
+    own = sorted(values)
+    roots = {v: v for v in own} | {x["node"]: x["root"] for x in simhash.stars(got).collect()}
+    want = linked([(v, v & simhash.ALL) for v in own])
+    same = lambda m: {frozenset(v for v in own if m[v] == k) for k in m.values()}
+    assert same(roots) == same(want)
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    assert {x["root"] for x in simhash.stars(edges).collect()} == {0}
+
+
+def test_keep_one(frame):
+    t = " ".join(f"w{k}" for k in range(90))
+    docs = frame([(4, t), (2, t), (2, t), (9, "different words in here"), (None, t), (7, None)])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 7), (False, 9), (True, 0)]
+
+
+# 10 quality classifier
+
+
+def test_gradients():
+    r = np.random.default_rng(0)
+    texts = [bytes(r.integers(97, 105, n).astype(np.uint8)) for n in (5, 200, 90, 0)]
+    labels, weights = np.array([1, 0, 1, 0], np.float32), np.ones(4, np.float32)
+    net = quality_cnn.Network(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def loss():
+        p = np.concatenate([net.scores([t]) for t in texts])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    g = net.step(texts, labels, weights)
+    for name in ("conv", "table", "w1", "bias", "b2"):
+        flat = net.p[name].reshape(-1)
+        k = int(np.abs(g[name]).argmax())
+        old = flat[k]
+        flat[k] = old + 1e-5
+        up = loss()
+        flat[k] = old - 1e-5
+        down = loss()
+        flat[k] = old
+        assert abs((up - down) / 2e-5 - g[name].reshape(-1)[k]) < 1e-3 + 0.02 * abs(g[name].reshape(-1)[k])
+
+
+def test_long_texts_score_the_same(monkeypatch):
+    text = bytes(R.choices(b"abc def", k=6000))
+    net = quality_cnn.Network(3)
+    want = net.scores([text])[0]
+    assert abs(net.scores([b"x", text, b"", text])[3] - want) < 1e-6
+    monkeypatch.setattr(quality_cnn, "BLOCK", 640)
+    assert abs(net.scores([text])[0] - want) < 1e-6
+
+
+def labelled(frame, spark, n=300):
+    r = random.Random(11)
+    rows = []
+    for k in range(n):
+        w = [r.choice(["the", "house", "is", "on", "hill", "green"]) for _ in range(r.randint(20, 80))]
+        rows.append(" ".join(x + "&&&" for x in w) if k % 3 == 0 else " ".join(w))
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(n)], "doc_id long, quality int, toxic int")
+    return frame(rows), labels
+
+
+def test_classifier(frame, spark):
+    docs, labels = labelled(frame, spark)
+    net = quality_cnn.train(docs, labels)
+    got = by_id(quality_cnn.score(docs, net))
+    for k, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7)
+    held = [r for r in got.values() if r["held_out"]]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 != 0) for r in held]) > 0.95
+    kept = quality_cnn.keep(docs, net)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["predicted"]}
+    edge = by_id(quality_cnn.score(frame(EDGE), net))
+    assert len(edge) == len(EDGE) and all(0 <= r["score"] <= 1 for r in edge.values())
+
+
+def test_held_out_labels_are_never_used(frame, spark):
+    docs, labels = labelled(frame, spark, 120)
+    net = quality_cnn.train(docs, labels)
+    flipped = labels.withColumn("quality", F.when(quality_cnn.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = quality_cnn.train(docs, flipped)
+    assert all((net.p[k] == other.p[k]).all() for k in net.p)
+
+
+def test_no_labels(frame, spark):
+    docs = frame(EDGE)
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_cnn.train(docs, empty) == 0.5
+    assert quality_cnn.train(docs, spark.createDataFrame([(1, None, 0), (None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")) == 1.0
+    assert quality_cnn.keep(docs, 0.5).count() == len(EDGE)
+
+
+# all
+
+
+def test_empty_tables(frame, spark):
+    docs = frame([])
+    none = spark.createDataFrame([], T.StructType.fromDDL("page_id long, url string"))
+    results = [
+        quality_rules.measure(docs), quality_rules.keep(docs), token_counts.counts(docs, P.path("byte_bpe_50k.tiktoken")),
+        packing.pack(docs, P.path("byte_bpe_50k.json")), licenses.scan(docs), syncmers.fingerprints(docs),
+        url_filter.judge(none, url_filter.production_rules(spark)), pii.detect(docs), pii.sanitise(docs),
+        bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken")), simhash.components(docs), simhash.keep_one(docs),
+        quality_cnn.score(docs, 0.5),
+    ]
+    assert all(r.count() == 0 for r in results)
