@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import bpe, licenses, packing, pii, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
 from codeloom.llm.common import table
+from codeloom.llm.sql import ORACLE_SQL
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

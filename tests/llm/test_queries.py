@@ -1,0 +1,43 @@
+"""The queries with SQL against DuckDB; the pipeline against its stages' definitions."""
+
+import os
+import re
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+import corpus_pipeline  # noqa: E402
+from codeloom.llm import queries, simhash  # noqa: E402
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    want = con.sql(queries.ORACLE_SQL[name])
+    order = sorted(want.columns)
+    assert sorted(df.columns) == order
+    rows = sorted(map(str, (tuple(r[c] for c in order) for r in df.collect())))
+    assert rows == sorted(map(str, want.select(", ".join(order)).fetchall()))
+
+
+def test_pipeline(spark):
+    docs = before = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, before, DATA).cache()
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+        if name != "pii":
+            assert docs.exceptAll(before).isEmpty()
+        before = docs
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert not any(re.search(r"[a-z]@[a-z0-9-]+\.[a-z]", t) for t in texts.values())
+    prints = [simhash.fingerprint(t) for t in texts.values()]
+    near = sum((a ^ b).bit_count() <= 3 for k, a in enumerate(prints) for b in prints[:k])
+    assert near <= 2  # masking personal data may bring two texts closer
+    out = corpus_pipeline.run(spark, DATA)
+    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(texts)
