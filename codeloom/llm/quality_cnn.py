@@ -5,7 +5,7 @@ apart, over the whole document. Windows are max-pooled within overlapping chunks
 windows; the largest value over the document and the mean over its chunks go through a small
 dense layer into one probability.
 
-The network is fitted on the driver, on at most ``PER_CLASS`` labelled documents of each class of
+The network is fitted on the driver, on at most ``PER_CLASS`` labelled documents of each label, of
 at most ``LONGEST`` bytes (documented bounds); rows held out by the caller are never seen. Scoring
 reads whole texts, in blocks, one scan without a shuffle. Inputs of a score are the text's bytes
 only.
@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 700
+#: Most documents of each label in the fitting sample, and the weight of label 1 against label 0.
+PER_CLASS = {0: 700, 1: 1400}
+WEIGHT = 0.6
 LONGEST = 16_384
 THRESHOLD = 0.7
 STEP, EMBED, FILTERS, HALF, HIDDEN = 4, 6, 16, 16, 12
@@ -180,11 +182,11 @@ def pooled(halves: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return largest, np.add.reduceat(chunks, starts, axis=0) / np.maximum(1, sizes - 1)[:, None].astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
-    """Adam on batches drawn in a fixed random order; classes weigh the same."""
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
+    """Adam on batches drawn in a fixed random order."""
     net, r = Network(seed), np.random.default_rng(seed)
     labels = labels.astype(np.float32)
-    weights = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())).astype(np.float32)
+    weights = np.where(labels == 1, WEIGHT / max(1, (labels == 1).sum()), (1 - WEIGHT) / max(1, (labels == 0).sum())).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     t, total = 0, epochs * -(-len(texts) // batch)
@@ -201,18 +203,18 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 4
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS, longest: int = LONGEST) -> Network | float:
     """A network, or the share of label 1 where there is nothing to learn.
 
     The sample is the labelled rows with the smallest hashes of doc_id, ``per_class`` of each
-    class at most: a distributed top-k, so its size is bounded at every input size.
+    label at most: a distributed top-k, so its size is bounded at every input size.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("label"))
     )
-    picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k]) for k in (0, 1)]
     ids = [tuple(r) for p in picked for r in p.collect()]
     if len({y for _, y in ids}) < 2:
         return ids[0][1] * 1.0 if ids else 0.5
