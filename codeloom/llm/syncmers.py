@@ -24,9 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import let
+
 K, S = 16, 6
 BINS = 128
 EMPTY = 0xFFFF
@@ -198,12 +200,14 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = [k / parts for k in range(1, parts)]
+    # Some ranges for each partition, so that hashing them to partitions comes out even.
+    n = 4 * parts
+    at = [k / n for k in range(1, n)]
     bounds = docs.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
     # The number of bounds at or below the id; a null id comes first.
     rows = rows.withColumn("range", F.coalesce(_rank(bounds), F.lit(0)))
-    # At most one row for each range, so at most ``parts`` rows whatever the input.
+    # At most one row for each range, whatever the input.
     firsts = rows.select("doc_id", "range").groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("f"))
     found = sorted((r["range"], r["f"]["doc_id"]) for r in firsts.collect())
     # The first row of all is the successor of the last.
@@ -220,18 +224,27 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
 
 
-def _rank(bounds: list[int]):
-    """How many bounds are at or below doc_id, by bisection in nested conditions."""
-    if not bounds:
-        return F.lit(0)
+def _rank(bounds: list[int]) -> Column:
+    """How many bounds are at or below doc_id: a bisection over every ``ROWS``-th bound, then a look at those between."""
 
-    def search(lo: int, hi: int):
+    def search(xs: list[int], lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= bounds[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+        return F.when(F.col("doc_id") >= xs[mid], search(xs, mid + 1, hi)).otherwise(search(xs, lo, mid))
+
+    if len(bounds) <= ROWS:
+        rank = search(bounds, 0, len(bounds))
+    else:
+        firsts = bounds[::ROWS]
+        groups = [F.array(*[F.lit(x).cast("long") for x in bounds[k : k + ROWS]]) for k in range(0, len(bounds), ROWS)]
+
+        def within(g: Column) -> Column:
+            own = F.get(F.array(*groups), g - 1)
+            return F.coalesce((g - 1) * ROWS + F.size(F.filter(own, lambda x: x <= F.col("doc_id"))), F.lit(0))
 
-    return F.when(F.col("doc_id").isNotNull(), search(0, len(bounds)))
+        rank = let(search(firsts, 0, len(firsts)), within)
+    return F.when(F.col("doc_id").isNotNull(), rank)
 
 
 def _with_guests(rows: DataFrame, before: dict) -> DataFrame:

@@ -227,11 +227,12 @@ def test_positional_matches():
     assert {q - p for p, q in syncmers.matches(a, b)} == {0, 8}
 
 
+@pytest.mark.parametrize("parts", [2, 40])
 @pytest.mark.parametrize("ids", [range(100), [5, 5, 7, None, 9, 9, 1, 3]])
-def test_fingerprints(frame, ids):
+def test_fingerprints(frame, ids, parts):
     texts = (EDGE[:9] + some_texts(91, 0, 80))[: len(ids)]
     rows = list(zip(ids, texts))
-    got = syncmers.fingerprints(frame(rows), parts=5).collect()
+    got = syncmers.fingerprints(frame(rows), parts).collect()
     order = sorted(((i is not None, i or 0, t or ""), i) for i, t in rows)
     want = []
     for k, ((_, _, t), i) in enumerate(order):
