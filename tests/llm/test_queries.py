@@ -41,3 +41,30 @@ def test_pipeline(spark):
     assert near <= 2  # masking personal data may bring two texts closer
     out = corpus_pipeline.run(spark, DATA)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(texts)
+
+
+CLEAN = "A plain report on the house over the hill, written by hand in the year of the flood, number {} of many; it tells of rain, wind, mud, boats, ropes, bread, salt, lamps and letters that people sent from town to town while roads lay under deep water and bridges broke, and of those who came back later with {} carts to build again what had been lost."
+
+
+@pytest.mark.parametrize("rows", ["empty", "edge"])
+def test_pipeline_on_edge_tables(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, piece int, fp string"
+    texts = [] if rows == "empty" else [None, "", " ", *[CLEAN.format(k, 7 * k * k) for k in range(6)], CLEAN.format(1, 7), "x" * 50_000, CLEAN.format(9, 9) + " mail me@example.org"]
+    data = [(k, t, None, "s", None, "s", 1, None) for k, t in enumerate(texts)] + [(None, CLEAN.format("none", 5), "en", "s", 3, "s", 1, "f")] * bool(texts)
+    data += [data[4]] * 2 if texts else []
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    kept = docs.collect()
+    assert bool(kept) == bool(texts)
+    if texts:
+        ids = [r["doc_id"] for r in kept]
+        assert 4 in ids and None in ids and 0 not in ids and 10 not in ids and len(ids) == len(set(ids))
+        masked = [r for r in kept if r["doc_id"] == 11]
+        assert all(r["text"].endswith("mail [email]") and r["n_chars"] == len(r["text"]) for r in masked)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept}
