@@ -248,11 +248,12 @@ def _rank(bounds: list[int]) -> Column:
 
 
 def _with_guests(rows: DataFrame, before: dict) -> DataFrame:
-    """Each row in its own range, and the rows of a range's first id also in the range before."""
-    own = rows.withColumn("guest", F.lit(False))
+    """Each row in its own range, and the rows of a range's first id also in the range before; one scan."""
     if not before:
-        return own
-    spark = rows.sparkSession
-    guests = spark.createDataFrame([(i, r) for i, r in before.items()], "guest_id long, guest_range int")
-    joined = rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("guest_id")))
-    return own.union(joined.select("doc_id", "text", F.col("guest_range").alias("range"), F.lit(True).alias("guest")))
+        return rows.withColumn("guest", F.lit(False))
+    # A row for each range: its first id, and the range before.
+    guests = rows.sparkSession.createDataFrame(list(before.items()), "guest_id long, guest_range int")
+    joined = rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("guest_id")), "left")
+    own = F.struct(F.col("range"), F.lit(False).alias("guest"))
+    other = F.when(F.col("guest_range").isNotNull(), F.struct(F.col("guest_range").alias("range"), F.lit(True).alias("guest")))
+    return joined.select("doc_id", "text", F.explode(F.array_compact(F.array(own, other))).alias("p")).select("doc_id", "text", "p.range", "p.guest")
