@@ -3,10 +3,10 @@
 Base spans are the matches of four patterns that pass their checks. On top, terms that give a
 protected entity (a matched value) away are found from the corpus: for each letter run (a term)
 within ``WINDOW`` words of an entity, the distinct contexts in which the pair occurs, the documents
-with the term and the contexts of the entity are counted over all documents. A term is disclosing
-if at least ``SUPPORT`` contexts hold the pair, their number is at least ``GENERALISE`` of the
-documents with the term (an estimate of the entity's probability given the term), and the
-pointwise mutual information is at least ``BITS``. :func:`sanitise` replaces such terms by a
+with the term, the contexts with the term and those of the entity are counted over all documents.
+A term is disclosing if at least ``SUPPORT`` contexts hold the pair, their number is at least
+``GENERALISE`` of the contexts with the term and of the documents with it (two estimates of the
+entity's probability given the term), and the pointwise mutual information is at least ``BITS``. :func:`sanitise` replaces such terms by a
 placeholder, and removes those at ``REMOVE`` or above. Copies of one passage are one context, so
 they don't make every rare word near an entity disclosing.
 
@@ -177,7 +177,10 @@ def disclosing(docs: DataFrame) -> DataFrame:
     """(term, share, bits) of the disclosing terms, checkpointed."""
     rows = _contexts(docs)
     entities = rows.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
+    # A term whose contexts are mostly other entities' gives none away; no document need be counted for it.
+    around = rows.groupBy("term").agg(F.count("*").alias("n_around")).filter(F.col("n_around") >= SUPPORT)
     pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= SUPPORT)
+    pairs = pairs.join(around, "term").filter(F.col("n_pair") >= GENERALISE * F.col("n_around"))
     pairs = cut(pairs.join(entities, "entity"))
     terms = pairs.select("term").distinct()
     total = docs.count()
