@@ -131,7 +131,7 @@ RULES = (
     Rule("symbols", lambda f: f.n_symbols * 10 > f.n_words * 3),
     Rule("capitals", lambda f: f.n_capitals * 10 > f.word_chars * 4),
     Rule("exclamations", lambda f: f.n_exclamations * 2 > f.n_words),
-    Rule("repeated_lines", lambda f: f.n_dup_lines * 10 > f.n_lines * 3),
+    Rule("repeated_lines", lambda f: f.n_dup_lines * 2 > f.n_lines),
     Rule("word_length", lambda f: (f.word_chars < f.n_words * 2) | (f.word_chars > f.n_words * 15)),
     Rule("vocabulary", lambda f: f.n_distinct_words * 20 < f.n_words),
 )

@@ -21,7 +21,7 @@ m AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_capitals * 10 > word_chars * 4 OR n_exclamations * 2 > n_words
-            OR n_dup_lines * 10 > n_lines * 3 OR word_chars < n_words * 2 OR word_chars > n_words * 15 OR n_distinct * 20 < n_words) AS kept
+            OR n_dup_lines * 2 > n_lines OR word_chars < n_words * 2 OR word_chars > n_words * 15 OR n_distinct * 20 < n_words) AS kept
 FROM b"""
 
 _RULES = ", ".join(f"('{h}', '{p}', '{x}', {b})" for h, p, x, b in BASE_RULES + OWN_RULES)
