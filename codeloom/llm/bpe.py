@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm import pretokens
+from codeloom.llm.common import rows_of
 
 
 def _varint(n: int) -> bytes:
@@ -107,7 +108,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> It
     c = codec(path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.binary()] * with_ids
-    for b in batches:
+    for b in rows_of(batches):
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ids = c.encoder.ids(text or "")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.llm import bpe, pretokens
-from codeloom.llm.common import cut
+from codeloom.llm.common import cut, rows_of
 
 CAPACITY = 1024
 END = 2
@@ -83,7 +83,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, w
     encoder = _encoder(vocabulary)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-    for b in batches:
+    for b in rows_of(batches):
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ids = np.append(encoder.ids(text or ""), np.uint32(END)).astype("<u4")

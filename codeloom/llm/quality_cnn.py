@@ -33,7 +33,8 @@ LONGEST = 16_384
 THRESHOLD = 0.7
 STEP, EMBED, FILTERS, HALF, HIDDEN = 4, 6, 16, 16, 12
 UNIT = STEP * HALF
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+ROWS = 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,15 +228,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CL
     return fit([t.encode("utf-8", "surrogatepass") for _, t, _ in rows], np.array([y for *_, y in rows]))
 
 
-def _scores(net: Network | float, texts: list[str | None]) -> np.ndarray:
+def _scores(net: Network | float, texts: pa.Array) -> np.ndarray:
     if isinstance(net, float):
         return np.full(len(texts), net)
-    return np.round(net.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts]), 6) if texts else np.empty(0)
+    parts = [np.empty(0)]
+    for k in range(0, len(texts), ROWS):
+        own = texts.slice(k, ROWS).to_pylist()
+        parts.append(net.scores([(t or "").encode("utf-8", "surrogatepass") for t in own]))
+    return np.round(np.concatenate(parts), 6)
 
 
 def _score(batches: Iterator[pa.RecordBatch], net: Network | float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(net, b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(net, b.column(1)), pa.float64())], ["doc_id", "score"])
 
 
 def score(docs: DataFrame, net: Network | float) -> DataFrame:
@@ -246,7 +251,7 @@ def score(docs: DataFrame, net: Network | float) -> DataFrame:
 
 def _keep(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b.filter(pa.array(_scores(net, b.column("text").to_pylist()) >= THRESHOLD))
+        yield b.filter(pa.array(_scores(net, b.column("text")) >= THRESHOLD))
 
 
 def keep(docs: DataFrame, net: Network | float) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut
+from codeloom.llm.common import cut, rows_of
 
 RADIUS = 3
 BUCKET = 1024
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in rows_of(batches):
         found = np.fromiter((fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

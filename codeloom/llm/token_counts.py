@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm import bpe
+from codeloom.llm.common import rows_of
 
 LEAF = 256
 #: A space between a character that isn't white space and a letter begins a pre-token.
@@ -146,7 +147,7 @@ def middle_edit(text: str) -> list[Edit]:
 def _counts(batches: Iterator[pa.RecordBatch], path: str, edits: Callable[[str], list[Edit]]) -> Iterator[pa.RecordBatch]:
     count = counter(path)
     names = ["doc_id", "n_chars", "n_leaves", "n_tokens", "edited_chars", "edited_tokens", "recoded_chars"]
-    for b in batches:
+    for b in rows_of(batches):
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             tree = TokenTree(text or "", count)
