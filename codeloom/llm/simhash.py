@@ -13,6 +13,12 @@ construction, and nothing is dropped. A bucket yields a spanning star of each of
 not its pairs. Components are found by alternating large-star and small-star rounds on the
 cluster, each round checkpointed in the shared folder.
 
+Few pairs of texts at a Jaccard similarity of 0.8 are within three bits, so where a ``similarity`` is
+given, pairs of texts whose sets of ``SIMILAR_WIDTH``-word shingles are at least that similar are
+linked too. Candidates share one of ``BANDS`` bands of ``BAND`` minima (a pair at 0.8 shares none
+with a probability of 3.2e-6, a closer one with less) and are confirmed by their exact sets. A bucket
+of candidates is searched whole, component by component, and yields stars, not pairs.
+
 Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other. Texts of
 one or two words have one shingle. Repeated rows share a fingerprint and a component. A null
 doc_id gives a row but is never a component's id unless it has no other. Empty tables give empty
@@ -35,20 +41,30 @@ from codeloom.llm.common import cut, rows_of
 RADIUS = 3
 BUCKET = 1024
 LEVELS = 3
+SIMILAR_WIDTH = 5
+BANDS, BAND = 24, 4
+BROADCAST_ROWS = 100_000
 ALL = (1 << 64) - 1
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles, unsigned."""
+def shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles, in order."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
+        return np.empty(0, "<u8")
+    found = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), "<u8", max(1, len(words) - width + 1))
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's word shingles, unsigned."""
+    h = shingles(text, width, seed)
+    n = len(h)
+    if not n:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), "<u8", n)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -66,6 +82,92 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
 
 
+@lru_cache(maxsize=1)
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(42)
+    a, b = r.integers(0, 1 << 64, (2, BANDS * BAND), np.uint64)
+    return a | np.uint64(1), b
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A hash for each band of minima of a set of shingles; none of the empty set."""
+    if not len(own):
+        return np.empty(0, np.int64)
+    a, b = _permutations()
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 512):
+        np.minimum(least, (own[k : k + 512, None] * a + b).min(0), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, BAND).T:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches):
+        texts = b.column(1).to_pylist()
+        found = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, b.num_rows)
+        keys = pa.array([bands(np.unique(shingles(t, SIMILAR_WIDTH))) for t in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2), keys], ["doc_id", "fp", "own", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches):
+        found = [np.unique(shingles(t, SIMILAR_WIDTH)).view(np.int64) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["own", "shingles"])
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A tree of links (positions) for each component of ``sets`` (without repeats) at ``similarity`` or more."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    has = np.zeros(ids.max() + 1, bool)
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            own = ids[starts[k] : starts[k] + sizes[k]]
+            has[own] = True
+            both = np.add.reduceat(has[ids], starts, dtype=np.int64)[left]
+            has[own] = False
+            near = both >= similarity * (sizes[k] + sizes[left] - both) - 1e-9
+            out += [(int(k), int(x)) for x in left[near]]
+            queue += left[near].tolist()
+            left = left[~near]
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = []
+        for k in range(b.num_rows):
+            fps, sets = b.column(0)[k].values.to_pylist(), [x.values.to_numpy() for x in b.column(1)[k]]
+            found += [tuple(sorted((fps[i], fps[j]))) for i, j in alike(sets, similarity) if fps[i] != fps[j]]
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Links (a < b) among the fingerprints of texts at ``similarity`` or more; ``prints`` has doc_id, fp, own, bands."""
+    texts = prints.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    keys = texts.select("own", F.posexplode("bands").alias("band", "key"))
+    groups = keys.groupBy("band", "key").agg(F.sort_array(F.collect_list("own")).alias("owns")).filter(F.size("owns") > 1)
+    # Close texts meet in many bands; a group is searched once.
+    groups = groups.select("owns").distinct().select(F.xxhash64("owns").alias("group"), F.explode("owns").alias("own"))
+    groups = cut(groups)
+    wanted = cut(texts.select("own", "first_id", "fp").join(groups.select("own").distinct(), "own"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__own"))
+    # Of copies the first one's text is read.
+    rows = keyed.join(few, (F.col("__own") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    sets = rows.select("own", "text").mapInArrow(_sets, "own long, shingles array<long>").dropDuplicates(["own"])
+    members = groups.join(wanted.select("own", "fp"), "own").join(sets, "own")
+    whole = members.groupBy("group").agg(F.collect_list(F.struct("fp", "shingles")).alias("m"))
+    return whole.select("m.fp", "m.shingles").mapInArrow(partial(_alike, similarity=similarity), "a long, b long").distinct()
+
+
 @lru_cache(maxsize=1 << 16)
 def masks(fixed: int = 0, radius: int = RADIUS) -> tuple[int, ...]:
     """The covering masks over the bits that aren't in ``fixed``, each with ``fixed`` added."""
@@ -158,11 +260,20 @@ def stars(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def components(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    prints = cut(fingerprints(docs, width))
+def components(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
+
+    With ``similarity``, texts at that Jaccard similarity of ``SIMILAR_WIDTH``-word shingles are linked too.
+    """
+    if similarity is None:
+        prints = cut(fingerprints(docs, width))
+    else:
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+        prints = cut(rows.mapInArrow(partial(_banded, width=width), "doc_id long, fp long, own long, bands array<long>"))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     edges = links(classes.select("fp"))
+    if similarity is not None:
+        edges = cut(edges.union(similar_links(docs, prints, similarity)).distinct())
     if not edges.isEmpty():
         rooted = classes.join(stars(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -176,13 +287,13 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each component, with all columns: the one of the smallest doc_id.
 
     Where rows share that doc_id, one of them stays. A row without a doc_id can't be told from
     others, so it is kept.
     """
-    kept = cut(components(docs, width).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    kept = cut(components(docs, width, similarity).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
     ids = kept.select(F.col("doc_id").alias("__kept"))
     out = docs.join(ids, docs["doc_id"] == F.col("__kept"), "left").filter(F.col("__kept").isNotNull() | docs["doc_id"].isNull())
     out = out.select(*[docs[c] for c in docs.columns])

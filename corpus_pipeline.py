@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import common, packing, pii, quality_cnn, quality_rules, simhash
 
+#: Texts whose sets of 5-word shingles have this Jaccard similarity are near copies.
+SIMILARITY = 0.8
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network accepts; it is fitted on the labelled rows of ``docs``."""
@@ -21,8 +24,8 @@ def quality_cascade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: SimHash within its radius, or 5-word shingles at ``SIMILARITY`` or more."""
+    return simhash.keep_one(docs, similarity=SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -453,6 +453,49 @@ def test_keep_one(frame):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 7), (False, 9), (True, 0)]
 
 
+def jaccard(a, b):
+    def own(t):
+        w = [x.translate(licenses.LOWER) for x in WORD.findall(t or "")]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    return len(own(a) & own(b)) / len(own(a) | own(b))
+
+
+def test_similar_texts_are_one_component(frame):
+    r = random.Random(17)
+    texts = []
+    for n in (40, 90, 200, 400):
+        w = [f"w{r.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3, 4, 6, 9, 14):
+            new = list(w)
+            for k in r.sample(range(n), edits):
+                new[k] = "edited"
+            texts.append(" ".join(new))
+    texts += [texts[0], None, "", "two words", "two words"]
+    prints = [simhash.fingerprint(t) for t in texts]
+    at = list(range(len(texts)))
+    for k, a in enumerate(texts):
+        for j, b in enumerate(texts[:k]):
+            if (prints[k] ^ prints[j]).bit_count() <= simhash.RADIUS or a and b and jaccard(a, b) >= 0.8:
+                at = [at[j] if x == at[k] else x for x in at]
+    far = [1 for k, a in enumerate(texts) for j, b in enumerate(texts[:k]) if a and b and jaccard(a, b) >= 0.8 and (prints[k] ^ prints[j]).bit_count() > 3]
+    assert far
+    got = by_id(simhash.components(frame(texts), similarity=0.8))
+    least = {c: min(k for k, x in enumerate(at) if x == c) for c in at}
+    assert {k: x["component_id"] for k, x in got.items()} == {k: least[c] for k, c in enumerate(at)}
+
+
+def test_alike_by_brute_force():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.choice(40, r.integers(8, 40), replace=False)) for _ in range(60)]
+    at = list(range(60))
+    for i, j in simhash.alike(sets, 0.8):
+        assert len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+        at = [at[i] if x == at[j] else x for x in at]
+    assert all(at[i] == at[j] for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])))
+
+
 # 10 quality classifier
 
 
