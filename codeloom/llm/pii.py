@@ -127,7 +127,7 @@ def rendered(spans: Column) -> Column:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(entity, context, term): a row for each term of each distinct context of each entity."""
+    """(entity, context, digest, term): a row for each term of each distinct context of each entity in each distinct text."""
     text = F.col("text")
 
     def terms(x: Column) -> Column:
@@ -147,11 +147,11 @@ def _contexts(docs: DataFrame) -> DataFrame:
 
         return F.transform(found(text, kind), one)
 
-    rows = docs.select(text_of().alias("text")).select(F.explode(F.concat(*[near(k) for k in KINDS[:4]])).alias("c"))
-    rows = rows.select(F.xxhash64("c.entity").alias("entity"), F.xxhash64("c.words").alias("context"), F.array_distinct("c.words").alias("words"))
-    # Copies of one passage meet here first, before terms multiply the rows.
-    rows = rows.groupBy("entity", "context").agg(F.any_value("words").alias("words"))
-    return rows.select("entity", "context", F.explode("words").alias("term"))
+    rows = docs.select(text_of().alias("text")).select(F.xxhash64("text").alias("digest"), F.explode(F.concat(*[near(k) for k in KINDS[:4]])).alias("c"))
+    rows = rows.select("digest", F.xxhash64("c.entity").alias("entity"), F.xxhash64("c.words").alias("context"), F.array_distinct("c.words").alias("words"))
+    # Copies of one text meet here first, before terms multiply the rows.
+    rows = rows.groupBy("entity", "context", "digest").agg(F.any_value("words").alias("words"))
+    return rows.select("entity", "context", "digest", F.explode("words").alias("term"))
 
 
 def _tokens(text: Column) -> Column:
@@ -177,10 +177,11 @@ def disclosing(docs: DataFrame) -> DataFrame:
     """(term, share, bits) of the disclosing terms, checkpointed."""
     rows = _contexts(docs)
     entities = rows.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    # A term whose contexts are mostly other entities' gives none away; no document need be counted for it.
-    around = rows.groupBy("term").agg(F.count("*").alias("n_around")).filter(F.col("n_around") >= SUPPORT)
-    pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= SUPPORT)
-    pairs = pairs.join(around, "term").filter(F.col("n_pair") >= GENERALISE * F.col("n_around"))
+    # The texts with the term near any entity are among those with the term, so this cuts only what the share cuts
+    # in the end. A text counts once, however many entities stand around the term.
+    around = rows.groupBy("term").agg(F.count_distinct("digest").alias("n_around"))
+    pairs = rows.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_pair"), F.count_distinct("digest").alias("n_texts"))
+    pairs = pairs.filter(F.col("n_pair") >= SUPPORT).join(around, "term").filter(F.col("n_texts") >= GENERALISE * F.col("n_around"))
     pairs = cut(pairs.join(entities, "entity"))
     terms = pairs.select("term").distinct()
     total = docs.count()

@@ -347,6 +347,12 @@ def test_disclosure_ignores_copies(frame):
     assert pii.disclosing(docs).count() == 0
 
 
+def test_disclosure_in_contact_blocks(frame):
+    blocks = [f"{w} Zebulon zq@corp.org +49 30 1234567, 4111 1111 1111 1111 {w} end" for w in ("alpha", "beta", "gamma", "delta")]
+    terms = pii.disclosing(frame(blocks + [f"plain end number {k}" for k in range(200)]))
+    assert "zebulon" in {r["term"] for r in terms.collect()}
+
+
 # 8 byte-level BPE
 
 
