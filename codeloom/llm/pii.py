@@ -2,13 +2,14 @@
 
 Base spans are the matches of four patterns that pass their checks. On top, terms that give a
 protected entity (a matched value) away are found from the corpus: for each letter run (a term)
-within ``WINDOW`` words of an entity, the distinct contexts in which the pair occurs, the documents
-with the term, the contexts with the term and those of the entity are counted over all documents.
-A term is disclosing if at least ``SUPPORT`` contexts hold the pair, their number is at least
-``GENERALISE`` of the contexts with the term and of the documents with it (two estimates of the
-entity's probability given the term), and the pointwise mutual information is at least ``BITS``. :func:`sanitise` replaces such terms by a
+within ``WINDOW`` words of an entity, the distinct contexts in which the pair occurs and the distinct
+texts with the pair, with the term and with the entity are counted over all documents. A term is
+disclosing if at least ``SUPPORT`` contexts hold the pair, the texts with the pair are at least
+``GENERALISE`` of those with the term (the entity's probability given the term), and the pointwise
+mutual information over texts is at least ``BITS``. :func:`sanitise` replaces such terms by a
 placeholder, and removes those at ``REMOVE`` or above. Copies of one passage are one context, so
-they don't make every rare word near an entity disclosing.
+they don't make every rare word near an entity disclosing; copies of a text are one text in every
+count, so they don't hide a term either.
 
 Counting is by hash aggregation with partial sums, so a frequent entity or term is no hot group.
 The disclosing terms are a checked, checkpointed table: up to ``LITERALS`` of them go into the
@@ -175,8 +176,8 @@ def _among(docs: DataFrame, terms: DataFrame, name: str) -> DataFrame:
 
 def disclosing(docs: DataFrame) -> DataFrame:
     """(term, share, bits) of the disclosing terms, checkpointed."""
-    rows = _contexts(docs)
-    entities = rows.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
+    rows, digest = _contexts(docs), F.xxhash64(text_of())
+    entities = rows.groupBy("entity").agg(F.count_distinct("digest").alias("n_entity"))
     # The texts with the term near any entity are among those with the term, so this cuts only what the share cuts
     # in the end. A text counts once, however many entities stand around the term.
     around = rows.groupBy("term").agg(F.count_distinct("digest").alias("n_around"))
@@ -184,12 +185,13 @@ def disclosing(docs: DataFrame) -> DataFrame:
     pairs = pairs.filter(F.col("n_pair") >= SUPPORT).join(around, "term").filter(F.col("n_texts") >= GENERALISE * F.col("n_around"))
     pairs = cut(pairs.join(entities, "entity"))
     terms = pairs.select("term").distinct()
-    total = docs.count()
-    uses = _among(docs, terms, "__terms").select(F.explode("__terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    total = docs.select(digest.alias("digest")).distinct().count()
+    uses = _among(docs, terms, "__terms").select(digest.alias("digest"), F.explode("__terms").alias("term"))
+    uses = uses.groupBy("term").agg(F.count_distinct("digest").alias("n_term"))
     scored = pairs.join(uses, "term").select(
         "term",
-        F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term")).alias("share"),
-        F.log2(F.col("n_pair") * float(total) / (F.col("n_entity") * F.col("n_term"))).alias("bits"),
+        (F.col("n_texts") / F.col("n_term")).alias("share"),
+        F.log2(F.col("n_texts") * float(total) / (F.col("n_entity") * F.col("n_term"))).alias("bits"),
     )
     scored = scored.filter((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS))
     return cut(scored.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))

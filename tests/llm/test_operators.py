@@ -353,6 +353,11 @@ def test_disclosure_in_contact_blocks(frame):
     assert "zebulon" in {r["term"] for r in terms.collect()}
 
 
+def test_copies_do_not_hide_a_disclosure(frame):
+    docs = frame([told()[0]] * 50 + told())
+    assert {"zebulon", "quark"} <= {r["term"] for r in pii.disclosing(docs).collect()}
+
+
 # 8 byte-level BPE
 
 
