@@ -3,8 +3,8 @@
 The automaton holds all substrings of all templates (word by word). A file streams through it and
 each word gets its matching statistic: the length of the longest substring of any template that
 ends there, and where that lies. Statistics that can't be extended further are long matches; of
-each template they are chained in file order and template order into a covered span, and the share
-of the template that the chain covers is its score. Base phrases are strings of the automaton as
+each template they are chained by weight in file order and template order, overlaps trimmed, into a
+covered span, and the share of the template that the chain covers is its score. Base phrases are strings of the automaton as
 well: a place of a phrase is a word at which the phrase is a suffix of the current match, which the
 automaton's suffix links tell.
 
@@ -167,7 +167,7 @@ class Scanner:
         return {"n_words": len(words), "places": sorted(places), "spans": self._spans(matches)}
 
     def _spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of maximal matches, template by template."""
+        """The heaviest chains of maximal matches that don't overlap, template by template."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for i, state, length in matches:
             if length >= LEAST_MATCH:
@@ -175,31 +175,51 @@ class Scanner:
                     by_template.setdefault(t, []).append((i - length + 1, end - length + 1, length))
         out = []
         for t, found in sorted(by_template.items()):
-            size = len(self.templates[t])
+            size, best = len(self.templates[t]), 0.0
             found.sort()
-            chain: list[tuple[int, int, int]] = []
-            chains = []
-            for start, at, n in found:
-                if chain:
-                    s, b, m = chain[-1]
-                    # The next match goes on, in the file and the template, within half a template.
-                    if start >= s + m and at >= b + m and start - chain[0][0] <= size + size // 2 + 2:
-                        chain.append((start, at, n))
-                        continue
-                    if start < s + m or start - chain[0][0] <= size and at < b + m and n <= m:
-                        if n > m and len(chain) == 1:
-                            chain[-1] = (start, at, n)
-                        continue
-                    chains.append(chain)
-                chain = [(start, at, n)]
-            if chain:
-                chains.append(chain)
-            for c in chains:
-                share = min(1.0, sum(n for *_, n in c) / size)
-                out.append((self.labels[t], c[0][0], c[-1][0] + c[-1][2], share))
+            # A chain goes on, in the file and the template, within half a template more.
+            reach = size + size // 2 + 2
+            chains, to, own = [], 0, 0
+            for k, (start, _, n) in enumerate(found):
+                while to < len(found) and found[to][0] - start <= reach:
+                    own += found[to][2]
+                    to += 1
+                # ``own`` bounds the words of a chain from here; one that is no label and not the best is not needed.
+                if min(1.0, own / size) >= LEAST_SHARE or own / size > best:
+                    words, end = _heaviest(found[k:to])
+                    share = min(1.0, words / size)
+                    best = max(best, share)
+                    chains.append((-share, start, end))
+                own -= n
+            taken: list[tuple[int, int]] = []
+            for share, start, end in sorted(chains):
+                if all(end <= a or start >= b for a, b in taken):
+                    taken.append((start, end))
+                    out.append((self.labels[t], start, end, -share))
         return out
 
 
+def _heaviest(found: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """Words and end of the heaviest chain from the first of sorted matches (start, place in the template, length).
+
+    A match that overlaps the one before, in the file or the template, counts from where that ends.
+    """
+    weight = [0] * len(found)
+    weight[0] = found[0][2]
+    top = 0
+    for j in range(1, len(found)):
+        s, b, n = found[j]
+        for i in range(j):
+            if weight[i]:
+                s0, b0, m = found[i]
+                left = n - max(0, s0 + m - s, b0 + m - b)
+                if left > 0 and s > s0 and b > b0 and weight[i] + left > weight[j]:
+                    weight[j] = weight[i] + left
+        if weight[j] > weight[top]:
+            top = j
+    return weight[top], found[top][0] + found[top][2]
+
+
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
     return Scanner()

@@ -190,6 +190,33 @@ def test_license_scan(frame):
     assert [got[k]["labels"] for k in range(n - 3, n)] == ["mit", "apache-2.0", ""]
 
 
+def test_license_after_overlapping_matches(frame):
+    body = "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    texts = [f"This file is subject to the License. {body}", f"The ASF licenses this file to You under the Apache License, Version 2.0 (the License); {body}", f"{body} and {body}"]
+    got = by_id(licenses.scan(frame(texts)))
+    assert [(r["labels"], r["score"]) for _, r in sorted(got.items())] == [("apache-2.0", 1.0), ("apache-2.0", 1.0), ("apache-2.0", 1.0)]
+    assert got[0]["spans"] == "apache-2.0:7:36" and got[2]["spans"] == "apache-2.0:0:29,apache-2.0:30:59"
+    assert got[1]["spans"] == "apache-2.0:7:14,apache-2.0:16:45"
+
+
+def test_heaviest_chains():
+    r = random.Random(6)
+    for _ in range(300):
+        found = sorted({(r.randrange(12), r.randrange(12), r.randint(2, 6)) for _ in range(r.randint(1, 6))})
+        best = 0
+        for kept in range(1, 1 << len(found), 2):
+            words, last = 0, None
+            for k, (s, b, n) in enumerate(found):
+                if kept >> k & 1:
+                    left = n if last is None else n - max(0, last[0] + last[2] - s, last[1] + last[2] - b)
+                    if left <= 0 or last is not None and not (s > last[0] and b > last[1]):
+                        break
+                    words, last = words + left, (s, b, n)
+            else:
+                best = max(best, words)
+        assert licenses._heaviest(found)[0] == best
+
+
 def test_matching_statistics():
     r = random.Random(2)
     templates = [r.choices("abc", k=r.randint(1, 8)) for _ in range(4)]
