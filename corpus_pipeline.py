@@ -34,8 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The pieces of all documents, with their token ids, and their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over the whole table; each result is cut off in the shared folder."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
@@ -59,3 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs = common.cut(docs)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query: :func:`sequences` with the digests of the pieces instead of their ids."""
+    return sequences(spark, sf_dir).drop("ids")

@@ -68,3 +68,17 @@ def test_pipeline_on_edge_tables(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept}
+
+
+def test_pipeline_yields_token_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(k, CLEAN.format(k, 7 * k) * (1 + 30 * k)) for k in range(3)], "doc_id long, text string")
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    for d in docs.collect():
+        own = sorted((r["start"], r["ids"]) for r in pieces if r["doc_id"] == d["doc_id"])
+        assert sum((ids for _, ids in own), []) == [*library.encode(d["text"], add_special_tokens=False).ids, 2]
+    whole = corpus_pipeline.sequences(spark, DATA)
+    assert whole.filter("size(ids) = length").count() == whole.count() > 0
