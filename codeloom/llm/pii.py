@@ -1,8 +1,8 @@
 """Personal data by patterns and by information-theoretic disclosure, in built-in functions only.
 
 Base spans are the matches of four patterns that pass their checks. On top, terms that give a
-protected entity (a matched value) away are found from the corpus: for each letter run (a term)
-within ``WINDOW`` words of an entity, the distinct contexts in which the pair occurs and the distinct
+protected entity (a matched value) away are found from the corpus: for each letter run of at least
+``LEAST_TERM`` letters (a term; shorter runs, two-letter names too, are never one and not counted) within ``WINDOW`` such words of an entity, whatever stands between, the distinct contexts in which the pair occurs and the distinct
 texts with the pair, with the term and with the entity are counted over all documents. A term is
 disclosing if at least ``SUPPORT`` contexts hold the pair, the texts with the pair are at least
 ``GENERALISE`` of those with the term (the entity's probability given the term), and the pointwise
@@ -131,24 +131,24 @@ def _contexts(docs: DataFrame) -> DataFrame:
     """(entity, context, digest, term): a row for each term of each distinct context of each entity in each distinct text."""
     text = F.col("text")
 
-    def terms(x: Column) -> Column:
-        kept = F.filter(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= LEAST_TERM)
-        return F.transform(kept, F.lower)
+    terms = F.filter(located(text, TERM, F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda w: F.length(w["value"]) >= LEAST_TERM)
 
-    def near(kind: str) -> Column:
-        def one(x: Column) -> Column:
-            # A window of words fits into this many characters unless they are no words.
-            left = F.substring(text, F.greatest(F.lit(1), (x["start"] - 199).cast("int")), F.least(F.lit(200), x["start"].cast("int")))
-            right = F.substring(text, (x["end"] + 1).cast("int"), F.lit(200))
-            words = F.concat(
-                let(terms(left), lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - WINDOW + 1), F.lit(WINDOW))),
-                F.slice(terms(right), F.lit(1), F.lit(WINDOW)),
-            )
-            return F.struct(x["value"].alias("entity"), words.alias("words"))
+    def around(x: Column, runs: Column) -> Column:
+        left, right = F.filter(runs, lambda w: w["end"] <= x["start"]), F.filter(runs, lambda w: w["start"] >= x["end"])
+        near = F.concat(
+            let(left, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - WINDOW + 1), F.lit(WINDOW))),
+            F.slice(right, F.lit(1), F.lit(WINDOW)),
+        )
+        return F.struct(x["value"].alias("entity"), F.transform(near, lambda w: F.lower(w["value"])).alias("words"))
 
-        return F.transform(found(text, kind), one)
+    none = F.array().cast("array<struct<entity:string,words:array<string>>>")
 
-    rows = docs.select(text_of().alias("text")).select(F.xxhash64("text").alias("digest"), F.explode(F.concat(*[near(k) for k in KINDS[:4]])).alias("c"))
+    def contexts(spans: Column) -> Column:
+        # Runs are located once a text, and only in texts with matches.
+        return F.when(F.size(spans) > 0, let(terms, lambda w: F.transform(spans, lambda x: around(x, w)))).otherwise(none)
+
+    rows = docs.select(text_of().alias("text"))
+    rows = rows.select(F.xxhash64("text").alias("digest"), F.explode(let(F.concat(*[found(text, k) for k in KINDS[:4]]), contexts)).alias("c"))
     rows = rows.select("digest", F.xxhash64("c.entity").alias("entity"), F.xxhash64("c.words").alias("context"), F.array_distinct("c.words").alias("words"))
     # Copies of one text meet here first, before terms multiply the rows.
     rows = rows.groupBy("entity", "context", "digest").agg(F.any_value("words").alias("words"))

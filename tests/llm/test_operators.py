@@ -385,6 +385,18 @@ def test_copies_do_not_hide_a_disclosure(frame):
     assert {"zebulon", "quark"} <= {r["term"] for r in pii.disclosing(docs).collect()}
 
 
+def test_disclosure_behind_fillers(frame):
+    rows = [f"{w} Zebulon {'.' * 300} zq@corp.org {'-' * 300} Quark {w} end" for w in ("alpha", "beta", "gamma", "delta")]
+    terms = pii.disclosing(frame(rows + [f"plain end number {k}" for k in range(200)]))
+    assert {r["term"] for r in terms.collect()} == {"zebulon", "quark"}
+
+
+def test_no_fragments_of_words(frame):
+    rows = [f"{w} {'y' * 150}{'z' * 150} zq@corp.org" for w in ("alpha", "beta", "gamma")]
+    words = {r["term"] for r in pii._contexts(frame(rows)).collect()}
+    assert words == {"alpha", "beta", "gamma", "y" * 150 + "z" * 150}
+
+
 # 8 byte-level BPE
 
 
