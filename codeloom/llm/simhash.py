@@ -16,13 +16,14 @@ cluster, each round checkpointed in the shared folder.
 Few pairs of texts at a Jaccard similarity of 0.8 are within three bits, so where a ``similarity`` is
 given, pairs of texts whose sets of ``SIMILAR_WIDTH``-word shingles are at least that similar are
 linked too. Candidates share one of ``BANDS`` bands of ``BAND`` minima (a pair at 0.8 shares none
-with a probability of 3.2e-6, a closer one with less) and are confirmed by their exact sets. A bucket
-of candidates is searched whole, component by component, and yields stars, not pairs.
+with a probability of 3.2e-6, a closer one with less) and are confirmed by their exact sets, in
+pairs and blocks of bounded size (:func:`similar_links`).
 
 Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other. Texts of
-one or two words have one shingle. Repeated rows share a fingerprint and a component. A null
-doc_id gives a row but is never a component's id unless it has no other. Empty tables give empty
-results. Extra columns are ignored by :func:`components` and kept by :func:`keep_one`.
+one or two words have one shingle. Very long texts are hashed whole, in blocks. Repeated rows share a
+fingerprint and a component. A null doc_id gives a row but is never a component's id unless it has no
+other; doc_ids that repeat with other texts are rows like any other. Empty tables give empty results.
+Extra columns, of whatever name, are ignored by :func:`components` and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, rows_of
+from codeloom.llm.common import Stored, cut, rows_of
 
 RADIUS = 3
 BUCKET = 1024
@@ -44,6 +45,8 @@ LEVELS = 3
 SIMILAR_WIDTH = 5
 BANDS, BAND = 24, 4
 BROADCAST_ROWS = 100_000
+#: About as many texts, and shingles of theirs, are compared in one block.
+GROUP, GROUP_SHINGLES = 256, 1 << 20
 ALL = (1 << 64) - 1
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -74,12 +77,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
         found = np.fromiter((fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
-
-
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, a row for each row."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], ["doc_id", "fp", "own"])
 
 
 @lru_cache(maxsize=1)
@@ -142,30 +140,86 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = []
         for k in range(b.num_rows):
-            fps, sets = b.column(0)[k].values.to_pylist(), [x.values.to_numpy() for x in b.column(1)[k]]
-            found += [tuple(sorted((fps[i], fps[j]))) for i, j in alike(sets, similarity) if fps[i] != fps[j]]
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
+            own = b.column(0)[k].values.to_numpy()
+            found = [(own[i], own[j]) for i, j in alike([x.values.to_numpy() for x in b.column(1)[k]], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in found], pa.int64()), pa.array([max(e) for e in found], pa.int64())], ["a", "b"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets are similar enough, materialised."""
+    first = sets.select(F.col("own").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("own").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    near = both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9
+    return cut(pairs.join(first, "a").join(other, "b").filter(near).select("a", "b"))
+
+
+def _rooted(rows: DataFrame, edges: DataFrame, name: str = "own") -> DataFrame:
+    """``rows`` with ``root``, the smallest node of the component of ``name``."""
+    if edges.isEmpty():
+        return rows.withColumn("root", F.col(name))
+    roots = stars(edges).withColumnRenamed("node", "__node").withColumnRenamed("root", "__root")
+    return rows.join(roots, F.col(name) == F.col("__node"), "left").withColumn("root", F.coalesce("__root", name)).drop("__node", "__root")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """Links (a < b) among the fingerprints of texts at ``similarity`` or more; ``prints`` has doc_id, fp, own, bands."""
+    """Links (a < b) among the fingerprints of texts at ``similarity`` or more; ``prints`` has doc_id, fp, own, bands.
+
+    No bucket is gathered whole. Each member of a bucket is compared with the bucket's smallest, its pivot: first
+    with one pivot of all its buckets, then with those that aren't in its component yet. Where that leaves more
+    than one component in a bucket, the members outside the pivot's component meet all others in blocks of about
+    ``GROUP`` texts or ``GROUP_SHINGLES`` shingles, so every pair is compared that could still join two components.
+    """
     texts = prints.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
-    keys = texts.select("own", F.posexplode("bands").alias("band", "key"))
-    groups = keys.groupBy("band", "key").agg(F.sort_array(F.collect_list("own")).alias("owns")).filter(F.size("owns") > 1)
-    # Close texts meet in many bands; a group is searched once.
-    groups = groups.select("owns").distinct().select(F.xxhash64("owns").alias("group"), F.explode("owns").alias("own"))
-    groups = cut(groups)
-    wanted = cut(texts.select("own", "first_id", "fp").join(groups.select("own").distinct(), "own"))
+    keys = texts.select("own", F.posexplode("bands").alias("band", "key")).select("own", F.xxhash64("band", "key").alias("bucket"))
+    pivots = keys.groupBy("bucket").agg(F.min("own").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = cut(keys.join(pivots, "bucket"))
+    wanted = cut(texts.select("own", "first_id", "fp").join(met.select("own").distinct(), "own"))
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__own"))
     # Of copies the first one's text is read.
     rows = keyed.join(few, (F.col("__own") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    sets = rows.select("own", "text").mapInArrow(_sets, "own long, shingles array<long>").dropDuplicates(["own"])
-    members = groups.join(wanted.select("own", "fp"), "own").join(sets, "own")
-    whole = members.groupBy("group").agg(F.collect_list(F.struct("fp", "shingles")).alias("m"))
-    return whole.select("m.fp", "m.shingles").mapInArrow(partial(_alike, similarity=similarity), "a long, b long").distinct()
+    stored = Stored(rows.select("own", "text").mapInArrow(_sets, "own long, shingles array<long>").dropDuplicates(["own"]))
+    sets = stored.df
+    pairs = met.filter("own <> pivot")
+    edges = _confirmed(pairs.groupBy("own").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("own").alias("b")), sets, similarity)
+    joined = cut(_rooted(_rooted(pairs.select("own", "pivot").distinct(), edges).withColumnRenamed("root", "__of"), edges, "pivot").filter("root <> __of").select(F.col("pivot").alias("a"), F.col("own").alias("b")))
+    edges = edges.union(_confirmed(joined, sets, similarity))
+    within = cut(_rooted(_rooted(met, edges).withColumnRenamed("root", "__of"), edges, "pivot").select("bucket", "own", (F.col("root") != F.col("__of")).alias("apart")))
+    edges = edges.union(_blocks(within, sets, similarity))
+    prints_of = wanted.select("own", "fp")
+    ends = edges.join(prints_of.select(F.col("own").alias("a"), F.col("fp").alias("p")), "a").join(prints_of.select(F.col("own").alias("b"), F.col("fp").alias("q")), "b")
+    out = cut(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    stored.free()
+    return out
+
+
+def _blocks(within: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the members that stand apart from their pivot's component and all members of their bucket."""
+    size = F.size("shingles")
+    open_ = within.filter("apart").select("bucket").distinct()
+    rows = cut(within.join(open_, "bucket").join(sets.select("own", size.alias("size")), "own"))
+
+    def parts(apart: bool) -> Column:
+        n = F.count_if("apart") if apart else F.count("*")
+        total = F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)) if apart else F.sum("size")
+        return F.greatest(F.ceil(n / GROUP), F.ceil(total / GROUP_SHINGLES)).cast("int")
+
+    shape = rows.groupBy("bucket").agg(parts(True).alias("across"), parts(False).alias("down"))
+    rows = rows.join(shape, "bucket")
+
+    def dealt(salt: int, n: Column) -> Column:
+        return F.pmod(F.xxhash64("own", F.lit(salt)), n).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    all_ = rows.select("bucket", "own", dealt(1, F.col("down")).alias("i"), every(F.col("across")).alias("j"))
+    apart = rows.filter("apart").select("bucket", "own", every(F.col("down")).alias("i"), dealt(2, F.col("across")).alias("j"))
+    members = all_.union(apart).distinct().join(sets, "own")
+    groups = members.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "shingles")).alias("m"))
+    return cut(groups.select("m.own", "m.shingles").mapInArrow(partial(_alike, similarity=similarity), "a long, b long").distinct())
 
 
 @lru_cache(maxsize=1 << 16)
@@ -260,27 +314,30 @@ def stars(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def _classes(docs: DataFrame, width: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, own) of all documents, and (fp, root) of all fingerprints; ``own`` is the text's hash."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    if similarity is None:
+        prints = cut(rows.mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long, own long"))
+    else:
+        prints = cut(rows.mapInArrow(partial(_banded, width=width), "doc_id long, fp long, own long, bands array<long>"))
+    classes = prints.select("fp").distinct()
+    edges = links(classes)
+    if similarity is not None:
+        edges = edges.union(similar_links(docs, prints, similarity))
+    return prints.select("doc_id", "fp", "own"), cut(_rooted(classes, edges, "fp"))
+
+
 def components(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
     With ``similarity``, texts at that Jaccard similarity of ``SIMILAR_WIDTH``-word shingles are linked too.
     """
-    if similarity is None:
-        prints = cut(fingerprints(docs, width))
-    else:
-        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
-        prints = cut(rows.mapInArrow(partial(_banded, width=width), "doc_id long, fp long, own long, bands array<long>"))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    edges = links(classes.select("fp"))
-    if similarity is not None:
-        edges = cut(edges.union(similar_links(docs, prints, similarity)).distinct())
-    if not edges.isEmpty():
-        rooted = classes.join(stars(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        classes = rooted.join(least, "root").select("fp", "component_id")
-    else:
-        classes = classes.select("fp", F.col("least_id").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    prints, classes = _classes(docs, width, similarity)
+    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).join(classes, "fp")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    known = rooted.join(least, "root").select("fp", "component_id")
+    return prints.join(known, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -288,15 +345,29 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
-    """One row of each component, with all columns: the one of the smallest doc_id.
+    """One row of each component, with all columns: the first by doc_id (rows without one come last) and text hash.
 
-    Where rows share that doc_id, one of them stays. A row without a doc_id can't be told from
-    others, so it is kept.
+    Rows are told apart by doc_id and text, so an id may repeat with other texts, and any or all may be null. Only
+    keys meet before the end; then the rows that go are looked up by key, and broadcast where they are few.
     """
-    kept = cut(components(docs, width, similarity).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
-    ids = kept.select(F.col("doc_id").alias("__kept"))
-    out = docs.join(ids, docs["doc_id"] == F.col("__kept"), "left").filter(F.col("__kept").isNotNull() | docs["doc_id"].isNull())
-    out = out.select(*[docs[c] for c in docs.columns])
-    if kept.filter("n > 1").isEmpty():
-        return out
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(out.filter("doc_id is null"))
+    prints, classes = _classes(docs, width, similarity)
+    keys = cut(prints.groupBy("fp", F.col("doc_id").alias("__id"), F.col("own").alias("__own")).agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("__id").isNull(), "__id", "__own", "n"))
+    best = keys.groupBy("fp").agg(first.alias("k")).join(classes, "fp").groupBy("root").agg(F.min("k").alias("k"))
+    best = cut(best.select("k.__id", "k.__own", "k.n"))
+    same = F.col("l.__id").eqNullSafe(F.col("r.__id")) & (F.col("l.__own") == F.col("r.__own"))
+
+    def lookup(rows: DataFrame) -> DataFrame:
+        return (F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows).alias("r")
+
+    gone = cut(keys.select("__id", "__own").alias("l").join(best.alias("r"), same, "left_anti"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__own"))
+    rows = rows.alias("l").join(lookup(gone), same, "left_anti")
+    twice = best.filter("n > 1").select("__id", "__own")
+    if not twice.isEmpty():
+        # Repeats of a row that stays: one of them.
+        marked = rows.alias("l").join(lookup(twice.withColumn("__twice", F.lit(True))), same, "left").select("l.__row", "l.__id", "l.__own", "__twice")
+        once = marked.filter("__twice").dropDuplicates(["__id", "__own"])
+        rows = marked.filter("__twice is null").union(once)
+    return rows.select("__row.*")

@@ -164,6 +164,18 @@ def test_packing(frame):
     assert len(places) == 1 + max(f + (hi - lo - 1) // per for _, lo, hi, f, per, _ in packing.plan(sizes))
 
 
+@pytest.mark.parametrize("ids", [None, 7])
+def test_packing_of_shared_ids(frame, ids, monkeypatch):
+    """One id, or none, on all rows: buckets stay even and all pieces have a place of their own."""
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 50)
+    docs = frame([(ids, "same words here " * (k % 3)) for k in range(600)]).repartition(3)
+    found = common.Stored(packing.pieces(docs, P.path("byte_bpe_50k.json"))).df
+    sizes = [r["count"] for r in found.groupBy(F.pmod(F.xxhash64("number"), F.lit(13))).count().collect()]
+    assert len(sizes) == 13 and max(sizes) <= 2 * np.median(sizes)
+    rows = packing.place(found).collect()
+    assert len(rows) == 600 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 600
+
+
 # 4 licenses
 
 
@@ -497,10 +509,29 @@ def test_long_chain(spark):
 
 def test_keep_one(frame):
     t = " ".join(f"w{k}" for k in range(90))
-    docs = frame([(4, t), (2, t), (2, t), (9, "different words in here"), (None, t), (7, None)])
+    docs = frame([(4, t), (2, t), (2, t), (9, "different words in here"), (None, t), (7, None), (None, None)])
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 7), (False, 9), (True, 0)]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 9]
+
+
+def test_keep_one_with_repeated_ids(frame, monkeypatch):
+    a, b = (" ".join(f"{x}{k}" for k in range(90)) for x in "ab")
+    for limit in (100_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        rows = lambda *x: sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(list(x))).collect()), key=str)
+        assert rows((5, a), (5, b)) == [(5, a), (5, b)]
+        assert rows((3, a), (5, a), (5, b)) == [(3, a), (5, b)]
+        assert rows((None, a), (None, a), (None, b), (None, a)) == [(None, a), (None, b)]
+        assert rows(*[(1, a)] * 20, (2, b), (2, b)) == [(1, a), (2, b)]
+
+
+def test_keep_one_with_clashing_columns(frame):
+    docs = frame([(1, "a b c"), (2, "a b c"), (3, "d e f g")])
+    for name in ("__id", "__own", "__row", "__twice", "n", "own", "root", "__kept", "a.b"):
+        docs = docs.withColumn(name, F.lit("y"))
+    kept = simhash.keep_one(docs, similarity=0.8)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def jaccard(a, b):
@@ -511,7 +542,9 @@ def jaccard(a, b):
     return len(own(a) & own(b)) / len(own(a) | own(b))
 
 
-def test_similar_texts_are_one_component(frame):
+@pytest.mark.parametrize("group", [256, 2])
+def test_similar_texts_are_one_component(frame, group, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", group)
     r = random.Random(17)
     texts = []
     for n in (40, 90, 200, 400):
@@ -536,6 +569,16 @@ def test_similar_texts_are_one_component(frame):
     assert {k: x["component_id"] for k, x in got.items()} == {k: least[c] for k, c in enumerate(at)}
 
 
+def test_blocks_compare_all_that_stand_apart(spark, monkeypatch):
+    """A bucket whose links don't touch the pivot: chains of sets, in blocks of three."""
+    monkeypatch.setattr(simhash, "GROUP", 3)
+    sets = [(k, list(range(1000 * (k // 8) + k % 8, 1000 * (k // 8) + k % 8 + 20))) for k in range(32)]
+    within = spark.createDataFrame([(5, k, k >= 8) for k, _ in sets], "bucket long, own long, apart boolean")
+    got = simhash._blocks(within, spark.createDataFrame(sets, "own long, shingles array<long>"), 0.8)
+    roots = {k: k for k, _ in sets} | {x["node"]: x["root"] for x in simhash.stars(got.filter("a >= 8")).collect()}
+    assert {k: roots[k] for k in range(8, 32)} == {k: k // 8 * 8 for k in range(8, 32)}
+
+
 def test_alike_by_brute_force():
     r = np.random.default_rng(5)
     sets = [np.unique(r.choice(40, r.integers(8, 40), replace=False)) for _ in range(60)]
