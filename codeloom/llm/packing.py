@@ -10,12 +10,15 @@ are found in logarithmic time, and all bins of one capacity are filled at once,
 runs are a small table (its rows depend on the capacity, not on the data); each piece finds its
 bin by its rank among the pieces of its length.
 
-Ranks need no global sort: pieces are dealt into ``BUCKETS`` buckets by a hash of their id, ranked
-within (bucket, length), and offsets are added from the counts of the buckets before. A length or
-an id that holds a third of all rows is spread over buckets.
-
-Edge cases: a null text is empty; an empty document has one token (the end mark). Repeated rows
-are packed each. Empty tables give empty results. Extra columns are ignored.
+Ranks need no global sort: each piece gets a number of its own as it is made (task and position in the
+task), which the stored table of pieces fixes. Pieces are dealt by a hash of it into buckets of about
+``BUCKET_ROWS``, ranked within (bucket, length), and offsets are added from the counts of the buckets
+before. Neither a length nor an id that holds a third of all rows, or all, makes a hot bucket, and
+there are no ties that a repeated task could break otherwise.
+
+Edge cases: a null text is empty; an empty document has one token (the end mark). Very long texts are
+encoded in blocks and give many pieces. Null and repeated ids and repeated rows are packed each. Empty
+tables give empty results. Extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +31,17 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.llm import bpe, pretokens
-from codeloom.llm.common import cut, rows_of
+from codeloom.llm.common import Stored, cut, rows_of
 
 CAPACITY = 1024
 END = 2
-BUCKETS = 256
+BUCKET_ROWS = 100_000
 SPECIAL = "<|endoftext|>"
 RUN_SCHEMA = "length long, lo long, hi long, first_bin long, per_bin long, room long"
 
@@ -81,22 +85,24 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(vocabulary)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"] + ["ids"] * with_ids
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 4] + [pa.list_(pa.int32())] * with_ids
+    number = TaskContext.get().partitionId() << 40
     for b in rows_of(batches):
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ids = np.append(encoder.ids(text or ""), np.uint32(END)).astype("<u4")
             for k, (s, n) in enumerate(pieces_of(len(ids), capacity)):
                 own = ids[s : s + n]
-                rows.append((doc_id, k, s, n, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if with_ids else ()))
+                rows.append((doc_id, k, s, n, zlib.crc32(own.tobytes()), number) + ((own.astype(np.int32),) if with_ids else ()))
+                number += 1
         columns = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of each document: doc_id, piece, start, length, ids_crc32 (and ids)."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    """Pieces of each document: doc_id, piece, start, length, ids_crc32, number (and ids); ``number`` is fixed once they are stored."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, number long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(partial(_pieces, vocabulary=vocabulary, capacity=capacity, with_ids=with_ids), schema)
 
 
@@ -172,18 +178,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``found`` (pieces, materialised) with sequence_id and offset."""
+    """``found`` (stored pieces) with sequence_id and offset instead of number."""
     spark = found.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))
-    rows = found.withColumn("bucket", bucket)
-    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = cut(counts)
+    buckets = 1 + found.count() // BUCKET_ROWS
+    rows = found.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)))
+    counts = cut(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # At most one row for each length; the runs that follow from it don't grow with the input.
     runs = F.broadcast(spark.createDataFrame(plan(histogram, capacity), RUN_SCHEMA))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece")
+    own = Window.partitionBy("bucket", "length").orderBy("number")
     ranked = rows.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
     hit = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
@@ -191,7 +196,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     k = F.col("rank") - F.col("lo")
     slot = k % F.col("per_bin")
     return placed.select(
-        *found.columns,
+        *[c for c in found.columns if c != "number"],
         (F.col("first_bin") + F.floor(k / F.col("per_bin"))).cast("long").alias("sequence_id"),
         (F.lit(capacity) - F.col("room") + slot * F.col("length")).cast("long").alias("offset"),
     )
@@ -199,4 +204,4 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset."""
-    return place(cut(pieces(docs, vocabulary, capacity, with_ids)), capacity)
+    return place(Stored(pieces(docs, vocabulary, capacity, with_ids)).df, capacity)
