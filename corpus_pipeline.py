@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Edge cases: a null, empty or blank text fails the quality rules and goes. Very long texts are read whole by every
+stage. Of repeated rows one stays, whatever their ids; rows may share an id or have none, and each text that stays
+is packed under its own id. Ties between copies go by doc_id, then text hash. Null values in other columns, and
+extra columns of whatever name, pass through the first four stages unchanged. Without labels of both classes the
+classifier rejects nothing. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -52,12 +59,17 @@ ORACLE_SQL: str | None = None
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over the whole table; each result is cut off in the shared folder."""
+    """All stages, over the whole table; each result is stored in the shared folder and freed after its use."""
     docs = common.table(spark, sf_dir, "documents")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.cut(docs)
+            stored = common.Stored(docs)
+            docs = stored.df
+            if before:
+                before.free()
+            before = stored
     return docs
 
 
