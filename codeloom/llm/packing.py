@@ -10,11 +10,11 @@ are found in logarithmic time, and all bins of one capacity are filled at once,
 runs are a small table (its rows depend on the capacity, not on the data); each piece finds its
 bin by its rank among the pieces of its length.
 
-Ranks need no global sort: each piece gets a number of its own as it is made (task and position in the
-task), which the stored table of pieces fixes. Pieces are dealt by a hash of it into buckets of about
-``BUCKET_ROWS``, ranked within (bucket, length), and offsets are added from the counts of the buckets
-before. Neither a length nor an id that holds a third of all rows, or all, makes a hot bucket, and
-there are no ties that a repeated task could break otherwise.
+Ranks need no sort: as pieces are made, each gets its place among the pieces of its length in its task,
+which the stored table fixes, and the counts of the tasks before are added from a table of one row for
+each task and length. That table is broadcast up to ``BROADCAST_ROWS`` rows (counted), so pieces and
+their ids aren't shuffled; beyond that they are joined by task and length, keys that no document's id or
+length can make larger than a task. There are no ties that a repeated task could break otherwise.
 
 Edge cases: a null text is empty; an empty document has one token (the end mark). Very long texts are
 encoded in blocks and give many pieces. Null and repeated ids and repeated rows are packed each. Empty
@@ -41,7 +41,7 @@ from codeloom.llm.common import Stored, cut, rows_of
 
 CAPACITY = 1024
 END = 2
-BUCKET_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
 SPECIAL = "<|endoftext|>"
 RUN_SCHEMA = "length long, lo long, hi long, first_bin long, per_bin long, room long"
 
@@ -54,13 +54,15 @@ def _encoder(vocabulary: str) -> pretokens.Encoder:
     ids are ranks, and the merges run in a rank-based encoder, which gives the same ids at a fifth
     of the time. Texts with the special token, and other files, go through the library itself.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    @lru_cache(maxsize=1)
+    def library():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(vocabulary)
+        return Tokenizer.from_file(vocabulary)
 
     def whole(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
+        return library().encode(text, add_special_tokens=False).ids
 
     with open(vocabulary, encoding="utf-8") as f:
         bpe_model = json.load(f)["model"]
@@ -85,24 +87,27 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(vocabulary)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), *[pa.int64()] * 4] + [pa.list_(pa.int32())] * with_ids
-    number = TaskContext.get().partitionId() << 40
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["ids"] * with_ids
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 5] + [pa.list_(pa.int32())] * with_ids
+    task, places = TaskContext.get().partitionId(), [0] * (capacity + 1)
     for b in rows_of(batches):
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ids = np.append(encoder.ids(text or ""), np.uint32(END)).astype("<u4")
             for k, (s, n) in enumerate(pieces_of(len(ids), capacity)):
                 own = ids[s : s + n]
-                rows.append((doc_id, k, s, n, zlib.crc32(own.tobytes()), number) + ((own.astype(np.int32),) if with_ids else ()))
-                number += 1
+                rows.append((doc_id, k, s, n, zlib.crc32(own.tobytes()), task, places[n]) + ((own.astype(np.int32),) if with_ids else ()))
+                places[n] += 1
         columns = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of each document: doc_id, piece, start, length, ids_crc32, number (and ids); ``number`` is fixed once they are stored."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, number long" + ", ids array<int>" * with_ids
+    """Pieces of each document: doc_id, piece, start, length, ids_crc32, task, place (and ids).
+
+    ``place`` counts the pieces of a length in a task; both are fixed once the pieces are stored.
+    """
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(partial(_pieces, vocabulary=vocabulary, capacity=capacity, with_ids=with_ids), schema)
 
 
@@ -177,31 +182,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``found`` (stored pieces) with sequence_id and offset instead of number."""
+def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``found`` (stored pieces) with sequence_id and offset instead of task and place."""
     spark = found.sparkSession
-    buckets = 1 + found.count() // BUCKET_ROWS
-    rows = found.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)))
-    counts = cut(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")))
+    counts = cut(found.groupBy("length", "task").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # At most one row for each length; the runs that follow from it don't grow with the input.
-    runs = F.broadcast(spark.createDataFrame(plan(histogram, capacity), RUN_SCHEMA))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("bucket", "length").orderBy("number")
-    ranked = rows.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
+    runs = F.broadcast(spark.createDataFrame(plan(histogram, capacity), RUN_SCHEMA).withColumnRenamed("length", "run_length"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    right = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
+    ranked = found.join(right, ["length", "task"]).withColumn("rank", F.col("place") + F.col("before"))
     hit = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    placed = ranked.join(runs.withColumnRenamed("length", "run_length"), (F.col("length") == F.col("run_length")) & hit)
+    out = ranked.join(runs, (F.col("length") == F.col("run_length")) & hit)
     k = F.col("rank") - F.col("lo")
-    slot = k % F.col("per_bin")
-    return placed.select(
-        *[c for c in found.columns if c != "number"],
+    return out.select(
+        *[c for c in found.columns if c not in ("task", "place")],
         (F.col("first_bin") + F.floor(k / F.col("per_bin"))).cast("long").alias("sequence_id"),
-        (F.lit(capacity) - F.col("room") + slot * F.col("length")).cast("long").alias("offset"),
+        (F.lit(capacity) - F.col("room") + k % F.col("per_bin") * F.col("length")).cast("long").alias("offset"),
     )
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset."""
-    return place(Stored(pieces(docs, vocabulary, capacity, with_ids)).df, capacity)
+    return placed(Stored(pieces(docs, vocabulary, capacity, with_ids)).df, capacity)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-GENERATION = 120_000
+GENERATION = 60_000
 BLOCK = 1 << 20
 
 
