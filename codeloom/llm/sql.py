@@ -33,7 +33,7 @@ q AS (
   SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 b AS (
-  SELECT q.r, q.page_id, q.host, q.path, arg_max({{'n': u.h || u.p, 'v': u.v, 'b': u.b}}, length(u.h || u.p)) AS best
+  SELECT q.r, q.page_id, q.host, q.path, arg_max({{'n': u.h || u.p, 'v': u.v, 'b': u.b}}, length(u.h || u.p) + CASE WHEN u.b THEN 1000000 ELSE 0 END) AS best
   FROM q LEFT JOIN (VALUES {_RULES}) u(h, p, v, b)
     ON (q.host = u.h OR ends_with(q.host, '.' || u.h)) AND starts_with(q.path, u.p)
   GROUP BY ALL)

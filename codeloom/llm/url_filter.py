@@ -3,15 +3,19 @@
 A rule is a host suffix and a path prefix with a verdict. Each URL is expanded into the
 expressions that could be a rule (the suffixes of its host with as many labels as some rule has,
 the prefixes of its path with as many characters as some rule has). Expressions meet rules in an
-equi-join on the first four bytes of their SHA-256; the full digest confirms, and the rule with
-the longest expression wins. No URL is compared with a rule that it can't match.
+equi-join on the first four bytes of their SHA-256; the full digest confirms. Base rules come before
+others, and among either the rule with the longest expression wins. No URL is compared with a rule
+that it can't match.
 
-The rule table may be of any size: below ``BROADCAST_ROWS`` rows (counted) it is broadcast, else
-joined by shuffle. The expansion is aggregated back per row with map-side partial aggregation, so
-what is shuffled is one row per URL.
+The rule table may be of any size: below ``BROADCAST_ROWS`` rows (counted) it is broadcast, and the
+expansion of a URL is aggregated back within its task, so what is shuffled is one row per URL. A larger
+table is first cut to the rules that some expression asks for, by distinct digests, which no frequent
+expression can make hot; what is still too large is joined by shuffle, with row numbers instead of URLs.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, matches nothing and gets
-the default verdict. Repeated rows give as many result rows. Empty tables give empty results.
+the default verdict. Very long URLs cost as much as they have lengths that some rule has. Rows are told
+apart by number, so repeated rows, and rows with equal or null page_id, give as many result rows. Empty
+tables give empty results. Extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import let
+from codeloom.llm.common import cut, let
 
 BROADCAST_ROWS = 100_000
 RULE_SCHEMA = "host string, path string, verdict string, base boolean"
@@ -106,21 +110,27 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     n, labels, sizes = table.agg(
         F.count("*"), F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("path_size"))
     ).first()
-    rows = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies"))
     host, path = parts(F.col("url"))
-    rows = rows.withColumns({"host": host, "path": path})
-    if n:
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+
+    def expanded(rows: DataFrame) -> DataFrame:
         found = rows.withColumn("digest", F.explode_outer(expressions(F.col("host"), F.col("path"), labels, sizes)))
-        found = found.withColumn("key", short(F.col("digest")))
-        right = F.broadcast(table) if n <= BROADCAST_ROWS else table
-        sure = F.col("digest") == F.col("rule_digest")
-        rows = (
-            found.join(right, "key", "left")
-            .groupBy("page_id", "url", "host", "path", "copies")
-            .agg(F.max_by(F.when(sure, F.struct("name", "rule_verdict", "base")), F.when(sure, F.struct("size", "name"))).alias("best"))
-        )
-    else:
+        return found.withColumn("key", short(F.col("digest")))
+
+    sure = F.col("digest") == F.col("rule_digest")
+    best = F.max_by(F.when(sure, F.struct("name", "rule_verdict", "base")), F.when(sure, F.struct("base", "size", "name"))).alias("best")
+    if n > BROADCAST_ROWS:
+        asked = expanded(rows).select("key", "digest").distinct()
+        table = cut(table.join(asked, "key").filter(sure).drop("digest"))
+        n = table.count()
+    if not n:
         rows = rows.withColumn("best", F.lit(None).cast("struct<name:string,rule_verdict:string,base:boolean>"))
+    elif n <= BROADCAST_ROWS:
+        rows = expanded(rows).join(F.broadcast(table), "key", "left").groupBy("row", "page_id", "url", "host", "path").agg(best)
+    else:
+        rows = cut(rows)
+        found = expanded(rows).select("row", "key", "digest").join(table, "key").filter(sure).groupBy("row").agg(best)
+        rows = rows.join(found, "row", "left")
     return rows.select(
         "page_id",
         "url",
@@ -129,8 +139,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         F.col("best.name").alias("rule"),
         F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict"),
         F.col("best.base").alias("base_rule"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"),
-    ).drop("__copy")
+    )
 
 
 def production_rules(spark: SparkSession, own: bool = True) -> DataFrame:
