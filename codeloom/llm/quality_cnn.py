@@ -10,8 +10,10 @@ at most ``LONGEST`` bytes (documented bounds); rows held out by the caller are n
 reads whole texts, in blocks, one scan without a shuffle. Inputs of a score are the text's bytes
 only.
 
-Edge cases: a null text counts as an empty one and is scored like any other. Null or conflicting
-labels are dropped (of conflicting ones the smaller stays). Without labels of both classes there
+Edge cases: a null text counts as an empty one and is scored like any other; a very long one is scored
+whole, in blocks. Null labels, labels other than 0 and 1 and those without a doc_id are dropped; of
+conflicting ones the smaller counts. Rows with equal or null ids are scored each. Extra columns, of
+whatever name, are ignored by :func:`score` and kept by :func:`keep`. Without labels of both classes there
 is nothing to learn: all scores are the share of label 1 (0.5 without labels), and :func:`keep`
 then rejects nothing. Repeated rows repeat. Empty tables give empty results.
 """
@@ -208,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CL
     """A network, or the share of label 1 where there is nothing to learn.
 
     The sample is the labelled rows with the smallest hashes of doc_id, ``per_class`` of each
-    label at most: a distributed top-k, so its size is bounded at every input size.
+    label at most: a distributed top-k, so its size is bounded at every input size. Of texts that share
+    an id the smallest is read.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -222,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CL
     sample = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= longest).join(sample, "doc_id")
-    rows = sorted({(r["doc_id"], r["text"], r["label"]) for r in rows.collect()})
+    # One text for each id of the sample, so what comes to the driver is bounded however often an id repeats.
+    rows = sorted(tuple(r) for r in rows.groupBy("doc_id").agg(F.min("text"), F.any_value("label")).collect())
     if len({y for *_, y in rows}) < 2:
         return float(np.mean([y for *_, y in rows])) if rows else 0.5
     return fit([t.encode("utf-8", "surrogatepass") for _, t, _ in rows], np.array([y for *_, y in rows]))
