@@ -10,8 +10,8 @@ up to ``BUCKET`` classes are searched as they are. A larger bucket is covered ag
 that its mask left free (about half remain each time), so after three levels at most 2**8 distinct
 fingerprints can share a key: the size of every group that one task holds is bounded by
 construction, and nothing is dropped. A bucket yields a spanning star of each of its components,
-not its pairs. Components are found by alternating large-star and small-star rounds on the
-cluster, each round checkpointed in the shared folder.
+not its pairs. Components of many links are found by alternating large-star and small-star rounds on the
+cluster, each round checkpointed in the shared folder; those of few, counted, links in one task.
 
 Few pairs of texts at a Jaccard similarity of 0.8 are within three bits, so where a ``similarity`` is
 given, pairs of texts whose sets of ``SIMILAR_WIDTH``-word shingles are at least that similar are
@@ -45,6 +45,8 @@ LEVELS = 3
 SIMILAR_WIDTH = 5
 BANDS, BAND = 24, 4
 BROADCAST_ROWS = 100_000
+#: Edges that one task joins, 16 bytes each; beyond it, rounds on the cluster do.
+FEW_EDGES = 250_000
 #: About as many texts, and shingles of theirs, are compared in one block.
 GROUP, GROUP_SHINGLES = 256, 1 << 20
 ALL = (1 << 64) - 1
@@ -155,12 +157,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return cut(pairs.join(first, "a").join(other, "b").filter(near).select("a", "b"))
 
 
-def _rooted(rows: DataFrame, edges: DataFrame, name: str = "own") -> DataFrame:
-    """``rows`` with ``root``, the smallest node of the component of ``name``."""
-    if edges.isEmpty():
-        return rows.withColumn("root", F.col(name))
-    roots = stars(edges).withColumnRenamed("node", "__node").withColumnRenamed("root", "__root")
-    return rows.join(roots, F.col(name) == F.col("__node"), "left").withColumn("root", F.coalesce("__root", name)).drop("__node", "__root")
+def _rooted(rows: DataFrame, roots: DataFrame, name: str, out: str = "root") -> DataFrame:
+    """``rows`` with ``out``, the smallest node of the component of ``name``; ``roots`` are those of :func:`stars`."""
+    found = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return rows.join(found, F.col(name) == F.col("__node"), "left").withColumn(out, F.coalesce("__root", name)).drop("__node", "__root")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
@@ -184,10 +184,20 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> Data
     sets = stored.df
     pairs = met.filter("own <> pivot")
     edges = _confirmed(pairs.groupBy("own").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("own").alias("b")), sets, similarity)
-    joined = cut(_rooted(_rooted(pairs.select("own", "pivot").distinct(), edges).withColumnRenamed("root", "__of"), edges, "pivot").filter("root <> __of").select(F.col("pivot").alias("a"), F.col("own").alias("b")))
-    edges = edges.union(_confirmed(joined, sets, similarity))
-    within = cut(_rooted(_rooted(met, edges).withColumnRenamed("root", "__of"), edges, "pivot").select("bucket", "own", (F.col("root") != F.col("__of")).alias("apart")))
-    edges = edges.union(_blocks(within, sets, similarity))
+    roots = stars(edges)
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """``rows`` (own, pivot) with ``apart``: whether the two are in different components."""
+        return _rooted(_rooted(rows, roots, "own"), roots, "pivot", "of").withColumn("apart", F.col("root") != F.col("of")).drop("root", "of")
+
+    left = beside(pairs.select("own", "pivot").distinct()).filter("apart").select(F.col("pivot").alias("a"), F.col("own").alias("b"))
+    more = _confirmed(left, sets, similarity)
+    if not more.isEmpty():
+        edges = edges.union(more)
+        roots = stars(edges)
+    within = cut(beside(met).select("bucket", "own", "apart"))
+    if not within.filter("apart").isEmpty():
+        edges = edges.union(_blocks(within, sets, similarity))
     prints_of = wanted.select("own", "fp")
     ends = edges.join(prints_of.select(F.col("own").alias("a"), F.col("fp").alias("p")), "a").join(prints_of.select(F.col("own").alias("b"), F.col("fp").alias("q")), "b")
     out = cut(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
@@ -289,8 +299,35 @@ def links(classes: DataFrame) -> DataFrame:
     return cut(found.distinct())
 
 
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of a task."""
+    own = [b for b in batches if b.num_rows]
+    if not own:
+        return
+    ends = np.concatenate([np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in own], axis=1)
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    for k in range(0, len(other), 10_000):
+        part = other[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], ["node", "root"])
+
+
 def stars(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) but the roots; the root is a component's smallest node."""
+    """(node, root) for every node of ``edges`` (a, b) but the roots; the root is a component's smallest node.
+
+    Up to ``FEW_EDGES`` (counted) are joined in one task, without a shuffle; more in rounds on the cluster.
+    """
+    if edges.count() <= FEW_EDGES:
+        return cut(edges.select("a", "b").coalesce(1).mapInArrow(_one_task, "node long, root long"))
 
     def unlike(df: DataFrame) -> DataFrame:
         return df.filter("u <> v").distinct()
@@ -325,7 +362,7 @@ def _classes(docs: DataFrame, width: int, similarity: float | None) -> tuple[Dat
     edges = links(classes)
     if similarity is not None:
         edges = edges.union(similar_links(docs, prints, similarity))
-    return prints.select("doc_id", "fp", "own"), cut(_rooted(classes, edges, "fp"))
+    return prints.select("doc_id", "fp", "own"), cut(_rooted(classes, stars(edges), "fp"))
 
 
 def components(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
