@@ -1,9 +1,9 @@
 """License scans by a generalised suffix automaton of license words.
 
-The automaton holds all substrings of all templates (word by word). A file streams through it and
-each word gets its matching statistic: the length of the longest substring of any template that
-ends there, and where that lies. Statistics that can't be extended further are long matches; of
-each template they are chained by weight in file order and template order, overlaps trimmed, into a
+The automaton holds all substrings of all templates (word by word; :mod:`codeloom.llm.license_texts`). A file streams through it and
+each word gets its matching statistics: of each template, the length of its longest substring that
+ends there, and where that lies (the longest of all, and up the suffix links those of templates that
+lack it). Statistics that can't be extended further are long matches; of each template they are chained by weight in file order and template order, overlaps trimmed, into a
 covered span, and the share of the template that the chain covers is its score. Base phrases are strings of the automaton as
 well: a place of a phrase is a word at which the phrase is a suffix of the current match, which the
 automaton's suffix links tell.
@@ -13,8 +13,9 @@ lookup a word. The automaton is built from the templates on each Python worker;
 on them alone.
 
 Edge cases: a null text is empty and has no words, labels or places, and score 0. Very long texts
-stream; memory is that of their words. Repeated rows repeat. Empty tables give empty results. Extra
-columns are ignored.
+stream; memory is that of their words. Of spans of one template that overlap the best covered stays, of
+equally covered ones the first. Repeated rows, and rows with equal or null ids, repeat. Empty tables give
+empty results. Extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm.common import rows_of
+from codeloom.llm.license_texts import TEMPLATES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,23 +36,9 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Base phrases and labels (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Short notices and key sentences of public licenses, by label.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
-#: A match counts from this many words on, and a label from this covered share of a template on.
-LEAST_MATCH, LEAST_SHARE = 2, 0.8
+#: A match counts from this many words on (more in templates of ``LONG`` words, where pairs of common words lie in many
+#: places), and a label from this covered share of a template on.
+LEAST_MATCH, LEAST_LONG, LONG, LEAST_SHARE = 2, 4, 40, 0.8
 
 
 def words_of(text: str) -> list[str]:
@@ -80,6 +68,16 @@ class Automaton:
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             self.ends[self.link[s]] |= self.ends[s]
         self.vocabulary = frozenset(self.next[0])
+        # Of each state, for each template, its longest substring among the state's suffixes: (template, length, ends).
+        self.profile: list[list[tuple[int, int, tuple[int, ...]]]] = []
+        for s in range(len(self.next)):
+            own: dict[int, tuple[int, tuple[int, ...]]] = {}
+            up = s
+            while up > 0 and self.length[up] >= LEAST_MATCH:
+                for t in {t for t, _ in self.ends[up]} - own.keys():
+                    own[t] = (self.length[up], tuple(sorted(e for x, e in self.ends[up] if x == t)))
+                up = self.link[up]
+            self.profile.append([(t, n, ends) for t, (n, ends) in own.items()])
         self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.next]
         found = []
         for p, ws in enumerate(phrases):
@@ -146,6 +144,7 @@ class Scanner:
     def __init__(self, templates: tuple = TEMPLATES, base: tuple = BASE):
         self.labels = [label for label, _ in templates]
         self.templates = [words_of(t) for _, t in templates]
+        self.least = [LEAST_LONG if len(t) >= LONG else LEAST_MATCH for t in self.templates]
         self.base = [(words_of(p), label) for p, label in base]
         self.automaton = Automaton(self.templates, [p for p, _ in self.base])
 
@@ -153,26 +152,28 @@ class Scanner:
         """n_words; places (start, label) of base phrases; spans (label, start, end, share) of templates."""
         words = words_of(text)
         places: list[tuple[int, str]] = []
-        matches: list[tuple[int, int, int]] = []
-        a, last = self.automaton, None
+        matches: dict[int, list[tuple[int, int, int]]] = {}
+        a, last, open_ = self.automaton, -2, {}
+
+        def close(t: int, n: int, ends: tuple[int, ...]) -> None:
+            if n >= self.least[t]:
+                matches.setdefault(t, []).extend((last - n + 1, e - n + 1, n) for e in ends)
+
         for i, state, length in a.statistics(words):
             for p, n in a.phrases[state]:
                 if n <= length:
                     places.append((i - n + 1, self.base[p][1]))
-            if last and (i != last[0] + 1 or length != last[2] + 1):
-                matches.append(last)
-            last = (i, state, length)
-        if last:
-            matches.append(last)
+            own = {t: (min(length, n), ends) for t, n, ends in a.profile[state]} if length >= LEAST_MATCH else {}
+            for t, (n, ends) in open_.items():
+                if i != last + 1 or own.get(t, (0,))[0] != n + 1:
+                    close(t, n, ends)
+            open_, last = own, i
+        for t, (n, ends) in open_.items():
+            close(t, n, ends)
         return {"n_words": len(words), "places": sorted(places), "spans": self._spans(matches)}
 
-    def _spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def _spans(self, by_template: dict[int, list[tuple[int, int, int]]]) -> list[tuple[str, int, int, float]]:
         """The heaviest chains of maximal matches that don't overlap, template by template."""
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for i, state, length in matches:
-            if length >= LEAST_MATCH:
-                for t, end in self.automaton.ends[state]:
-                    by_template.setdefault(t, []).append((i - length + 1, end - length + 1, length))
         out = []
         for t, found in sorted(by_template.items()):
             size, best = len(self.templates[t]), 0.0
