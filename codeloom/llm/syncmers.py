@@ -3,23 +3,29 @@
 A k-mer of a text's UTF-8 bytes is an anchor if the smallest hash among its inner s-mers is the
 first's or the last's. Whether it is depends on the k-mer alone, so an edit changes no anchor
 outside its own k-mers. A fingerprint keeps, for each of ``BINS`` classes of anchor hashes, 16 bits
-of the smallest one; the share of equal classes estimates the likeness of two texts' anchor sets.
-Anchors with their positions (:func:`anchors`, :func:`matches`) align texts by shared offsets.
+of the smallest one and the rank of its first position among those of the other classes. Two texts
+match by positions: of the classes with equal hashes those count that stand in the same order in
+both texts (a longest chain), and their share of all classes that either text has is the likeness.
+Insertions and cuts thus keep it, and moved passages lower it. :func:`matches` aligns two whole texts
+by the offsets of all their anchors.
 
 Texts are hashed in blocks, whole, however long. For the edited text of a document its successor
-by doc_id is needed: rows are dealt into ranges of doc_id, and the first row of each range is also
-sent to the range before, so each text is shuffled once (and one a range twice), and no task sees
-more than its range. Range bounds come from quantiles of doc_id alone.
+by doc_id is needed: rows are dealt into ranges of (doc_id, text hash), and the first row of each range
+is also sent to the range before, so each text is shuffled once (and one a range twice), and no task sees
+more than its ranges. Bounds come from quantiles of doc_id; an id, or none, that fills several ranges is
+split by quantiles of its text hashes, and a text that does so under one id by row number.
 
 Edge cases: a null text is empty; texts shorter than k bytes have one anchor, the text itself;
 empty ones have none and are alike with each other only. Rows with equal doc_id are ordered by
-their text; a null doc_id comes first. Repeated rows repeat. The only row of a table succeeds
-itself. Empty tables give empty results. Extra columns are ignored.
+the hash of their text; a null doc_id comes first. Repeated rows repeat. The only row of a table succeeds
+itself. Empty tables give empty results. Extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,8 @@ BINS = 128
 EMPTY = 0xFFFF
 BLOCK = 1 << 20
 ROWS = 64
+#: Numbers of ranges within one rank of ids, and most cuts of one id.
+_SUB, _MOST = 1 << 24, 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -72,8 +80,8 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: list[bytes]) -> np.ndarray:
-    """A row of BINS 16-bit values for each text."""
-    out = np.full((len(texts), BINS), EMPTY, np.uint16)
+    """A row for each text: BINS 16-bit values, then the BINS ranks of their positions."""
+    out = np.empty((len(texts), 2 * BINS), np.uint16)
     at = 0
     while at < len(texts):
         to, n = at, 0
@@ -83,7 +91,8 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         if n <= BLOCK:
             out[at:to] = _together(texts[at:to])
         else:
-            out[at] = _values(np.zeros(0, np.int64), anchors_of(texts[at])[1], 1)[0]
+            pos, hashes = anchors_of(texts[at])
+            out[at] = _values(np.zeros(len(pos), np.int64), pos, hashes, 1)[0]
         at = to
     return out
 
@@ -93,41 +102,67 @@ def _together(texts: list[bytes]) -> np.ndarray:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    rows, hashes = np.empty(0, np.int64), np.empty(0, np.uint64)
+    rows, pos, hashes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(data) >= K:
         pos, hashes = _block(data)
         rows = np.searchsorted(ends, pos, side="right")
         inside = pos + K <= ends[rows]
-        rows, hashes = rows[inside], hashes[inside]
+        rows, pos, hashes = rows[inside], pos[inside], hashes[inside]
     short = [k for k in np.flatnonzero((sizes > 0) & (sizes < K))]
     if short:
         rows = np.concatenate([rows, short])
+        pos = np.concatenate([pos, np.zeros(len(short), np.int64)])
         hashes = np.concatenate([hashes, *[anchors_of(texts[k])[1] for k in short]])
-    return _values(rows, hashes, len(texts))
+    return _values(rows, pos, hashes, len(texts))
 
 
-def _values(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    if n == 1:
-        rows = np.zeros(len(hashes), np.int64)
-    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, rows * BINS + (hashes >> np.uint64(57)).astype(np.int64), hashes & np.uint64((1 << 57) - 1))
+def _values(rows: np.ndarray, pos: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    none = np.iinfo(np.uint64).max
+    least = np.full(n * BINS, none, np.uint64)
+    cell, own = rows * BINS + (hashes >> np.uint64(57)).astype(np.int64), hashes & np.uint64((1 << 57) - 1)
+    np.minimum.at(least, cell, own)
     value = (_mix(least) >> np.uint64(40)) % np.uint64(EMPTY)
-    return np.where(least == np.iinfo(np.uint64).max, EMPTY, value).astype(np.uint16).reshape(n, BINS)
+    value = np.where(least == none, EMPTY, value).astype(np.uint16).reshape(n, BINS)
+    first = np.full(n * BINS, np.iinfo(np.int64).max)
+    hit = own == least[cell]
+    np.minimum.at(first, cell[hit], pos[hit])
+    order = first.reshape(n, BINS).argsort(1, kind="stable")
+    rank = np.empty((n, BINS), np.uint16)
+    np.put_along_axis(rank, order, np.arange(BINS, dtype=np.uint16)[None, :], 1)
+    return np.concatenate([value, np.where(value == EMPTY, 0, rank)], 1)
+
+
+def _chain(places: list[int]) -> int:
+    """The length of the longest increasing subsequence."""
+    ends: list[int] = []
+    for x in places:
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, the share of equal classes among those that either has; 1 where both have none."""
-    used = (a != EMPTY) | (b != EMPTY)
+    """Row by row, the share of equal classes in the same order among those that either has; 1 where both have none."""
+    x, y = a[:, :BINS], b[:, :BINS]
+    used = (x != EMPTY) | (y != EMPTY)
+    same = (x == y) & used
     n = used.sum(-1)
-    return np.where(n == 0, 1.0, ((a == b) & used).sum(-1) / np.maximum(1, n))
+    out = np.ones(len(a))
+    for k in range(len(a)):
+        if n[k]:
+            own, other = a[k, BINS:][same[k]], b[k, BINS:][same[k]]
+            out[k] = _chain(other[own.argsort()].tolist()) / n[k]
+    return out
 
 
 def to_hex(sketch: np.ndarray) -> list[str]:
-    return [r.astype(">u2").tobytes().hex() for r in sketch]
+    """The values, then the ranks as bytes."""
+    return [r[:BINS].astype(">u2").tobytes().hex() + r[BINS:].astype(np.uint8).tobytes().hex() for r in sketch]
 
 
 def from_hex(value: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(value), ">u2").astype(np.uint16)
+    data = bytes.fromhex(value)
+    return np.concatenate([np.frombuffer(data, ">u2", BINS), np.frombuffer(data, np.uint8, BINS, 2 * BINS)]).astype(np.uint16)
 
 
 def matches(a: bytes, b: bytes) -> list[tuple[int, int]]:
@@ -182,8 +217,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs: list[tuple] = []
     size = 0
     for doc_id, text, place, guest in rows():
-        if held and held[0][2] == place:
-            pairs.append((held[0][0], held[0][1], text))
+        if held:
+            # A range without a guest is followed by more copies of its last text.
+            pairs.append((*held[0][:2], text if held[0][2] == place else held[0][1]))
             size += len(text)
             held.clear()
         if not guest:
@@ -191,6 +227,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size > BLOCK or len(pairs) >= 4 * ROWS:
             yield flush(pairs)
             pairs, size = [], 0
+    if held:
+        pairs.append((*held[0][:2], held[0][1]))
     if pairs:
         yield flush(pairs)
 
@@ -198,24 +236,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 4 * parts)
     # Some ranges for each partition, so that hashing them to partitions comes out even.
-    n = 4 * parts
-    at = [k / n for k in range(1, n)]
-    bounds = docs.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    # The number of bounds at or below the id; a null id comes first.
-    rows = rows.withColumn("range", F.coalesce(_rank(bounds), F.lit(0)))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")
+    ends = rows.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     # At most one row for each range, whatever the input.
-    firsts = rows.select("doc_id", "range").groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("f"))
-    found = sorted((r["range"], r["f"]["doc_id"]) for r in firsts.collect())
-    # The first row of all is the successor of the last.
-    before = {i: found[k - 1][0] for k, (_, i) in enumerate(found)}
+    ends = sorted((r["range"], tuple(r["first"]), tuple(r["last"])) for r in ends.collect())
+    # The first row of a range succeeds the last of the range before, and that of the first the last of all.
+    guests = [(r, *first[1:], ends[k - 1][0]) for k, (r, first, _) in enumerate(ends) if first != ends[k - 1][2]]
     return (
-        _with_guests(rows, before)
+        _with_guests(rows, guests)
         .repartition(parts, "range")
-        .sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "text")
+        .sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "hash", "text")
         .select("doc_id", "text", "range", "guest")
         .mapInArrow(
             _compare,
@@ -224,6 +257,35 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (doc_id, text) with hash, and range: numbers in the order of (doc_id, hash), ``n`` or somewhat more."""
+    spark = rows.sparkSession
+    # Quantiles are kept as doubles, which hold 53 bits exactly; so ids beyond that are ordered, but not split by hash.
+    rows = rows.withColumn("hash", F.shiftright(F.xxhash64("text"), 11))
+    total, nulls, bounds = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()
+    times = Counter(bounds or [])
+    ids = sorted(times)
+    hot = {i: t for i, t in times.items() if t > 1}
+    if n * nulls > 1.5 * total:
+        hot[None] = round(n * nulls / total)
+    rank = F.coalesce(_rank(ids) + 1, F.lit(0)).cast("long") * _SUB
+    if not hot:
+        return rows.withColumn("range", rank)
+    own = spark.createDataFrame([(i,) for i in hot], "hot_id long")
+    q = min(max(hot.values()), _MOST)
+    found = rows.select("doc_id", "hash").join(F.broadcast(own), F.col("doc_id").eqNullSafe(F.col("hot_id")))
+    found = found.groupBy("hot_id").agg(F.percentile_approx("hash", [k / q for k in range(1, q)] or [0.5], 10_000).alias("cuts")).collect()
+    # About as many cuts of an id as it fills ranges.
+    cuts = [(r["hot_id"], r["cuts"][:: max(1, q // hot[r["hot_id"]])]) for r in found]
+    rows = rows.join(F.broadcast(spark.createDataFrame(cuts, "hot_id long, cuts array<long>")), F.col("doc_id").eqNullSafe(F.col("hot_id")) & F.col("cuts").isNotNull(), "left")
+    at = F.size(F.filter("cuts", lambda x: x <= F.col("hash")))
+    # Rows of one text that several cuts fall on are copies: any of their ranges will do.
+    copies = F.greatest(F.lit(1), F.size(F.filter("cuts", lambda x: x == F.col("hash"))))
+    sub = at - F.pmod(F.xxhash64(F.monotonically_increasing_id()), copies)
+    rows = rows.withColumn("range", rank + F.when(F.col("cuts").isNull(), F.lit(_SUB - 1)).otherwise(sub))
+    return rows.select("doc_id", "text", "hash", "range")
+
+
 def _rank(bounds: list[int]) -> Column:
     """How many bounds are at or below doc_id: a bisection over every ``ROWS``-th bound, then a look at those between."""
 
@@ -247,13 +309,16 @@ def _rank(bounds: list[int]) -> Column:
     return F.when(F.col("doc_id").isNotNull(), rank)
 
 
-def _with_guests(rows: DataFrame, before: dict) -> DataFrame:
-    """Each row in its own range, and the rows of a range's first id also in the range before; one scan."""
-    if not before:
+def _with_guests(rows: DataFrame, guests: list[tuple]) -> DataFrame:
+    """Each row in its own range, and the rows that begin a range also in the range before; one scan.
+
+    ``guests``: of each such range its number, its first doc_id and hash, and the range before.
+    """
+    if not guests:
         return rows.withColumn("guest", F.lit(False))
-    # A row for each range: its first id, and the range before.
-    guests = rows.sparkSession.createDataFrame(list(before.items()), "guest_id long, guest_range int")
-    joined = rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("guest_id")), "left")
+    first = rows.sparkSession.createDataFrame(guests, "first_of long, guest_id long, guest_hash long, guest_range long")
+    same = (F.col("range") == F.col("first_of")) & F.col("doc_id").eqNullSafe(F.col("guest_id")) & (F.col("hash") == F.col("guest_hash"))
+    joined = rows.join(F.broadcast(first), same, "left")
     own = F.struct(F.col("range"), F.lit(False).alias("guest"))
     other = F.when(F.col("guest_range").isNotNull(), F.struct(F.col("guest_range").alias("range"), F.lit(True).alias("guest")))
-    return joined.select("doc_id", "text", F.explode(F.array_compact(F.array(own, other))).alias("p")).select("doc_id", "text", "p.range", "p.guest")
+    return joined.select("doc_id", "text", "hash", F.explode(F.array_compact(F.array(own, other))).alias("p")).select("doc_id", "text", "hash", "p.range", "p.guest")
