@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm import pretokens
-from codeloom.llm.common import rows_of
+from codeloom.llm.common import rows_of, tidied
 
 
 def _varint(n: int) -> bytes:
@@ -104,6 +104,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@tidied
 def _digests(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.runtime.scratch import Stored, cut
+
+__all__ = ["SPACE", "Stored", "cut", "let", "prefix_sums", "rows_of", "table", "text_of", "tidied", "words_of"]
+
 #: The separators of words: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,49 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession) -> str:
-    """The application's own folder below the session's ``spark.checkpoint.dir``, which all machines share.
+def tidied(f: Callable) -> Callable:
+    """A function over Arrow batches that gives free memory back to the system at its end.
 
-    Where that is unset, a temporary folder is taken on a single machine only; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-        sc.setCheckpointDir(shared)
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage; a lost executor costs its running tasks only.
-
-    Spark removes the files when ``df`` is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    is set (:func:`codeloom.session.session` does).
+    Python workers live on for other tasks and stages; what one has freed would else count against its executor.
     """
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-class Stored:
-    """``df`` as Parquet in the shared folder, for wide rows: later reads take the columns that they need."""
-
-    def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        self._files = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._files.deleteOnExit(self._path)
-        self.df = spark.read.schema(df.schema).parquet(path)
 
-    def free(self) -> None:
-        """Remove the files; ``df`` can't be read any more."""
-        self._files.delete(self._path, True)
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch], *args, **given) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches, *args, **given)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm.common import rows_of
+from codeloom.llm.common import rows_of, tidied
 from codeloom.llm.license_texts import TEMPLATES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -226,6 +226,7 @@ def scanner() -> Scanner:
     return Scanner()
 
 
+@tidied
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = scanner()
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.llm import bpe, pretokens
-from codeloom.llm.common import Stored, cut, rows_of
+from codeloom.llm.common import Stored, cut, rows_of, tidied
 
 CAPACITY = 1024
 END = 2
@@ -85,6 +85,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
+@tidied
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(vocabulary)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["ids"] * with_ids

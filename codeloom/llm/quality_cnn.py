@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import tidied
+
 #: Most documents of each label in the fitting sample, and the weight of label 1 against label 0.
 PER_CLASS = {0: 700, 1: 1400}
 WEIGHT = 0.6
@@ -35,7 +37,7 @@ LONGEST = 16_384
 THRESHOLD = 0.7
 STEP, EMBED, FILTERS, HALF, HIDDEN = 4, 6, 16, 16, 12
 UNIT = STEP * HALF
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 ROWS = 256
 
 
@@ -242,6 +244,7 @@ def _scores(net: Network | float, texts: pa.Array) -> np.ndarray:
     return np.round(np.concatenate(parts), 6)
 
 
+@tidied
 def _score(batches: Iterator[pa.RecordBatch], net: Network | float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(net, b.column(1)), pa.float64())], ["doc_id", "score"])
@@ -253,6 +256,7 @@ def score(docs: DataFrame, net: Network | float) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@tidied
 def _keep(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield b.filter(pa.array(_scores(net, b.column("text")) >= THRESHOLD))

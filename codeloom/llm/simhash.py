@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Stored, cut, rows_of
+from codeloom.llm.common import Stored, cut, rows_of, tidied
 
 RADIUS = 3
 BUCKET = 1024
@@ -76,6 +76,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+@tidied
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
         found = np.fromiter((fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
@@ -104,6 +105,7 @@ def bands(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+@tidied
 def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
         texts = b.column(1).to_pylist()
@@ -112,6 +114,7 @@ def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2), keys], ["doc_id", "fp", "own", "bands"])
 
 
+@tidied
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
         found = [np.unique(shingles(t, SIMILAR_WIDTH)).view(np.int64) for t in b.column(1).to_pylist()]
@@ -140,6 +143,7 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
+@tidied
 def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
@@ -246,6 +250,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@tidied
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (mask, fp) under each finer mask."""
     for b in batches:
@@ -274,6 +279,7 @@ def _stars(values: list[int]) -> list[tuple[int, int]]:
     return [(int(x[r]), int(v)) for r, v in zip(label, x) if x[r] != v]
 
 
+@tidied
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [e for values in b.column(0).to_pylist() for e in _stars(values)]
@@ -299,6 +305,7 @@ def links(classes: DataFrame) -> DataFrame:
     return cut(found.distinct())
 
 
+@tidied
 def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of all edges of a task."""
     own = [b for b in batches if b.num_rows]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import let
+from codeloom.llm.common import let, tidied
 
 K, S = 16, 6
 BINS = 128
@@ -181,6 +181,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+@tidied
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (doc_id, text, range, guest); a guest ends its range as the last row's successor."""
     held: list[tuple] = []

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from codeloom.llm import bpe
-from codeloom.llm.common import rows_of
+from codeloom.llm.common import rows_of, tidied
 
 LEAF = 256
 #: A stretch without a safe cut is cut inside from this many characters on.
@@ -212,6 +212,7 @@ def middle_edit(text: str) -> list[Edit]:
     return [(2 * n // 3, 2 * n // 3 + n // 10, ""), (n // 3, n // 3, " an inserted phrase, twice")]
 
 
+@tidied
 def _counts(batches: Iterator[pa.RecordBatch], path: str, edits: Callable[[str], list[Edit]]) -> Iterator[pa.RecordBatch]:
     own = coder(path)
     names = ["doc_id", "n_chars", "n_leaves", "n_tokens", "edited_chars", "edited_tokens", "recoded_chars"]
