@@ -54,6 +54,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return op4_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    return op5_syncmer_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_simhash,
         op10_quality_classifier,
+        base_license_places,
+        edited_texts,
+        base_personal_data,
     )
 }
 

@@ -39,4 +39,31 @@ b AS (
   GROUP BY ALL)
 SELECT page_id, host, path, CASE WHEN best.b THEN best.n END AS rule, coalesce(best.v, 'allow') AS verdict FROM b"""
 
-ORACLE_SQL = {"op1_quality_rules": OP1, "op6_url_filters": OP6}
+#: Of operators that SQL can't express as a whole, the columns that the contract fixes.
+BASE_PLACES = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS a,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS b,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c
+  FROM d)
+SELECT doc_id, len(w) AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word,
+       array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels
+FROM p"""
+
+EDITED = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) // 4 AS k, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS f FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - k) || left(f, k)) AS edited_sha256 FROM n"""
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({_DIGITS}, length({_DIGITS}) - i, 1) AS INTEGER) ELSE (2 * CAST(substr({_DIGITS}, length({_DIGITS}) - i, 1) AS INTEGER)) // 10 + (2 * CAST(substr({_DIGITS}, length({_DIGITS}) - i, 1) AS INTEGER)) % 10 END)) % 10 = 0"
+PERSONAL = rf"""
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email,
+       len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: coalesce(TRY_CAST(p AS INTEGER), 999))) <= 255)) AS n_ip,
+       len(list_filter(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN})) AS n_card,
+       len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+ORACLE_SQL = {"op1_quality_rules": OP1, "op6_url_filters": OP6, "base_license_places": BASE_PLACES, "edited_texts": EDITED, "base_personal_data": PERSONAL}
