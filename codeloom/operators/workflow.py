@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.runtime.scratch import cut
+
 FINISHED = ("completed", "skipped")
 STALL_SECONDS = 3600
 MAX_RUNNING = 10
+#: Graphs of at most so many edges are walked on the driver.
+FEW_EDGES = 5_000
+TRIMS = 8
+ARROW = " -> "
 
 
 def finished(results: DataFrame) -> DataFrame:
@@ -16,11 +22,11 @@ def finished(results: DataFrame) -> DataFrame:
 
 
 def ready(steps: DataFrame, results: DataFrame) -> DataFrame:
-    """Steps without a result all of whose required steps have finished (relational division by anti-joins)."""
-    done = finished(results).select("workflow_id", F.col("step").alias("requires"))
-    waiting = steps.filter("requires is not null").join(done, ["workflow_id", "requires"], "left_anti").select("workflow_id", "step").distinct()
-    open_ = steps.join(results, ["workflow_id", "step"], "left_anti")
-    return open_.join(waiting, ["workflow_id", "step"], "left_anti").select("workflow_id", "step").distinct()
+    """Steps without a result all of whose required steps have finished (relational division by one aggregation)."""
+    known = results.groupBy("workflow_id", "step").agg(F.bool_or(F.col("status").isin(*FINISHED)).alias("done"))
+    asked = steps.select("workflow_id", "step", "requires").join(known.withColumnRenamed("step", "requires"), ["workflow_id", "requires"], "left")
+    met = asked.groupBy("workflow_id", "step").agg(F.bool_and(F.col("requires").isNull() | F.coalesce("done", F.lit(False))).alias("met"))
+    return met.filter("met").join(known, ["workflow_id", "step"], "left_anti").select("workflow_id", "step")
 
 
 def pending(steps: DataFrame, results: DataFrame) -> DataFrame:
@@ -59,43 +65,131 @@ def final_status() -> Column:
     return F.when(F.bool_or((F.col("status") == "failed") & F.col("critical")), "failed").otherwise("completed")
 
 
-def levels(spark, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, level) by longest path from a node without requirements; edges are (node, requires)."""
-    edges.createOrReplaceTempView("codeloom_level_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, level) AS (
-              SELECT DISTINCT requires, 1 FROM codeloom_level_edges
-              WHERE requires NOT IN (SELECT node FROM codeloom_level_edges)
-              UNION ALL
-              SELECT e.node, w.level + 1 FROM walk w JOIN codeloom_level_edges e ON e.requires = w.node WHERE w.level < {most - 1})
-            SELECT node, max(level) AS level FROM walk GROUP BY node"""
-    )
-
-
-def cycles(spark, edges: DataFrame, most: int = 20) -> DataFrame:
-    """Nodes that reach themselves, with the text of a shortest such path; edges are (node, depends_on)."""
-    edges.createOrReplaceTempView("codeloom_cycle_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(root, node, path, depth) AS (
-              SELECT node, depends_on, concat(node, ' -> ', depends_on), 1 FROM codeloom_cycle_edges
-              UNION ALL
-              SELECT w.root, e.depends_on, concat(w.path, ' -> ', e.depends_on), w.depth + 1
-              FROM walk w JOIN codeloom_cycle_edges e ON e.node = w.node
-              WHERE w.root <> w.node AND w.depth < {most})
-            SELECT root, min_by(path, struct(depth, path)) AS path FROM walk WHERE root = node GROUP BY root"""
-    )
-
-
-def closure(spark, edges: DataFrame, most: int = 20) -> DataFrame:
-    """(root, node) for all nodes that a node depends on, directly or not."""
-    edges.createOrReplaceTempView("codeloom_closure_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(root, node, depth) AS (
-              SELECT node, depends_on, 1 FROM codeloom_closure_edges
-              UNION ALL
-              SELECT w.root, e.depends_on, w.depth + 1 FROM walk w JOIN codeloom_closure_edges e ON e.node = w.node WHERE w.depth < {most})
-            SELECT DISTINCT root, node FROM walk"""
-    )
+def _links(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (a, b) without nulls."""
+    return edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna().distinct()
+
+
+def _few(edges: DataFrame, most: int) -> list[tuple[str, str]] | None:
+    """The edges on the driver where there are at most ``most``, else None."""
+    rows = edges.limit(most + 1).collect()
+    return sorted(map(tuple, rows)) if len(rows) <= most else None
+
+
+def levels(spark, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(node, level) by longest path from a node without requirements; edges are (node, requires).
+
+    A null ``requires`` stands for a node without requirements, so isolated nodes are at level 1. Nodes on a
+    cycle, and those that need one, are never ready and left out. Levels are peeled one by one, however many
+    there are: on the driver for at most ``few`` edges, else in rounds on the cluster.
+    """
+    links = _links(edges, "node", "requires")
+    nodes = edges.select(F.col("node").cast("string").alias("node")).union(edges.select(F.col("requires").cast("string"))).dropna().distinct()
+    own = _few(links, few)
+    if own is not None and (names := nodes.limit(2 * few + 1).collect()) and len(names) <= 2 * few:
+        return spark.createDataFrame(_peeled([r["node"] for r in names], own), "node string, level int")
+    links, left, out, level = cut(links), cut(nodes), None, 0
+    while True:
+        level += 1
+        ready = cut(left.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
+        if ready.isEmpty():
+            break
+        done = ready.withColumn("level", F.lit(level))
+        out = done if out is None else out.union(done)
+        left = cut(left.join(ready, "node", "left_anti"))
+        links = cut(links.join(ready.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+    return out if out is not None else spark.createDataFrame([], "node string, level int")
+
+
+def _peeled(nodes: list[str], links: list[tuple[str, str]]) -> list[tuple[str, int]]:
+    waits, followers = dict.fromkeys(nodes, 0), {}
+    for a, b in links:
+        waits[a] += 1
+        followers.setdefault(b, []).append(a)
+    wave, level, out = [n for n, k in waits.items() if not k], 0, []
+    while wave:
+        level += 1
+        out += [(n, level) for n in wave]
+        following = []
+        for n in wave:
+            for a in followers.get(n, ()):
+                waits[a] -= 1
+                if not waits[a]:
+                    following.append(a)
+        wave = following
+    return out
+
+
+def closure(spark, edges: DataFrame) -> DataFrame:
+    """(root, node) for all nodes that a node depends on, directly or not; edges are (node, depends_on).
+
+    Pairs of twice the length are added in each round, so the rounds grow with the logarithm of the longest path.
+    """
+    reach = cut(_links(edges, "node", "depends_on").select(F.col("a").alias("root"), F.col("b").alias("node")))
+    while True:
+        further = reach.join(reach.select(F.col("root").alias("node"), F.col("node").alias("end")), "node").select("root", F.col("end").alias("node"))
+        new = cut(further.distinct().join(reach, ["root", "node"], "left_anti"))
+        if new.isEmpty():
+            return reach
+        reach = cut(reach.union(new))
+
+
+def cycles(spark, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(root, path): nodes that reach themselves, with a shortest such path, of equals the first; edges are (node, depends_on).
+
+    Cycles may be of any length. Paths are searched among the nodes on cycles only, and of the paths to one node
+    the first is carried on: on the driver for at most ``few`` edges, else in rounds on the cluster.
+    """
+    links = _links(edges, "node", "depends_on")
+    own = _few(links, few)
+    if own is not None:
+        return spark.createDataFrame(_loops(own), "root string, path string")
+    links = cut(links)
+    for _ in range(TRIMS):  # ends of trees go first; what is left doesn't change the result
+        before = links.count()
+        links = cut(links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        if links.count() == before:
+            break
+    reach = closure(spark, links.select(F.col("a").alias("node"), F.col("b").alias("depends_on")))
+    back = reach.select(F.col("root").alias("b"), F.col("node").alias("a"))
+    links = cut(links.join(back, ["a", "b"], "left_semi"))
+    walk = cut(links.select(F.col("a").alias("root"), F.col("b").alias("node"), F.concat("a", F.lit(ARROW), "b").alias("path")))
+    seen, out = walk.select("root", "node"), walk.filter("root = node").select("root", "path")
+    while True:
+        step = walk.filter("root <> node").join(links.select(F.col("a").alias("node"), "b"), "node")
+        step = step.groupBy("root", "b").agg(F.min(F.concat("path", F.lit(ARROW), "b")).alias("path")).withColumnRenamed("b", "node")
+        walk = cut(step.join(seen, ["root", "node"], "left_anti"))
+        if walk.isEmpty():
+            return out
+        out = out.union(walk.filter("root = node").select("root", "path"))
+        seen = cut(seen.union(walk.select("root", "node")))
+
+
+def _loops(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    while True:  # only what has a way in and a way out can be on a cycle
+        heads, tails = {a for a, _ in links}, {b for _, b in links}
+        kept = [(a, b) for a, b in links if a in tails and b in heads]
+        if len(kept) == len(links):
+            break
+        links = kept
+    to: dict[str, list[str]] = {}
+    for a, b in links:
+        to.setdefault(a, []).append(b)
+    out = []
+    for root in to:
+        wave, seen = {root: root}, set()
+        while wave and root not in seen:
+            following: dict[str, str] = {}
+            for node, path in wave.items():
+                for b in to.get(node, ()):
+                    if b not in seen:
+                        text = path + ARROW + b
+                        following[b] = min(text, following.get(b, text))
+            seen |= following.keys()
+            wave = following
+        if root in wave:
+            out.append((root, wave[root]))
+    return out
 
 
 def last_runs(runs: DataFrame, n: int) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".py", ".md", ".pyc", ".tar.gz", ".jar", "", ".js", ".so")
+#: Languages by extension (fixed values).
+LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".cpp": "cpp", ".c": "c", ".cs": "c_sharp"}
 COMPONENT_STATUS = {"view": "healthy", "purchase": "healthy", "click": "degraded", "error": "unhealthy", "signup": "starting"}
 TARGETS = {"signup": "starting", "view": "running", "click": "degraded", "error": "error", "purchase": "recovering"}
 SUBSCRIPTIONS = [(1, 1, "click", 100, None), (2, 2, "purchase", 50, 100.0), (3, 3, "*", 10, None), (4, 4, "error", 100, None), (5, 5, "*", 100, 150.0), (6, 6, "view", 1, None)]
@@ -88,8 +90,9 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """One row for each (workflow, step); the required step is the one before, whether it exists or not."""
+    # Flags are single letters; their numbers let the aggregation hash instead of sorting strings.
     one = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"), F.max("l_shipdate").alias("end_time"), F.min("l_quantity").alias("quantity")
+        F.char(F.min(F.ascii("l_returnflag"))).alias("rf"), F.char(F.max(F.ascii("l_linestatus"))).alias("ls"), F.max("l_shipdate").alias("end_time"), F.min("l_quantity").alias("quantity")
     )
     n = F.col("l_linenumber")
     return one.select(
@@ -117,6 +120,13 @@ def code(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), F.col("p_partkey").alias("part"), text.alias("content"))
 
 
+def branchy(spark: SparkSession, d: str) -> DataFrame:
+    """A source text for each part: a function with as many branches as its key asks for, that calls another."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("def h(x):\n    return x\n\n\ndef g"), k, F.lit("(x):\n"), F.repeat(F.lit("    if x and g:\n        x = h(x)\n"), (k % 9).cast("int")), F.lit("    return x\n"))
+    return read(spark, d, "part").select(F.concat(F.lit("q"), k, F.lit(".py")).alias("path"), text.alias("content"))
+
+
 def _values(rows: list[tuple]) -> str:
     def one(x) -> str:
         return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)

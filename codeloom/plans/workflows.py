@@ -12,20 +12,39 @@ from codeloom.plans import views as v
 from codeloom.plans.views import Family
 
 family = Family()
-DIGRAPH = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("e", "a")]
-CYCLIC = [("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"), ("E", "D")]
-
-
 def _steps(spark, d):
     """Steps, and the results that exist: two of three workflows have results up to step 3."""
     steps = v.steps(spark, d)
     return steps, steps.filter("workflow_id % 3 <> 0 AND step <= 3")
 
 
-def _edges(spark, rows):
-    return spark.createDataFrame(rows, "node string, depends_on string")
+def _requirements(spark, d):
+    """A step needs the one before, and every third also the one before that; the first needs none."""
+    n = F.col("l_linenumber")
+    own = F.array_compact(F.array(F.when(n > 1, n - 1), F.when((n > 2) & (n % 3 == 0), n - 2)))
+    rows = v.read(spark, d, "lineitem").select("l_orderkey", n.alias("n"), F.explode_outer(own).alias("k"))
+    name = lambda c: F.concat(F.lit("w"), "l_orderkey", F.lit("-"), c)
+    return rows.select(name("n").alias("node"), F.when(F.col("k").isNotNull(), name("k")).alias("requires"))
+
+
+def _squares(spark, d):
+    """Each part depends on one other: trees that lead into cycles, some longer than twenty."""
+    t = v.read(spark, d, "part")
+    k = F.col("p_partkey")
+    n = F.broadcast(t.agg(F.count("*").alias("n")))
+    return t.crossJoin(n).select(F.concat(F.lit("p"), k).alias("node"), F.concat(F.lit("p"), (k * k + 1) % F.col("n") + 1).alias("depends_on"))
+
 
+def _halves(spark, d):
+    k = F.col("p_partkey")
+    t = v.read(spark, d, "part").filter(k > 1)
+    return t.select(F.concat(F.lit("p"), k).alias("node"), F.concat(F.lit("p"), F.floor(k / 2).cast("long")).alias("depends_on"))
 
+
+REQUIREMENTS = "(SELECT DISTINCT 'w' || l_orderkey || '-' || l_linenumber AS node, 'w' || l_orderkey || '-' || k AS requires FROM (SELECT l_orderkey, l_linenumber, unnest([l_linenumber - 1, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber - 2 END]) AS k FROM lineitem) WHERE k > 0)"
+SQUARES = "(SELECT 'p' || p_partkey AS node, 'p' || ((p_partkey::HUGEINT * p_partkey + 1) % (SELECT count(*) FROM part) + 1) AS depends_on FROM part)"
+LOOPS = f"g AS {SQUARES}, r AS (SELECT node AS root, depends_on AS node FROM g UNION SELECT r.root, g.depends_on FROM r JOIN g ON g.node = r.node)"
+HALVES = "(SELECT 'p' || p_partkey AS node, 'p' || (p_partkey // 2) AS depends_on FROM part WHERE p_partkey > 1)"
 RESULTS = "(SELECT * FROM steps WHERE workflow_id % 3 <> 0 AND step <= 3)"
 
 
@@ -34,24 +53,28 @@ def workflow_edges(spark, d):
     return v.steps(spark, d).filter("requires is not null").select("workflow_id", F.col("requires").alias("source"), F.col("step").alias("target"))
 
 
-@family.add("SELECT * FROM (VALUES ('a', 1), ('b', 2), ('c', 2), ('d', 3), ('e', 4)) t(node, level)")
+@family.add(
+    f"WITH RECURSIVE e AS {REQUIREMENTS}, w(node, level) AS (SELECT node, 1 FROM (SELECT 'w' || l_orderkey || '-' || l_linenumber AS node FROM lineitem UNION SELECT requires FROM e) WHERE node NOT IN (SELECT node FROM e) UNION SELECT e.node, w.level + 1 FROM w JOIN e ON e.requires = w.node) SELECT node, max(level) AS level FROM w GROUP BY node"
+)
 def workflow_levels(spark, d):
-    return w.levels(spark, spark.createDataFrame(DIGRAPH, "node string, requires string"))
+    return w.levels(spark, _requirements(spark, d))
 
 
-@family.add(f"WITH RECURSIVE g AS (SELECT * FROM (VALUES {v._values(CYCLIC)}) t(node, depends_on)), r AS (SELECT node AS root, depends_on AS node FROM g UNION SELECT r.root, g.depends_on FROM r JOIN g ON g.node = r.node) SELECT DISTINCT root AS node FROM r WHERE root = node")
+@family.add(f"WITH RECURSIVE {LOOPS} SELECT root AS node FROM r WHERE root = node")
 def workflow_has_cycle(spark, d):
-    return w.cycles(spark, _edges(spark, CYCLIC)).select(F.col("root").alias("node"))
+    return w.cycles(spark, _squares(spark, d)).select(F.col("root").alias("node"))
 
 
-@family.add("SELECT * FROM (VALUES ('A', 'A -> B -> C -> A'), ('B', 'B -> C -> A -> B'), ('C', 'C -> A -> B -> C')) t(root, path)")
+@family.add(
+    f"WITH RECURSIVE {LOOPS}, c AS (SELECT root AS node FROM r WHERE root = node), p AS (SELECT g.node AS root, g.depends_on AS node, g.node || ' -> ' || g.depends_on AS path FROM g JOIN c USING (node) UNION ALL SELECT p.root, g.depends_on, p.path || ' -> ' || g.depends_on FROM p JOIN g ON g.node = p.node WHERE p.root <> p.node) SELECT root, path FROM p WHERE root = node"
+)
 def di_cycle_path(spark, d):
-    return w.cycles(spark, _edges(spark, CYCLIC))
+    return w.cycles(spark, _squares(spark, d))
 
 
-@family.add(f"WITH RECURSIVE g AS (SELECT * FROM (VALUES {v._values(DIGRAPH)}) t(node, depends_on)), r AS (SELECT node AS root, depends_on AS node FROM g UNION SELECT r.root, g.depends_on FROM r JOIN g ON g.node = r.node) SELECT root, node FROM r")
+@family.add(f"WITH RECURSIVE g AS {HALVES}, r AS (SELECT node AS root, depends_on AS node FROM g UNION SELECT r.root, g.depends_on FROM r JOIN g ON g.node = r.node) SELECT root, node FROM r")
 def di_closure(spark, d):
-    return w.closure(spark, _edges(spark, DIGRAPH))
+    return w.closure(spark, _halves(spark, d))
 
 
 @family.add(
