@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.runtime.scratch import small
+
+BROADCAST_ROWS = 100_000
+
 #: Allowed node types of each relationship (fixed values).
 RELATIONSHIPS = {
     "CONTAINS": (("Project", "File"), ("File", "Class", "Function")),
@@ -65,7 +69,7 @@ def semantic_top(vectors: DataFrame, query: list[float], n: int) -> DataFrame:
 def routed(requests: DataFrame, agents: DataFrame) -> DataFrame:
     """Requests with the enabled agents of their capability."""
     able = agents.filter("enabled").select("agent", "capability")
-    return requests.join(F.broadcast(able), "capability").select("event_id", "agent")
+    return requests.join(small(able, BROADCAST_ROWS), "capability").select("event_id", "agent")
 
 
 def lru(uses: DataFrame, n: int) -> DataFrame:
