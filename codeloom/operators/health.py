@@ -20,6 +20,33 @@ def latest(events: DataFrame) -> DataFrame:
     )
 
 
+def component_state(reports: DataFrame) -> DataFrame:
+    """The state of each component after all its reports, field by field.
+
+    ``reports``: name, ts, event_id, status, response_ms, warnings (array), details (map). Status is the last one; a
+    null response time, or null warnings, keep the old value; details are merged, later values winning; the error
+    count starts anew at each healthy report.
+    """
+    at = F.struct("ts", "event_id")
+
+    def last(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+
+    kept = streaks(reports).groupBy("name").agg(
+        F.max_by("status", at).alias("status"), last("response_ms"), last("warnings"), F.max("ts").alias("last_check"), F.max_by("error_count", at).alias("error_count"),
+    )
+    # Of each key of the details the last value, before anything is gathered by component.
+    pairs = reports.select("name", "ts", "event_id", F.explode("details").alias("key", "value"))
+    pairs = pairs.groupBy("name", "key").agg(F.max_by("value", at).alias("value"))
+    merged = pairs.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("details"))
+    return kept.join(merged, "name", "left").withColumn("details", F.coalesce("details", F.create_map().cast("map<string,string>")))
+
+
+def components_ready(components: DataFrame) -> DataFrame:
+    """How many components are there and how many are no longer pending."""
+    return components.agg(F.count("*").alias("components"), F.count_if(F.col("status") != "pending").alias("components_ready"))
+
+
 def overall(status: Column, stale: Column) -> Column:
     """Worst first: unhealthy, degraded or stale, unknown, healthy."""
     return (
@@ -91,22 +118,36 @@ def resource_warnings(cpu: Column, memory: Column, disk: Column) -> Column:
 def replay(targets: DataFrame, edges: DataFrame, start: str = "initializing") -> DataFrame:
     """Final status and rejected transitions of each user's targets in time order.
 
-    The legal edges are a table of fixed size, folded into one array. A key's events are folded in
-    order, which no partial aggregate can do; the state of a key is its events' targets.
+    The legal edges are a table of fixed size. What a user's events of one day do is a map: from each status
+    at its start, the status at its end and the transitions rejected on the way. Days are folded apart, so no
+    task holds all events of a user, and a user's maps, one a day, are composed in order.
     """
-    legal = F.array(*[F.lit(f"{r['old']}>{r['new']}") for r in edges.collect()])
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "target")))
-    init = F.struct(F.lit(start).alias("status"), F.lit(0).cast("long").alias("rejected"))
+    legal = [(r["old"], r["new"]) for r in edges.collect()]
+    names = sorted({start, *[x for pair in legal for x in pair]})
+    allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in legal])
+    known = F.array(*[F.lit(x) for x in names])
+
+    def state(status: Column, rejected: Column) -> Column:
+        return F.struct(status.alias("status"), rejected.cast("long").alias("rejected"))
 
     def step(acc: Column, x: Column) -> Column:
-        ok = F.array_contains(legal, F.concat(acc["status"], F.lit(">"), x["target"]))
-        return F.struct(
-            F.when(ok, x["target"]).otherwise(acc["status"]).alias("status"),
-            (acc["rejected"] + F.when(ok, 0).otherwise(1)).cast("long").alias("rejected"),
-        )
-
-    out = targets.groupBy("user_id").agg(ordered.alias("xs"))
-    return out.select("user_id", F.aggregate("xs", init, step).alias("s")).select("user_id", F.col("s.status").alias("final_status"), "s.rejected")
+        def one(s: Column) -> Column:
+            ok = F.array_contains(allowed, F.concat(s["status"], F.lit(">"), x["target"]))
+            return state(F.when(ok, x["target"]).otherwise(s["status"]), s["rejected"] + F.when(ok, 0).otherwise(1))
+
+        return F.transform(acc, one)
+
+    identity = F.array(*[state(F.lit(x), F.lit(0)) for x in names])
+    day = targets.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "target"))).alias("xs"))
+    maps = day.select("user_id", "day", F.aggregate("xs", identity, step).alias("map"))
+
+    def compose(s: Column, x: Column) -> Column:
+        to = F.get(x["map"], (F.array_position(known, s["status"]) - 1).cast("int"))
+        return state(to["status"], s["rejected"] + to["rejected"])
+
+    whole = maps.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("day", "map"))).alias("days"))
+    out = whole.select("user_id", F.aggregate("days", state(F.lit(start), F.lit(0)), compose).alias("s"))
+    return out.select("user_id", F.col("s.status").alias("final_status"), "s.rejected")
 
 
 def folded_metric(changes: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def bus_publish(spark, d):
     return v.ev(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@family.add("SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS position FROM events")
+@family.add("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events")
 def bus_fifo(spark, d):
     return bus.fifo(v.ev(spark, d)).select("event_id", "position")
 
@@ -124,6 +124,35 @@ def component_latest(spark, d):
     return h.latest(v.comp(spark, d))
 
 
+REPORTS = "(SELECT *, CASE WHEN k % 3 <> 0 THEN value END AS response_ms, CASE WHEN k % 5 = 0 THEN 'w' || k END AS warning, CASE k % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS field FROM (SELECT c.*, e.k FROM comp c JOIN ev e USING (event_id)))"
+
+
+@family.add(
+    f"SELECT s.name, s.status, s.response_ms, s.warning, s.error_count, coalesce(x.details, '') AS details FROM (SELECT name, arg_max(status, (ts, event_id)) AS status, arg_max(response_ms, (ts, event_id)) FILTER (response_ms IS NOT NULL) AS response_ms, arg_max(warning, (ts, event_id)) FILTER (warning IS NOT NULL) AS warning, count(*) FILTER (status = 'unhealthy' AND (healthy IS NULL OR (ts, event_id) > healthy)) AS error_count FROM (SELECT *, max(CASE WHEN status = 'healthy' THEN (ts, event_id) END) OVER (PARTITION BY name) AS healthy FROM {REPORTS}) GROUP BY name) s LEFT JOIN (SELECT name, string_agg(field || '=' || k, ',' ORDER BY field) AS details FROM (SELECT name, field, arg_max(k, (ts, event_id)) AS k FROM {REPORTS} WHERE field IS NOT NULL GROUP BY name, field) GROUP BY name) x ON x.name = s.name"
+)
+def component_state(spark, d):
+    k = F.col("k")
+    field = F.when(k % 4 == 0, "a").when(k % 4 == 1, "b")
+    rows = v.comp(spark, d).join(v.ev(spark, d).select("event_id", "k"), "event_id").select(
+        "name", "ts", "event_id", "status", F.when(k % 3 != 0, F.col("value")).alias("response_ms"),
+        F.when(k % 5 == 0, F.array(F.concat(F.lit("w"), k))).alias("warnings"), F.when(field.isNotNull(), F.create_map(field, k.cast("string"))).alias("details"),
+    )
+    text = F.array_join(F.transform(F.map_entries("details"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return h.component_state(rows).select("name", "status", "response_ms", F.get("warnings", F.lit(0)).alias("warning"), "error_count", text.alias("details"))
+
+
+@family.add("SELECT sub_id, string_agg(event_type, ',' ORDER BY event_type) AS event_type FROM (SELECT DISTINCT user_id AS sub_id, event_type FROM events) GROUP BY sub_id")
+def bus_type_list(spark, d):
+    asked = v.ev(spark, d).groupBy(F.col("user_id").alias("sub_id")).agg(F.sort_array(F.collect_set("event_type")).alias("event_types"))
+    return bus.type_list(asked)
+
+
+@family.add("SELECT count(*) AS components, count(*) FILTER (status <> 'pending') AS components_ready FROM (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'pending' ELSE status END AS status FROM (SELECT id AS c_custkey, status FROM chk))")
+def components_ready(spark, d):
+    rows = v.chk(spark, d).select(F.when(F.col("id") % 4 == 0, "pending").otherwise(F.col("status")).alias("status"))
+    return h.components_ready(rows)
+
+
 @family.add(
     f"SELECT CASE WHEN bool_or(status = 'unhealthy') THEN 'unhealthy' WHEN bool_or(status = 'degraded' OR last_active < (SELECT max(ts) FROM events) - INTERVAL 1 DAY) THEN 'degraded' WHEN bool_or(status = 'unknown') THEN 'unknown' ELSE 'healthy' END AS overall FROM {LATEST}"
 )
