@@ -111,7 +111,14 @@ def retry_wait(delay: Column, attempts: Column) -> Column:
 def code_language(ext: Column) -> Column:
     """Language by extension (fixed values)."""
     pairs = {
-        ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".cpp": "cpp",
-        ".go": "go", ".rs": "rust", ".cs": "csharp", ".php": "php",
-    }
+        ".py": "python",
+        ".js": "javascript",
+        ".ts": "typescript",
+        ".java": "java",
+        ".go": "go",
+        ".rs": "rust",
+        ".cpp": "cpp",
+        ".c": "c",
+        ".cs": "c_sharp",
+    }
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), ext), F.lit("unknown"))

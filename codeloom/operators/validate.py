@@ -19,8 +19,23 @@ def not_null(c: Column, field: str) -> Column:
     return failed(c.isNull(), field, "null")
 
 
-def not_empty(c: Column, field: str) -> Column:
-    return failed(c.isNull() | (F.trim(c) == ""), field, "empty")
+#: White space at the ends of a string, Unicode's separators and controls with it.
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+
+
+def not_empty(c: Column, field: str, kind: str = "string") -> Column:
+    """Neither null nor blank; of other kinds: a collection without elements, zero and false are empty."""
+    empty = {
+        "string": lambda: c.rlike(rf"\A{BLANK}*\z"),
+        "collection": lambda: F.size(c) == 0,
+        "number": lambda: c == 0,
+        "boolean": lambda: ~c,
+    }[kind]()
+    return failed(c.isNull() | empty, field, "empty")
 
 
 def of_type(c: Column, field: str, kind: str) -> Column:
@@ -42,7 +57,7 @@ def email(c: Column, field: str) -> Column:
 
 
 def email_normalised(c: Column) -> Column:
-    t = F.trim(c)
+    t = stripped(c)
     return F.concat(F.substring_index(t, "@", 1), F.lit("@"), F.lower(F.substring_index(t, "@", -1)))
 
 
@@ -74,6 +89,15 @@ def quarantine(df: DataFrame, *checks: Column) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
+def path_state(paths: DataFrame, listing: DataFrame, must_exist: bool = True, must_be_file: bool = False, must_be_dir: bool = False) -> DataFrame:
+    """path and code (missing, not_a_file, not_a_directory) of the paths that fail; ``listing`` has path and is_dir."""
+    found = listing.groupBy("path").agg(F.bool_or("is_dir").alias("is_dir"))
+    known = F.col("is_dir").isNotNull()
+    code = F.when(F.lit(must_exist) & ~known, "missing")
+    code = code.when(F.lit(must_be_file) & known & F.col("is_dir"), "not_a_file").when(F.lit(must_be_dir) & known & ~F.col("is_dir"), "not_a_directory")
+    return paths.join(found, "path", "left").select("path", code.alias("code")).filter("code is not null")
+
+
 def paths_missing(paths: DataFrame, listing: DataFrame, column: str = "path") -> DataFrame:
     """The paths that a listing lacks."""
     return paths.join(listing.select(column).distinct(), column, "left_anti")

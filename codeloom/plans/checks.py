@@ -22,12 +22,20 @@ def _codes(where: str, table: str, key: str, field: str, code: str) -> str:
     return f"SELECT {key} AS id, '{field}' AS field, '{code}' AS code FROM {table} WHERE {where}"
 
 
-@family.add(_codes("conv_id % 5 = 0", "conversations", "conv_id", "text", "empty"))
+@family.add(_codes("conv_id % 5 = 0 OR trim(text, e' \\n\\t\\r\\x0b\\x0c') = ''", "conversations", "conv_id", "text", "empty"))
 def validate_not_empty(spark, d):
-    t = v.read(spark, d, "conversations").withColumn("text", F.when(F.col("conv_id") % 5 == 0, " ").otherwise(F.col("text")))
+    blank = F.get(F.array(*[F.lit(x) for x in (" ", " \n\t", "\t", "\u00a0", "")]), (F.floor(F.col("conv_id") / 5) % 5).cast("int"))
+    t = v.read(spark, d, "conversations").withColumn("text", F.when(F.col("conv_id") % 5 == 0, blank).otherwise(F.col("text")))
     return _failing(t, "conv_id", c.not_empty(F.col("text"), "text"))
 
 
+@family.add("SELECT o_custkey AS path, CASE WHEN c_custkey IS NULL THEN 'missing' ELSE 'not_a_file' END AS code FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR c_custkey % 3 = 0")
+def validate_path_kind(spark, d):
+    paths = v.read(spark, d, "orders").select(F.col("o_custkey").alias("path")).distinct()
+    listing = v.read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 3 == 0).alias("is_dir"))
+    return c.path_state(paths, listing, must_be_file=True)
+
+
 @family.add(_codes("TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL OR event_id % 5 = 0", "events", "event_id", "k", "type"))
 def validate_type(spark, d):
     k = F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.get_json_object("props", "$.k"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as s
 from codeloom.operators import scanning
+from codeloom.operators.validate import stripped
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
 
 family = Family()
+#: Extensions that are left out (fixed values).
 KEPT = "ext NOT IN ('.pyc', '.pyo', '.pyd', '.so', '.dll', '.exe', '.bin', '.class', '.jar')"
 SUFFIX = r"regexp_extract(name, '^.+(\.[^.]+)$', 1)"
 LIMIT = 4096
@@ -102,9 +105,15 @@ def version_gate(spark, d):
     return e.select("event_id", "version", s.version_ok(F.col("version")).alias("ok"))
 
 
-@family.add("SELECT ext, count(*) AS n, CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' ELSE 'unknown' END AS language FROM files GROUP BY ext")
+SUFFIXES = (*v.LANGUAGES, ".php", ".md", "")
+
+
+@family.add(
+    f"SELECT ext, count(*) AS n, {v._case('ext', v.LANGUAGES).replace(' END', " ELSE 'unknown' END")} AS language FROM (SELECT ({list(SUFFIXES)})[CAST(doc_id % {len(SUFFIXES)} AS INTEGER) + 1] AS ext FROM documents) GROUP BY ext"
+)
 def language_detect(spark, d):
-    return v.files(spark, d).groupBy("ext").agg(F.count("*").alias("n")).withColumn("language", s.code_language(F.col("ext")))
+    ext = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))
+    return v.read(spark, d, "documents").select(ext.alias("ext")).groupBy("ext").agg(F.count("*").alias("n")).withColumn("language", s.code_language(F.col("ext")))
 
 
 @family.add(
@@ -114,7 +123,7 @@ def code_metrics(spark, d):
     lines = F.split("content", "\n")
     marked = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("The"))))
     return v.files(spark, d).select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("blank_lines"),
+        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: stripped(x) == "")).cast("long").alias("blank_lines"),
         F.round(marked / F.size(lines), 6).alias("comment_density"),
     )
 
@@ -133,8 +142,12 @@ def change_detect(spark, d):
     "SELECT source, CASE WHEN n <= 5 THEN array_to_string(xs, ',') ELSE array_to_string(xs[1:5], ',') || ', … y ' || (n - 5) || ' más' END AS shown FROM (SELECT source, list(doc_id ORDER BY doc_id) AS xs, count(*) AS n FROM documents GROUP BY source)"
 )
 def report_truncate_list(spark, d):
-    top = v.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("xs"))
-    return top.select("source", scanning.truncated(F.col("xs"), F.col("n")).alias("shown"))
+    # Five ids of each source at most are gathered; the rest is only counted.
+    t = v.read(spark, d, "documents").select("source", "doc_id")
+    own = Window.partitionBy("source").orderBy("doc_id")
+    top = t.withColumn("r", F.row_number().over(own)).filter("r <= 5").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("xs"))
+    both = top.join(t.groupBy("source").agg(F.count("*").alias("n")), "source")
+    return both.select("source", scanning.truncated(F.col("xs"), F.col("n")).alias("shown"))
 
 
 QUERIES, ORACLE_SQL = family.queries, family.oracle
