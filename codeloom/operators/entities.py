@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "path string, ord int, type string, name string, line_start int, line_end int, "
-    "bases array<string>, methods array<string>, args array<string>, decorators array<string>, module string, alias string, error string"
+    "bases array<string>, methods array<string>, args array<string>, decorators array<string>, module string, alias string, error string, parent string, complexity int, calls array<string>"
 )
 ARROW = pa.schema(
     [("path", pa.string()), ("ord", pa.int32()), ("type", pa.string()), ("name", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]
     + [(n, pa.list_(pa.string())) for n in ("bases", "methods", "args", "decorators")]
-    + [(n, pa.string()) for n in ("module", "alias", "error")]
+    + [(n, pa.string()) for n in ("module", "alias", "error", "parent")]
+    + [("complexity", pa.int32()), ("calls", pa.list_(pa.string()))]
 )
+#: From these on, a function is complex, or long.
+COMPLEX, LONG = 10, 50
+BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert, ast.comprehension, ast.match_case)
+SCOPES = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def _described(node: ast.AST) -> list[dict]:
@@ -27,7 +32,8 @@ def _described(node: ast.AST) -> list[dict]:
             methods = [x.name for x in body if type(x) is ast.FunctionDef]
             return [{"type": "class", "name": name, "bases": list(map(ast.unparse, bases)), "methods": methods}]
         case ast.FunctionDef(name=name, args=args, decorator_list=marks):
-            return [{"type": "function", "name": name, "args": [a.arg for a in args.args], "decorators": list(map(ast.unparse, marks))}]
+            known = {"type": "function", "name": name, "args": [a.arg for a in args.args], "decorators": list(map(ast.unparse, marks))}
+            return [known | {"complexity": complexity(node), "calls": calls(node)}]
         case ast.Import(names=names):
             return [{"type": "import", "name": n.name, "alias": n.asname} for n in names]
         case ast.ImportFrom(names=names, module=module):
@@ -35,6 +41,28 @@ def _described(node: ast.AST) -> list[dict]:
     return []
 
 
+def complexity(function: ast.AST) -> int:
+    """Cyclomatic: one more than the branches within, further operands of and / or counting each."""
+    inner = list(ast.walk(function))
+    return 1 + sum(isinstance(x, BRANCHES) for x in inner) + sum(len(x.values) - 1 for x in inner if isinstance(x, ast.BoolOp))
+
+
+def calls(function: ast.AST) -> list[str]:
+    """Names that are called within, each once, sorted; of attributes the last part."""
+    called = (x.func for x in ast.walk(function) if isinstance(x, ast.Call))
+    return sorted({f.id if isinstance(f, ast.Name) else f.attr for f in called if isinstance(f, (ast.Name, ast.Attribute))})
+
+
+def _owners(tree: ast.AST) -> dict[ast.AST, str]:
+    """The nearest class or function around each node that has one."""
+    out: dict[ast.AST, str] = {}
+    for node in ast.walk(tree):
+        name = node.name if isinstance(node, SCOPES) else out.get(node)
+        if name is not None:
+            out.update(dict.fromkeys(ast.iter_child_nodes(node), name))
+    return out
+
+
 def entities_of(path: str, content: str | None) -> Iterator[dict]:
     """Rows in breadth-first order; a file that can't be parsed gives one row with its error."""
     try:
@@ -42,10 +70,10 @@ def entities_of(path: str, content: str | None) -> Iterator[dict]:
     except (SyntaxError, ValueError) as e:
         yield {"path": path, "ord": 0, "error": f"{path}: {type(e).__name__}"}
         return
-    found = 0
+    found, owner = 0, _owners(tree)
     for node in ast.walk(tree):
         for row in _described(node):
-            yield {"path": path, "ord": found, "line_start": node.lineno, "line_end": node.end_lineno or node.lineno, **row}
+            yield {"path": path, "ord": found, "line_start": node.lineno, "line_end": node.end_lineno or node.lineno, "parent": owner.get(node), **row}
             found += 1
 
 
@@ -69,6 +97,39 @@ def failures(entities: DataFrame) -> DataFrame:
     return entities.filter("error is not null").select("path", "error")
 
 
+def smells(entities: DataFrame) -> DataFrame:
+    """path, name and smell of functions that are complex or long."""
+    own = parsed(entities).filter("type = 'function'")
+    lines = F.col("line_end") - F.col("line_start") + 1
+    found = F.array_compact(F.array(F.when(F.col("complexity") > COMPLEX, "complex"), F.when(lines > LONG, "long")))
+    return own.select("path", "name", F.explode(found).alias("smell"))
+
+
+def graph(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label) and edges (src, rel, dst) of entities: files, classes, functions and imports.
+
+    A call or a base class leads to the functions or classes of that name in the same file; to the bare name where
+    the file has none.
+    """
+    own = parsed(entities)
+    label = F.initcap("type")
+    ident = F.concat_ws("::", "path", "parent", "name")
+    rows = own.select("path", "parent", "name", "type", "bases", "calls", ident.alias("id"), label.alias("label"))
+    files = own.select(F.col("path").alias("id"), F.lit("File").alias("label")).distinct()
+    nodes = rows.select("id", "label").union(files).distinct()
+    inside = F.when(F.col("parent").isNull(), F.when(F.col("type") == "import", "IMPORTS").otherwise("CONTAINS")).otherwise("DEFINES")
+    above = F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat_ws("::", "path", "parent"))
+    held = rows.select(above.alias("src"), inside.alias("rel"), F.col("id").alias("dst"))
+    names = rows.filter("type in ('class', 'function')").select(F.col("path").alias("of"), F.col("type").alias("kind"), F.col("name").alias("named"), F.col("id").alias("target"))
+
+    def to(column: str, rel: str, kind: str) -> DataFrame:
+        asked = rows.select("path", "id", F.explode(column).alias("wanted"))
+        met = asked.join(names.filter(F.col("kind") == kind), (F.col("path") == F.col("of")) & (F.col("wanted") == F.col("named")), "left")
+        return met.select(F.col("id").alias("src"), F.lit(rel).alias("rel"), F.coalesce("target", "wanted").alias("dst"))
+
+    return nodes, held.union(to("calls", "CALLS", "function")).union(to("bases", "EXTENDS", "class")).distinct()
+
+
 def by_type(entities: DataFrame) -> DataFrame:
     return parsed(entities).groupBy("type").agg(F.count("*").alias("n"))
 

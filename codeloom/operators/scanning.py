@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import scalars
+
 #: Directories and extensions that a scan leaves out (fixed values).
 EXCLUDED_DIRS = (".git", ".venv", "venv", "node_modules", "__pycache__", ".pytest_cache", "dist", "build")
 EXCLUDED_EXTENSIONS = (".pyc", ".pyo", ".pyd", ".so", ".dll", ".exe", ".bin", ".class", ".jar")
@@ -34,3 +36,13 @@ def truncated(xs: Column, n: Column, most: int = 5) -> Column:
     """The first elements joined, and how many more there are."""
     head = F.array_join(F.slice(xs, 1, most).cast("array<string>"), ",")
     return F.when(n <= most, head).otherwise(F.concat(head, F.lit(", … y "), (n - most).cast("string"), F.lit(" más")))
+
+
+def file_info(listing: DataFrame) -> DataFrame:
+    """The thirteen fields of each entry of a source tree; sizes in words and hashes of files only."""
+    path, name = F.col("path"), F.col("name")
+    return listing.select(
+        "path", "name", scalars.stem(name).alias("stem"), "suffix", scalars.parent(path).alias("parent"), "size_bytes",
+        scalars.humanize(F.col("size_bytes")).alias("size_human"), *[scalars.iso(F.col(c)).alias(c) for c in ("created", "modified", "accessed")],
+        (~F.col("is_dir")).alias("is_file"), "is_dir", scalars.content_hash(F.col("content")).alias("hash_sha256"),
+    )

@@ -67,4 +67,29 @@ def dependency_map(spark, d):
     return _entities(spark, d).filter("type = 'import'").groupBy("module", "path").agg(F.count("*").alias("n"))
 
 
+@family.add("SELECT 'q' || p_partkey || '.py' AS path, 'g' || p_partkey AS name, CAST(1 + 2 * (p_partkey % 9) AS INTEGER) AS complexity, CASE WHEN p_partkey % 9 > 0 THEN 'h' ELSE '' END AS calls FROM part UNION ALL SELECT 'q' || p_partkey || '.py', 'h', 1, '' FROM part")
+def code_complexity(spark, d):
+    own = e.parsed(e.extract(v.branchy(spark, d)))
+    return own.select("path", "name", "complexity", F.array_join("calls", ",").alias("calls"))
+
+
+@family.add("SELECT 'q' || p_partkey || '.py' AS path, 'g' || p_partkey AS name, 'complex' AS smell FROM part WHERE 1 + 2 * (p_partkey % 9) > 10")
+def code_smells(spark, d):
+    return e.smells(e.extract(v.branchy(spark, d)))
+
+
+@family.add(
+    "SELECT 'q' || p_partkey || '.py' AS src, 'CONTAINS' AS rel, 'q' || p_partkey || '.py::' || unnest(['h', 'g' || p_partkey]) AS dst FROM part UNION ALL SELECT 'q' || p_partkey || '.py::g' || p_partkey, 'CALLS', 'q' || p_partkey || '.py::h' FROM part WHERE p_partkey % 9 > 0"
+)
+def code_graph(spark, d):
+    return e.graph(e.extract(v.branchy(spark, d)))[1]
+
+
+@family.add(
+    "SELECT rel, count(*) AS n FROM (SELECT unnest(['IMPORTS', 'CONTAINS', 'CONTAINS', 'DEFINES', 'EXTENDS']) AS rel FROM part) GROUP BY rel"
+)
+def code_graph_relationships(spark, d):
+    return e.graph(e.extract(v.code(spark, d)))[1].groupBy("rel").agg(F.count("*").alias("n"))
+
+
 QUERIES, ORACLE_SQL = family.queries, family.oracle

@@ -10,6 +10,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.runtime.errors import ValidationError
+
 
 def write_file(path: str, content: str | bytes, encoding: str = "utf-8", backup: bool = False, now: datetime | None = None) -> str | None:
     """Write one file on the driver, with its directories; returns the backup's path if one was made."""
@@ -40,9 +42,15 @@ def write_logs(logs: DataFrame, path: str, retention_days: int = 30, error_days:
         kept.write.mode("overwrite").partitionBy("day").json(f"{path}/{name}")
 
 
-def export(df: DataFrame, form: str = "json") -> str:
-    """A small report as JSON or text lines."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
+def export(df: DataFrame, form: str = "json", most: int = 10_000) -> str:
+    """A small report (an error beyond ``most`` rows) as JSON, YAML or text lines."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValidationError("a report is too long to export", field="rows", actual_length=len(found))
+    rows = [r.asDict(recursive=True) for r in found]
     if form == "json":
         return json.dumps(rows, ensure_ascii=False, indent=2, default=str)
+    if form == "yaml":
+        # JSON is YAML; one entry a line, so that it reads as a list.
+        return "".join(f"- {json.dumps(r, ensure_ascii=False, default=str)}\n" for r in rows)
     return "\n".join(", ".join(f"{k}: {v}" for k, v in r.items()) for r in rows)

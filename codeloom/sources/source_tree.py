@@ -1,9 +1,11 @@
 """A Spark data source that lists source trees, pruning excluded directories before it descends.
 
 ``spark.read.format("source_tree").option("excludeDirs", ...).load(root)`` gives path, name, suffix,
-size_bytes, modified and content. Spark's own binary reader drops names that begin with ``_`` or
-``.``; this one keeps them. One partition stands for each kept top-level directory and one for the
-root's own files. ``root`` is a local or mounted path that every executor sees.
+size_bytes, the times, is_dir and content; directories only with the option ``dirs``. Spark's own binary reader
+drops names that begin with ``_`` or ``.``; this one keeps them. The driver lists directories down to ``SPREAD``
+of them, and each is a partition of its own: those above with their own files only, the last with all below.
+``root`` is a local or mounted path that every executor sees. A missing root is an error of the indexer, or an
+empty listing with the option ``missing`` set to ``empty``.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codeloom.operators.scanning import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, MAX_BYTES
+from codeloom.runtime.errors import IndexerError
 
-SCHEMA = "path string, name string, suffix string, size_bytes long, modified timestamp, content binary"
+SCHEMA = "path string, name string, suffix string, size_bytes long, created timestamp, modified timestamp, accessed timestamp, is_dir boolean, content binary"
+#: Directories that the driver looks for before it stops to descend.
+SPREAD = 256
 
 
 @dataclass
@@ -31,21 +36,33 @@ class Subtree(InputPartition):
 class SourceTreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options.get("path")
-        if not self.root or not os.path.isdir(self.root):
-            raise ValueError(f"not a directory: {self.root}")
+        self.found = bool(self.root) and os.path.isdir(self.root)
+        if not self.found and options.get("missing") != "empty":
+            raise IndexerError(f"not a directory: {self.root}", project_path=self.root)
         self.dirs = _listed(options.get("excludedirs"), EXCLUDED_DIRS)
         self.extensions = _listed(options.get("excludeextensions"), EXCLUDED_EXTENSIONS)
         self.most = int(options.get("maxbytes", MAX_BYTES))
         self.pattern = options.get("pattern", "*")
         self.recursive = str(options.get("recursive", "true")).lower() == "true"
         self.content = str(options.get("content", "true")).lower() == "true"
+        self.with_dirs = str(options.get("dirs", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        tops = [x.path for x in os.scandir(self.root) if x.is_dir(follow_symlinks=False) and x.name not in self.dirs]
-        return [Subtree(self.root, False)] + [Subtree(t, True) for t in sorted(tops) if self.recursive]
+        if not self.found:
+            return []
+        flat, wave = [self.root], self._below(self.root) if self.recursive else []
+        while wave and len(flat) + len(wave) < SPREAD:
+            flat, wave = flat + wave, [d for t in wave for d in self._below(t)]
+        return [Subtree(t, False) for t in flat] + [Subtree(t, True) for t in wave]
+
+    def _below(self, top: str) -> list[str]:
+        try:
+            return sorted(x.path for x in os.scandir(top) if x.is_dir(follow_symlinks=False) and x.name not in self.dirs)
+        except OSError:
+            return []
 
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        stack = [partition.top]
+    def read(self, partition: Subtree | None) -> Iterator[tuple]:
+        stack = [partition.top] if partition else []  # Spark asks once without a partition where there is none
         while stack:
             try:
                 entries = sorted(os.scandir(stack.pop()), key=lambda x: x.name)
@@ -53,8 +70,12 @@ class SourceTreeReader(DataSourceReader):
                 continue
             for x in entries:
                 if x.is_dir(follow_symlinks=False):
-                    if partition.descend and x.name not in self.dirs:
+                    if x.name in self.dirs:
+                        continue
+                    if partition.descend:
                         stack.append(x.path)
+                    if self.with_dirs and fnmatch.fnmatchcase(x.name, self.pattern):
+                        yield x.path, x.name, os.path.splitext(x.name)[1], None, *_times(x.stat()), True, None
                 elif (row := self._file(x)) is not None:
                     yield row
 
@@ -72,7 +93,12 @@ class SourceTreeReader(DataSourceReader):
                     data = f.read()
         except OSError:
             return None
-        return x.path, x.name, suffix, st.st_size, datetime.fromtimestamp(st.st_mtime, UTC), data
+        return x.path, x.name, suffix, st.st_size, *_times(st), False, data
+
+
+def _times(st: os.stat_result) -> tuple[datetime, ...]:
+    """Created, modified and accessed."""
+    return tuple(datetime.fromtimestamp(t, UTC) for t in (st.st_ctime, st.st_mtime, st.st_atime))
 
 
 def _listed(value: str | None, default: tuple) -> frozenset[str]:
