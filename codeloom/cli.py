@@ -37,10 +37,24 @@ def query(text: str, documents: str) -> list[dict]:
     return [r.asDict() for r in search.keyword_top(_spark().read.parquet(documents), text, 10).collect()]
 
 
-def health() -> list[tuple]:
+def health() -> list[dict]:
     from codeloom.runtime import sampler
 
-    return sampler.sample()
+    names = [c.split()[0] for c in sampler.CHECK_SCHEMA.split(", ")]
+    return [dict(zip(names, r)) for r in sampler.sample()]
+
+
+def table(rows: list[dict]) -> str:
+    """Rows as aligned columns; one row as key and value lines."""
+    if not rows:
+        return "(no rows)"
+    if len(rows) == 1:
+        size = max(map(len, rows[0]))
+        return "\n".join(f"{k:<{size}}  {v}" for k, v in rows[0].items())
+    text = [[f"{v:.1f}" if isinstance(v, float) else str(v) for v in r.values()] for r in rows]
+    heads = list(rows[0])
+    sizes = [max(len(x[k]) for x in [heads, *text]) for k in range(len(heads))]
+    return "\n".join("  ".join(f"{c:<{n}}" for c, n in zip(line, sizes)).rstrip() for line in [heads, *text])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -61,15 +75,19 @@ def main(argv: list[str] | None = None) -> int:
         rows: list = analyze(a.path)
     elif a.command == "query":
         rows = query(a.text, a.documents)
-    elif a.command == "init":
-        for d in ("data", "data/cache", "logs"):
-            os.makedirs(d, exist_ok=True)
-        rows = [{"ready": True}]
-    else:
+    elif a.command == "health":
         rows = health()
-    for r in rows:
-        print(r)
-    return int(a.command in ("status", "health") and any(r[1] == "unhealthy" and r[3] for r in rows))
+    else:
+        from codeloom.runtime.lifecycle import Engine
+
+        engine = Engine()
+        ready = engine.start()
+        rows = [engine.state()]
+        engine.stop()
+        print(table(rows))
+        return int(not ready)
+    print(table(rows))
+    return int(a.command == "health" and any(r["status"] == "unhealthy" and r["critical"] for r in rows))
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import inspect
 import typing
 from collections.abc import Callable, Iterator
@@ -61,6 +62,32 @@ class Container:
         return [(k.__name__, d.__name__) for k, (m, _) in self.makers.items() for d in needs(m).values()]
 
 
+def singleton(container: Container) -> Callable[[type], type]:
+    """A class decorator: registers the class as one that is made once."""
+
+    def mark(kind: type) -> type:
+        container.register(kind)
+        return kind
+
+    return mark
+
+
+def inject(container: Container) -> Callable[[Callable], Callable]:
+    """A function decorator: parameters that the caller leaves out are resolved by their classes."""
+
+    def wrap(f: Callable) -> Callable:
+        wanted = needs(f)
+
+        @functools.wraps(f)
+        def call(*args, **given):
+            bound = inspect.signature(f).bind_partial(*args, **given).arguments
+            return f(*args, **given, **{n: container.resolve(k) for n, k in wanted.items() if n not in bound})
+
+        return call
+
+    return wrap
+
+
 def needs(maker: Callable) -> dict[str, Any]:
     """Parameters without defaults and their classes, from type hints."""
     target = maker.__init__ if inspect.isclass(maker) else maker

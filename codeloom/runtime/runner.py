@@ -21,6 +21,13 @@ from codeloom.runtime.errors import WorkflowError
 
 DONE = ("completed", "skipped")
 HISTORY = 100
+GRACE = 1.0
+
+
+class Overdue(TimeoutError):
+    def __init__(self, message: str, running: bool):
+        super().__init__(message)
+        self.running = running
 
 
 @dataclass
@@ -50,6 +57,9 @@ class Run:
     done: threading.Event = field(default_factory=threading.Event)
     resumed: threading.Event = field(default_factory=threading.Event)
     cancelled: bool = False
+    priority: int = 50
+    created_by: str = ""
+    metadata: dict = field(default_factory=dict)
 
     def wait(self, seconds: float | None = None) -> Run:
         self.done.wait(seconds)
@@ -101,13 +111,16 @@ class Runner:
         check(steps)
         self.workflows[name] = list(steps)
 
-    def start(self, name: str, data: dict | None = None) -> Run:
+    def start(self, name: str, data: dict | None = None, run_id: str | None = None, priority: int = 50, created_by: str = "", metadata: dict | None = None) -> Run:
+        """The run, which goes on in the background; ``run_id`` must not be in use."""
         if name not in self.workflows:
             raise WorkflowError("unknown workflow", workflow=name)
         with self.lock:
             if len(self.active) >= self.max_running:
                 raise WorkflowError("too many running workflows", workflow=name)
-            run = Run(name, f"{name}_{uuid.uuid4().hex[:8]}", dict(data or {}))
+            run = Run(name, run_id or f"{name}_{uuid.uuid4().hex[:8]}", dict(data or {}), priority=priority, created_by=created_by, metadata=dict(metadata or {}))
+            if run.run_id in self.active:
+                raise WorkflowError("this run is active already", workflow=name, id=run.run_id)
             self.active[run.run_id] = run
         run.status, run.started = "running", time.time()
         run.resumed.set()
@@ -217,6 +230,11 @@ class Runner:
                 time.sleep(s.delay * attempt)
             try:
                 value = self._within(run, s, inputs)
+            except Overdue as e:
+                error = e
+                if e.running:  # a second attempt beside the first could undo its work
+                    break
+                continue
             except Exception as e:  # noqa: BLE001  reported in the step's result
                 error = e
                 continue
@@ -228,13 +246,18 @@ class Runner:
         self._note(run, s.name, "failed", retries=s.retries, seconds=time.time() - began, error=str(error))
 
     def _within(self, run: Run, s: Step, inputs: dict) -> Any:
-        """The action's value, or TimeoutError; its Spark jobs carry the run's tag."""
+        """The action's value, or :class:`Overdue`; its Spark jobs carry the run's tag and the attempt's.
+
+        An attempt without a result in time loses its Spark jobs and has ``GRACE`` seconds more to end.
+        """
         box: dict = {}
+        tag = uuid.uuid4().hex
 
         def call() -> None:
             try:
                 if self.spark is not None:
                     self.spark.sparkContext.addJobTag(run.run_id)
+                    self.spark.sparkContext.addJobTag(tag)
                 box["value"] = s.action(inputs)
             except BaseException as e:  # noqa: BLE001  handed over to the waiting thread
                 box["error"] = e
@@ -243,7 +266,10 @@ class Runner:
         t.start()
         t.join(s.timeout)
         if t.is_alive():
-            raise TimeoutError(f"no result within {s.timeout} s")
+            if self.spark is not None:
+                self.spark.sparkContext.cancelJobsWithTag(tag)
+            t.join(GRACE)
+            raise Overdue(f"no result within {s.timeout} s", t.is_alive())
         if "error" in box:
             raise box["error"]
         return box["value"]
