@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import let, tidied
@@ -239,16 +239,18 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 4 * parts)
-    # Some ranges for each partition, so that hashing them to partitions comes out even.
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")
     ends = rows.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     # At most one row for each range, whatever the input.
     ends = sorted((r["range"], tuple(r["first"]), tuple(r["last"])) for r in ends.collect())
     # The first row of a range succeeds the last of the range before, and that of the first the last of all.
     guests = [(r, *first[1:], ends[k - 1][0]) for k, (r, first, _) in enumerate(ends) if first != ends[k - 1][2]]
+    slots = _slots(spark, parts)
+    dealt_to = spark.createDataFrame([(r, slots[k % parts]) for k, (r, *_) in enumerate(ends)], "range long, slot long")
     return (
         _with_guests(rows, guests)
-        .repartition(parts, "range")
+        .join(F.broadcast(dealt_to), "range")
+        .repartition(parts, "slot")
         .sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "hash", "text")
         .select("doc_id", "text", "range", "guest")
         .mapInArrow(
@@ -258,6 +260,14 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
 
 
+def _slots(spark: SparkSession, parts: int) -> list[int]:
+    """For each partition a number that is hashed to it."""
+    at = F.pmod(F.hash("id"), F.lit(parts))
+    found = spark.range(64 * parts).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()
+    known = {r["at"]: r["id"] for r in found}
+    return [known.get(p, p) for p in range(parts)]
+
+
 def dealt(rows: DataFrame, n: int) -> DataFrame:
     """``rows`` (doc_id, text) with hash, and range: numbers in the order of (doc_id, hash), ``n`` or somewhat more."""
     spark = rows.sparkSession
