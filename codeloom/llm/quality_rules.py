@@ -143,18 +143,18 @@ RULES = (
 )
 
 
-#: Nanoseconds of a feature: per text, character, word, and word times the logarithm of the words (measured once,
-#: on texts of the synthetic tables; only their proportions matter).
+#: Nanoseconds of a feature: per text, character, word, and word times the logarithm of the words (measured once on
+#: 10,000 texts of 2,478 characters and 401 words on average, rounded; only their proportions matter).
 COSTS = {
     "n_words": (20, 0, 0, 0),
-    "word_chars": (200, 2, 10, 0),
-    "n_symbols": (200, 6, 0, 0),
-    "n_exclamations": (200, 6, 0, 0),
-    "n_capitals": (200, 6, 0, 0),
-    "n_lines": (200, 4, 0, 0),
-    "n_dup_lines": (300, 5, 0, 0),
-    "n_repeat_words": (500, 0, 250, 20),
-    "n_distinct_words": (200, 0, 60, 0),
+    "word_chars": (200, 1, 0, 0),
+    "n_symbols": (200, 4, 0, 0),
+    "n_exclamations": (200, 4, 0, 0),
+    "n_capitals": (200, 4, 0, 0),
+    "n_lines": (200, 13, 0, 0),
+    "n_dup_lines": (200, 13, 0, 0),
+    "n_repeat_words": (500, 0, 600, 18),
+    "n_distinct_words": (200, 0, 80, 0),
 }
 
 
