@@ -424,6 +424,12 @@ def test_ranges_of_shared_ids_are_even(spark, kind):
     assert len(sizes) >= 15 and max(sizes) <= 2.5 * 4000 / 20
 
 
+def test_slots(spark):
+    slots = syncmers._slots(spark, 7)
+    rows = spark.createDataFrame([(x,) for x in slots], "slot long").repartition(7, "slot").select("slot", F.spark_partition_id().alias("p")).collect()
+    assert {r["slot"]: r["p"] for r in rows} == dict(zip(slots, range(7)))
+
+
 def test_likeness():
     words = [f"word{k}" for k in range(500)]
     t = " ".join(words).encode()
