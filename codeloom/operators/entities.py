@@ -134,6 +134,19 @@ def by_type(entities: DataFrame) -> DataFrame:
     return parsed(entities).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def metrics(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """Of each file its lines, blank and comment lines, the share of comments, and its entities by type."""
+    lines = F.transform(F.split("content", "\n"), lambda x: F.trim(x))
+    own = files.select("path", lines.alias("lines")).select(
+        "path", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: x == "")).alias("blank_lines"),
+        F.size(F.filter("lines", lambda x: F.startswith(x, F.lit("#")))).alias("comment_lines"),
+    )
+    kinds = [F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("class", "function", "import")]
+    counts = parsed(entities).groupBy("path").agg(*kinds)
+    both = own.withColumn("comment_density", F.round(F.col("comment_lines") / F.col("n_lines"), 6)).join(counts, "path", "left")
+    return both.na.fill(0, ["n_class", "n_function", "n_import"])
+
+
 def report(files: DataFrame, entities: DataFrame) -> DataFrame:
     """One row: totals of files, entities, failures and entities by type."""
     n = files.agg(F.count("*").alias("files"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ def kept(files: DataFrame, max_bytes: int = MAX_BYTES, excluded_dirs: tuple = EX
     return files.filter(wanted & ~F.col("dir").isin(*excluded_dirs))
 
 
-def metadata(files: DataFrame) -> DataFrame:
-    return files.agg(F.count("*").alias("total_files"), F.count_distinct("dir").alias("total_dirs"))
+def metadata(files: DataFrame, scanned_at: datetime | None = None) -> DataFrame:
+    """One row: files, directories and, where it is given, the time of the scan."""
+    out = files.agg(F.count("*").alias("total_files"), F.count_distinct("dir").alias("total_dirs"))
+    return out.withColumn("scanned_at", F.lit(scanned_at)) if scanned_at else out
 
 
 def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -67,6 +67,12 @@ def dependency_map(spark, d):
     return _entities(spark, d).filter("type = 'import'").groupBy("module", "path").agg(F.count("*").alias("n"))
 
 
+@family.add("SELECT 'p' || p_partkey || '.py' AS path, 13 AS n_lines, 5 AS blank_lines, 1 AS comment_lines, round(1 / 13, 6) AS comment_density, 1 AS n_class, 2 AS n_function, 1 AS n_import FROM part")
+def source_metrics(spark, d):
+    files = v.code(spark, d)
+    return e.metrics(files, e.extract(files))
+
+
 @family.add("SELECT 'q' || p_partkey || '.py' AS path, 'g' || p_partkey AS name, CAST(1 + 2 * (p_partkey % 9) AS INTEGER) AS complexity, CASE WHEN p_partkey % 9 > 0 THEN 'h' ELSE '' END AS calls FROM part UNION ALL SELECT 'q' || p_partkey || '.py', 'h', 1, '' FROM part")
 def code_complexity(spark, d):
     own = e.parsed(e.extract(v.branchy(spark, d)))

@@ -4,17 +4,18 @@
 size_bytes, the times, is_dir and content; directories only with the option ``dirs``. Spark's own binary reader
 drops names that begin with ``_`` or ``.``; this one keeps them. The driver lists directories down to ``SPREAD``
 of them, and each is a partition of its own: those above with their own files only, the last with all below.
+``pattern`` is matched from the right, against as many parts of the path as it has.
 ``root`` is a local or mounted path that every executor sees. A missing root is an error of the indexer, or an
 empty listing with the option ``missing`` set to ``empty``.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from pathlib import PurePath
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -74,14 +75,14 @@ class SourceTreeReader(DataSourceReader):
                         continue
                     if partition.descend:
                         stack.append(x.path)
-                    if self.with_dirs and fnmatch.fnmatchcase(x.name, self.pattern):
+                    if self.with_dirs and PurePath(x.path).match(self.pattern):
                         yield x.path, x.name, os.path.splitext(x.name)[1], None, *_times(x.stat()), True, None
                 elif (row := self._file(x)) is not None:
                     yield row
 
     def _file(self, x: os.DirEntry) -> tuple | None:
         suffix = os.path.splitext(x.name)[1]
-        if suffix in self.extensions or not fnmatch.fnmatchcase(x.name, self.pattern):
+        if suffix in self.extensions or not PurePath(x.path).match(self.pattern):
             return None
         try:
             st = x.stat()
