@@ -47,7 +47,7 @@ RUN_SCHEMA = "length long, lo long, hi long, first_bin long, per_bin long, room
 
 
 @lru_cache(maxsize=4)
-def _encoder(vocabulary: str) -> pretokens.Encoder:
+def _encoder(vocabulary: str, generation: int | None = None) -> pretokens.Encoder:
     """The ids of the tokenizers library for a byte-level BPE file.
 
     Where the ids of merged tokens are in the order of their merges, as in the public file, the
@@ -69,14 +69,14 @@ def _encoder(vocabulary: str) -> pretokens.Encoder:
     merges = [m.split(" ") if isinstance(m, str) else m for m in bpe_model["merges"]]
     made = [bpe_model["vocab"].get("".join(m)) for m in merges]
     if made != sorted(set(made), key=lambda k: (k is None, k)):
-        return pretokens.Encoder(whole)
+        return pretokens.Encoder(whole, generation=generation)
     import public_tokenizers
     import tiktoken
 
     value = {c: b for b, c in enumerate(bpe.byte_characters())}
     ranks = {bytes(value[c] for c in t): k for t, k in bpe_model["vocab"].items() if t != SPECIAL}
     plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return pretokens.Encoder(lambda text: whole(text) if SPECIAL in text else plain.encode_ordinary(text))
+    return pretokens.Encoder(plain.encode_ordinary, SPECIAL, whole, generation)
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,8 +86,8 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 @tidied
-def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(vocabulary)
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, with_ids: bool, generation: int | None = None) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(vocabulary, generation)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), *[pa.int64()] * 5] + [pa.list_(pa.int32())] * with_ids
     task, places = TaskContext.get().partitionId(), [0] * (capacity + 1)
@@ -103,13 +103,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, w
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, generation: int | None = None) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32, task, place (and ids).
 
     ``place`` counts the pieces of a length in a task; both are fixed once the pieces are stored.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(partial(_pieces, vocabulary=vocabulary, capacity=capacity, with_ids=with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(partial(_pieces, vocabulary=vocabulary, capacity=capacity, with_ids=with_ids, generation=generation), schema)
 
 
 class Capacities:
@@ -204,6 +204,9 @@ def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset."""
-    return placed(Stored(pieces(docs, vocabulary, capacity, with_ids)).df, capacity)
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, generation: int | None = None) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset.
+
+    ``generation`` bounds the encoder's cache of parts on each Python worker.
+    """
+    return placed(Stored(pieces(docs, vocabulary, capacity, with_ids, generation)).df, capacity)
