@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import common, packing, pii, quality_cnn, quality_rules, simhash
 
+#: The encoder's cache of parts in the last stage, half as large as by default: workers still hold what earlier stages loaded.
+GENERATION = 60_000
 #: Texts whose sets of 5-word shingles have this Jaccard similarity are near copies.
 SIMILARITY = 0.8
 
@@ -42,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their token ids, and their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, generation=GENERATION)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
