@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Parts in a generation of the cache; about 100 bytes each, two generations at most.
-GENERATION = 120_000
+GENERATION = 240_000
 BLOCK = 1 << 20
 
 
