@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import common, packing, pii, quality_cnn, quality_rules, simhash
 
-#: The encoder's cache of parts in the last stage, half as large as by default: workers still hold what earlier stages loaded.
+#: The encoder's cache of parts in the last stage, a quarter of the default: workers still hold what earlier stages loaded.
 GENERATION = 60_000
 #: Texts whose sets of 5-word shingles have this Jaccard similarity are near copies.
 SIMILARITY = 0.8
