@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, licenses, packing, pii, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
+from codeloom.llm import bpe, licenses, minhash, packing, periodic_runs, pii, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter, whitening
 from codeloom.llm.common import table
 from codeloom.llm.sql import ORACLE_SQL
 
@@ -54,6 +54,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapse(periodic_runs.with_planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that SQL can express."""
     return op4_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -64,6 +76,11 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_syncmer_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op13 that SQL can express, a row for each vector."""
+    return op13_embedding_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op7 that SQL can express."""
     return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -82,6 +99,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_simhash,
         op10_quality_classifier,
+        op11_periodic_runs,
+        op12_minhash_dedup,
+        op13_embedding_whitening,
+        vector_deviations,
         base_license_places,
         edited_texts,
         base_personal_data,

@@ -16,8 +16,8 @@ cluster, each round checkpointed in the shared folder; those of few, counted, li
 Few pairs of texts at a Jaccard similarity of 0.8 are within three bits, so where a ``similarity`` is
 given, pairs of texts whose sets of ``SIMILAR_WIDTH``-word shingles are at least that similar are
 linked too. Candidates share one of ``BANDS`` bands of ``BAND`` minima (a pair at 0.8 shares none
-with a probability of 3.2e-6, a closer one with less) and are confirmed by their exact sets, in
-pairs and blocks of bounded size (:func:`similar_links`).
+with a probability of 3.2e-6, a closer one with less) and are confirmed by their exact sets
+(:mod:`codeloom.llm.near_sets`).
 
 Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other. Texts of
 one or two words have one shingle. Very long texts are hashed whole, in blocks. Repeated rows share a
@@ -30,14 +30,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Stored, cut, rows_of, tidied
+from codeloom.llm import near_sets
+from codeloom.llm.common import cut, rows_of, tidied
+from codeloom.llm.components import rooted, stars
+from codeloom.llm.near_sets import shingles
 
 RADIUS = 3
 BUCKET = 1024
@@ -45,23 +47,7 @@ LEVELS = 3
 SIMILAR_WIDTH = 5
 BANDS, BAND = 24, 4
 BROADCAST_ROWS = 100_000
-#: Edges that one task joins, 16 bytes each; beyond it, rounds on the cluster do.
-FEW_EDGES = 250_000
-#: About as many texts, and shingles of theirs, are compared in one block.
-GROUP, GROUP_SHINGLES = 256, 1 << 20
 ALL = (1 << 64) - 1
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
-    """The hashes of a text's word shingles, in order."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.empty(0, "<u8")
-    found = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), "<u8", max(1, len(words) - width + 1))
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -114,126 +100,18 @@ def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2), keys], ["doc_id", "fp", "own", "bands"])
 
 
-@tidied
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in rows_of(batches):
-        found = [np.unique(shingles(t, SIMILAR_WIDTH)).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["own", "shingles"])
-
-
-def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A tree of links (positions) for each component of ``sets`` (without repeats) at ``similarity`` or more."""
-    sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    has = np.zeros(ids.max() + 1, bool)
-    left, out = np.arange(len(sets)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            k = queue.pop()
-            own = ids[starts[k] : starts[k] + sizes[k]]
-            has[own] = True
-            both = np.add.reduceat(has[ids], starts, dtype=np.int64)[left]
-            has[own] = False
-            near = both >= similarity * (sizes[k] + sizes[left] - both) - 1e-9
-            out += [(int(k), int(x)) for x in left[near]]
-            queue += left[near].tolist()
-            left = left[~near]
-    return out
-
-
-@tidied
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(b.num_rows):
-            own = b.column(0)[k].values.to_numpy()
-            found = [(own[i], own[j]) for i, j in alike([x.values.to_numpy() for x in b.column(1)[k]], similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in found], pa.int64()), pa.array([max(e) for e in found], pa.int64())], ["a", "b"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts whose sets are similar enough, materialised."""
-    first = sets.select(F.col("own").alias("a"), F.col("shingles").alias("x"))
-    other = sets.select(F.col("own").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9
-    return cut(pairs.join(first, "a").join(other, "b").filter(near).select("a", "b"))
-
-
-def _rooted(rows: DataFrame, roots: DataFrame, name: str, out: str = "root") -> DataFrame:
-    """``rows`` with ``out``, the smallest node of the component of ``name``; ``roots`` are those of :func:`stars`."""
-    found = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    return rows.join(found, F.col(name) == F.col("__node"), "left").withColumn(out, F.coalesce("__root", name)).drop("__node", "__root")
-
-
 def similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Links (a < b) among the fingerprints of texts at ``similarity`` or more; ``prints`` has doc_id, fp, own, bands.
 
-    No bucket is gathered whole. Each member of a bucket is compared with the bucket's smallest, its pivot: first
-    with one pivot of all its buckets, then with those that aren't in its component yet. Where that leaves more
-    than one component in a bucket, the members outside the pivot's component meet all others in blocks of about
-    ``GROUP`` texts or ``GROUP_SHINGLES`` shingles, so every pair is compared that could still join two components.
+    Each member of a bucket is a candidate with the bucket's smallest, its pivot; :func:`near_sets.link_texts` confirms
+    them and compares the members that stand apart.
     """
-    texts = prints.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    texts = cut(prints.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
     keys = texts.select("own", F.posexplode("bands").alias("band", "key")).select("own", F.xxhash64("band", "key").alias("bucket"))
-    pivots = keys.groupBy("bucket").agg(F.min("own").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = cut(keys.join(pivots, "bucket"))
-    wanted = cut(texts.select("own", "first_id", "fp").join(met.select("own").distinct(), "own"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__own"))
-    # Of copies the first one's text is read.
-    rows = keyed.join(few, (F.col("__own") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    stored = Stored(rows.select("own", "text").mapInArrow(_sets, "own long, shingles array<long>").dropDuplicates(["own"]))
-    sets = stored.df
-    pairs = met.filter("own <> pivot")
-    edges = _confirmed(pairs.groupBy("own").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("own").alias("b")), sets, similarity)
-    roots = stars(edges)
-
-    def beside(rows: DataFrame) -> DataFrame:
-        """``rows`` (own, pivot) with ``apart``: whether the two are in different components."""
-        return _rooted(_rooted(rows, roots, "own"), roots, "pivot", "of").withColumn("apart", F.col("root") != F.col("of")).drop("root", "of")
-
-    left = beside(pairs.select("own", "pivot").distinct()).filter("apart").select(F.col("pivot").alias("a"), F.col("own").alias("b"))
-    more = _confirmed(left, sets, similarity)
-    if not more.isEmpty():
-        edges = edges.union(more)
-        roots = stars(edges)
-    within = cut(beside(met).select("bucket", "own", "apart"))
-    if not within.filter("apart").isEmpty():
-        edges = edges.union(_blocks(within, sets, similarity))
-    prints_of = wanted.select("own", "fp")
+    edges = near_sets.link_texts(docs, texts, near_sets.pivoted(keys), SIMILAR_WIDTH, similarity)
+    prints_of = texts.select("own", "fp")
     ends = edges.join(prints_of.select(F.col("own").alias("a"), F.col("fp").alias("p")), "a").join(prints_of.select(F.col("own").alias("b"), F.col("fp").alias("q")), "b")
-    out = cut(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    stored.free()
-    return out
-
-
-def _blocks(within: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the members that stand apart from their pivot's component and all members of their bucket."""
-    size = F.size("shingles")
-    open_ = within.filter("apart").select("bucket").distinct()
-    rows = cut(within.join(open_, "bucket").join(sets.select("own", size.alias("size")), "own"))
-
-    def parts(apart: bool) -> Column:
-        n = F.count_if("apart") if apart else F.count("*")
-        total = F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)) if apart else F.sum("size")
-        return F.greatest(F.ceil(n / GROUP), F.ceil(total / GROUP_SHINGLES)).cast("int")
-
-    shape = rows.groupBy("bucket").agg(parts(True).alias("across"), parts(False).alias("down"))
-    rows = rows.join(shape, "bucket")
-
-    def dealt(salt: int, n: Column) -> Column:
-        return F.pmod(F.xxhash64("own", F.lit(salt)), n).cast("int")
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    all_ = rows.select("bucket", "own", dealt(1, F.col("down")).alias("i"), every(F.col("across")).alias("j"))
-    apart = rows.filter("apart").select("bucket", "own", every(F.col("down")).alias("i"), dealt(2, F.col("across")).alias("j"))
-    members = all_.union(apart).distinct().join(sets, "own")
-    groups = members.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "shingles")).alias("m"))
-    return cut(groups.select("m.own", "m.shingles").mapInArrow(partial(_alike, similarity=similarity), "a long, b long").distinct())
+    return cut(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
 
 
 @lru_cache(maxsize=1 << 16)
@@ -305,59 +183,6 @@ def links(classes: DataFrame) -> DataFrame:
     return cut(found.distinct())
 
 
-@tidied
-def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of all edges of a task."""
-    own = [b for b in batches if b.num_rows]
-    if not own:
-        return
-    ends = np.concatenate([np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in own], axis=1)
-    nodes, at = np.unique(ends, return_inverse=True)
-    a, b = at.reshape(2, -1)
-    root = np.arange(len(nodes))
-    while True:
-        x, y = root[a], root[b]
-        if (x == y).all():
-            break
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
-    other = np.flatnonzero(root != np.arange(len(nodes)))
-    for k in range(0, len(other), 10_000):
-        part = other[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], ["node", "root"])
-
-
-def stars(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) but the roots; the root is a component's smallest node.
-
-    Up to ``FEW_EDGES`` (counted) are joined in one task, without a shuffle; more in rounds on the cluster.
-    """
-    if edges.count() <= FEW_EDGES:
-        return cut(edges.select("a", "b").coalesce(1).mapInArrow(_one_task, "node long, root long"))
-
-    def unlike(df: DataFrame) -> DataFrame:
-        return df.filter("u <> v").distinct()
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = unlike(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = cut(unlike(small))
-        after = state(now)
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
-
-
 def _classes(docs: DataFrame, width: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, own) of all documents, and (fp, root) of all fingerprints; ``own`` is the text's hash."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
@@ -369,7 +194,7 @@ def _classes(docs: DataFrame, width: int, similarity: float | None) -> tuple[Dat
     edges = links(classes)
     if similarity is not None:
         edges = edges.union(similar_links(docs, prints, similarity))
-    return prints.select("doc_id", "fp", "own"), cut(_rooted(classes, stars(edges), "fp"))
+    return prints.select("doc_id", "fp", "own"), cut(rooted(classes, stars(edges), "fp"))
 
 
 def components(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:

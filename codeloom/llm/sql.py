@@ -39,6 +39,19 @@ b AS (
   GROUP BY ALL)
 SELECT page_id, host, path, CASE WHEN best.b THEN best.n END AS rule, coalesce(best.v, 'allow') AS verdict FROM b"""
 
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * p.both >= 80 * (a.n + b.n - p.both)),
+r AS (SELECT x AS doc_id, y AS root FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.root),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.root, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.root, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
 #: Of operators that SQL can't express as a whole, the columns that the contract fixes.
 BASE_PLACES = r"""
 WITH d AS (
@@ -66,4 +79,12 @@ SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A
        len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS n_phone
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
 
-ORACLE_SQL = {"op1_quality_rules": OP1, "op6_url_filters": OP6, "base_license_places": BASE_PLACES, "edited_texts": EDITED, "base_personal_data": PERSONAL}
+DEVIATIONS = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) + 100000) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT vec_id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS x FROM v),
+s AS (SELECT k, count(*) AS n, sum(x) AS s FROM e GROUP BY k)
+SELECT e.vec_id, s.n, CAST(sum((s.n * e.x - s.s) * (s.n * e.x - s.s)) AS BIGINT) AS deviation FROM e JOIN s ON s.k = e.k GROUP BY ALL"""
+
+ORACLE_SQL = {"op1_quality_rules": OP1, "op6_url_filters": OP6, "op12_minhash_dedup": OP12, "vector_deviations": DEVIATIONS, "base_license_places": BASE_PLACES, "edited_texts": EDITED, "base_personal_data": PERSONAL}

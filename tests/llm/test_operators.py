@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm import bpe, common, licenses, packing, pii, pretokens, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
+from codeloom.llm import bpe, common, components, licenses, near_sets, packing, pii, pretokens, quality_cnn, quality_rules, simhash, syncmers, token_counts, url_filter
 
 #: Nulls, empty and blank texts, odd white space, repeated rows, one very long text, wide characters.
 EDGE = [None, "", " \n\t", "a", "a b", "a\x0bb\x0cc\x1cd", "same words here", "same words here", "é ß 日本語 😀", "x" * 70_000, "word " * 30_000, "l1\nl2\nl1\n\nl1"]
@@ -746,7 +746,7 @@ def test_links_in_hot_buckets(spark, bucket, monkeypatch):
 
 @pytest.mark.parametrize("few", [250_000, 0])
 def test_components_by_brute_force(spark, few, monkeypatch):
-    monkeypatch.setattr(simhash, "FEW_EDGES", few)
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     r = random.Random(2)
     pairs = {(a, b) for a, b in ((r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)) if a < b}
     at = {x: x for e in pairs for x in e}
@@ -759,7 +759,7 @@ def test_components_by_brute_force(spark, few, monkeypatch):
 
 @pytest.mark.parametrize("few", [250_000, 0])
 def test_long_chain(spark, few, monkeypatch):
-    monkeypatch.setattr(simhash, "FEW_EDGES", few)
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
     assert {x["root"] for x in simhash.stars(edges).collect()} == {0}
 
@@ -799,9 +799,9 @@ def jaccard(a, b):
     return len(own(a) & own(b)) / len(own(a) | own(b))
 
 
-@pytest.mark.parametrize("group", [256, 2])
-def test_similar_texts_are_one_component(frame, group, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP", group)
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_similar_texts_are_one_component(frame, block, monkeypatch):
+    monkeypatch.setattr(near_sets, "BLOCK", block)
     r = random.Random(17)
     texts = []
     for n in (40, 90, 200, 400):
@@ -826,24 +826,45 @@ def test_similar_texts_are_one_component(frame, group, monkeypatch):
     assert {k: x["component_id"] for k, x in got.items()} == {k: least[c] for k, c in enumerate(at)}
 
 
-def test_blocks_compare_all_that_stand_apart(spark, monkeypatch):
-    """A bucket whose links don't touch the pivot: chains of sets, in blocks of three."""
-    monkeypatch.setattr(simhash, "GROUP", 3)
+def sets_of(spark, sets):
+    return spark.createDataFrame([(k, len(x), sorted(x)) for k, x in sets], "own long, n int, shingles array<long>")
+
+
+def joined(spark, sets, met, similarity=0.8):
+    """The component (smallest member) of each set by the links found."""
+    got = near_sets.near_links(spark.createDataFrame(met, "own long, pivot long"), sets_of(spark, sets), similarity)
+    return {k: k for k, _ in sets} | {x["node"]: x["root"] for x in components.stars(got).collect()}
+
+
+def test_members_that_stand_apart_are_compared(spark):
+    """A bucket whose links don't touch the pivot: chains of sets."""
     sets = [(k, list(range(1000 * (k // 8) + k % 8, 1000 * (k // 8) + k % 8 + 20))) for k in range(32)]
-    within = spark.createDataFrame([(5, k, k >= 8) for k, _ in sets], "bucket long, own long, apart boolean")
-    got = simhash._blocks(within, spark.createDataFrame(sets, "own long, shingles array<long>"), 0.8)
-    roots = {k: k for k, _ in sets} | {x["node"]: x["root"] for x in simhash.stars(got.filter("a >= 8")).collect()}
-    assert {k: roots[k] for k in range(8, 32)} == {k: k // 8 * 8 for k in range(8, 32)}
+    assert joined(spark, sets, [(k, 0) for k in range(1, 32)]) == {k: k // 8 * 8 for k in range(32)}
 
 
-def test_alike_by_brute_force():
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_near_links_by_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(near_sets, "BLOCK", block)
     r = np.random.default_rng(5)
-    sets = [np.unique(r.choice(40, r.integers(8, 40), replace=False)) for _ in range(60)]
+    sets = [(k, np.unique(r.choice(34, r.integers(6, 34), replace=False)).tolist()) for k in range(60)]
+    near = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
     at = list(range(60))
-    for i, j in simhash.alike(sets, 0.8):
-        assert len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
-        at = [at[i] if x == at[j] else x for x in at]
-    assert all(at[i] == at[j] for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])))
+    for i in range(60):
+        for j in range(i):
+            if near(sets[i][1], sets[j][1]):
+                at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+    assert 3 < len(set(at)) < 57
+    assert joined(spark, sets, [(k, 0) for k in range(1, 60)]) == dict(enumerate(at))
+    both = near_sets.confirmed(spark.createDataFrame([(0, k) for k in range(1, 60)], "a long, b long"), sets_of(spark, sets), 0.8)
+    assert {x["b"] for x in both.collect()} == {k for k in range(1, 60) if near(sets[0][1], sets[k][1])}
+
+
+def test_frequent_passages_give_no_pairs(spark):
+    """Texts that share half of their elements and stand apart: none is compared with another but the pivot."""
+    for n in (300, 1200):
+        sets = [(k, [*range(20), *range(1000 + 20 * k, 1020 + 20 * k)]) for k in range(n)]
+        rows = spark.createDataFrame([(k, 0, k, 0, True) for k in range(1, n)], "own long, pivot long, root long, of long, apart boolean")
+        assert near_sets._fellows(rows, sets_of(spark, sets), 0.8).isEmpty()
 
 
 # 10 quality classifier
