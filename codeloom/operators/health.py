@@ -47,65 +47,6 @@ def components_ready(components: DataFrame) -> DataFrame:
     return components.agg(F.count("*").alias("components"), F.count_if(F.col("status") != "pending").alias("components_ready"))
 
 
-#: Kinds of events that change the state (fixed values).
-STATE_EVENTS = (
-    "component.registered",
-    "component.unregistered",
-    "component.heartbeat",
-    "component.error",
-    "system.shutdown",
-    "metric.updated",
-    "analysis.started",
-    "analysis.completed",
-    "analysis.failed",
-)
-
-
-def registered(events: DataFrame) -> DataFrame:
-    """name, status, last_active of the components that are registered after all events.
-
-    ``events``: event_id, ts, event_type, name, status. A component is there from its last registration on, unless it
-    is unregistered later; errors make it unhealthy, heartbeats with a status have theirs, the start of an analysis
-    makes the indexer active, and a shutdown stops all.
-    """
-    at = F.struct("ts", "event_id")
-    kind = F.col("event_type")
-    down = events.filter(kind == "system.shutdown").agg(F.max(at).alias("down"))
-    own = events.withColumn("name", F.when(kind == "analysis.started", "indexer").otherwise(F.col("name"))).filter("name is not null")
-    marks = own.groupBy("name").agg(F.max(F.when(kind == "component.registered", at)).alias("born"), F.max(F.when(kind == "component.unregistered", at)).alias("gone"))
-    here = marks.filter(F.col("born").isNotNull() & (F.col("gone").isNull() | (F.col("born") > F.col("gone"))))
-    since = own.join(here.select("name", "born"), "name").filter(F.struct("ts", "event_id") >= F.col("born"))
-    said = F.when(kind == "component.error", "unhealthy").when(kind.isin("component.heartbeat", "component.registered"), F.col("status"))
-    state = since.groupBy("name").agg(
-        F.max_by(said, F.when(said.isNotNull(), at)).alias("status"), F.max(F.when(said.isNotNull(), at)).alias("said"), F.max("born").alias("born"), F.max("ts").alias("last_active")
-    )
-    out = state.crossJoin(F.broadcast(down))
-    stopped = F.coalesce(F.col("down") > F.coalesce("said", "born"), F.lit(False))
-    return out.select("name", F.when(stopped, "stopped").otherwise(F.coalesce("status", F.lit("unknown"))).alias("status"), "last_active")
-
-
-def state_metrics(events: DataFrame) -> DataFrame:
-    """(name, value) of the counters after all events; metric.updated sets one, and later increments count on.
-
-    ``events``: event_id, ts, event_type, critical, metric, value, files, entities.
-    """
-    kind = F.col("event_type")
-    one = F.lit(1).cast("double")
-
-    def change(when: Column, name: Column | str, op: str, amount: Column) -> Column:
-        named = F.lit(name) if isinstance(name, str) else name
-        return F.when(when, F.struct(named.alias("name"), F.lit(op).alias("op"), amount.cast("double").alias("amount")))
-
-    done = kind == "analysis.completed"
-    made = F.array_compact(F.array(
-        change(kind.isin("component.error", "analysis.failed"), "total_errors", "add", one),
-        change((kind == "component.error") & F.coalesce("critical", F.lit(False)), "critical_errors", "add", one),
-        change(done, "projects_analyzed", "add", one), change(done, "files_processed", "add", F.col("files")), change(done, "entities_extracted", "add", F.col("entities")),
-        change(kind == "metric.updated", F.col("metric"), "set", F.col("value")),
-    ))
-    return folded_metric(events.select("ts", "event_id", F.explode(made).alias("c")).select("c.name", "c.op", "c.amount", "ts", "event_id"))
-
-
 def overall(status: Column, stale: Column) -> Column:
     """Worst first: unhealthy, degraded or stale, unknown, healthy."""
     return (

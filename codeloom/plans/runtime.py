@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from codeloom.operators import bus
 from codeloom.operators import health as h
+from codeloom.operators import state
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
 
@@ -297,4 +298,35 @@ def error_rate_5min(spark, d):
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "error_rate")
 
 
+#: The events since each component's registration, with what they say of it.
+SINCE = """own AS (SELECT event_id, ts, event_type, CASE WHEN event_type = 'project.analysis_started' THEN 'indexer' ELSE name END AS name, response_ms, field, k, error,
+    CASE WHEN event_type = 'component.error' THEN 'unhealthy' WHEN event_type = 'component.heartbeat' AND status <> 'bogus' THEN status END AS said FROM st WHERE event_type LIKE 'component.%' OR event_type = 'project.analysis_started'),
+  g AS (SELECT name, max((ts, event_id)) FILTER (event_type = 'component.unregistered') AS gone FROM own GROUP BY name),
+  b AS (SELECT own.name, min((ts, event_id)) AS born FROM own JOIN g ON g.name = own.name WHERE event_type = 'component.registered' AND (gone IS NULL OR (ts, event_id) > gone) GROUP BY own.name),
+  since AS (SELECT own.*, b.born, max(CASE WHEN said = 'healthy' THEN (ts, event_id) END) OVER (PARTITION BY own.name) AS healed FROM own JOIN b ON b.name = own.name AND (ts, event_id) >= b.born),
+  f AS (SELECT name, field, arg_max(v, (ts, event_id)) AS v FROM (SELECT name, ts, event_id, CASE WHEN event_type = 'component.error' THEN 'last_error' ELSE field END AS field, CASE WHEN event_type = 'component.error' THEN coalesce(error, 'Unknown error') ELSE CAST(k AS VARCHAR) END AS v FROM since WHERE said IS NOT NULL) WHERE field IS NOT NULL GROUP BY name, field),
+  m AS (SELECT name, string_agg(field || '=' || v, ',' ORDER BY field) AS details FROM f GROUP BY name),
+  a AS (SELECT name, coalesce(arg_max(said, (ts, event_id)) FILTER (said IS NOT NULL), 'starting') AS status, coalesce(max((ts, event_id)) FILTER (said IS NOT NULL), min(born)) AS said_at,
+    count(*) FILTER (said = 'unhealthy' AND (healed IS NULL OR (ts, event_id) > healed)) AS error_count, arg_max(response_ms, (ts, event_id)) FILTER (said IS NOT NULL AND event_type <> 'component.error' AND response_ms IS NOT NULL) AS response_ms,
+    arg_max(coalesce(error, 'Unknown error'), (ts, event_id)) FILTER (event_type = 'component.error') AS warning, max(ts) AS last_active FROM since GROUP BY name)"""
+
+
+@family.add(
+    f"WITH {SINCE} SELECT a.name, CASE WHEN (SELECT max((ts, event_id)) FROM st WHERE event_type = 'system.shutdown') > a.said_at THEN 'stopped' ELSE a.status END AS status, a.error_count, a.response_ms, a.warning, coalesce(m.details, '') AS details, a.last_active FROM a LEFT JOIN m ON m.name = a.name"
+)
+def registered_components(spark, d):
+    text = F.array_join(F.transform(F.map_entries("details"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return state.components(v.st(spark, d)).withColumn("details", text)
+
+
+@family.add(
+    "WITH c AS (SELECT ts, event_id, unnest(CASE event_type WHEN 'component.error' THEN [{'m': 'total_errors', 'o': 'add', 'x': 1}, {'m': CASE WHEN critical THEN 'critical_errors' END, 'o': 'add', 'x': 1}] WHEN 'project.analysis_failed' THEN [{'m': 'total_errors', 'o': 'add', 'x': 1}] WHEN 'project.analysis_completed' THEN [{'m': 'projects_analyzed', 'o': 'add', 'x': 1}, {'m': 'files_processed', 'o': 'add', 'x': files}, {'m': 'entities_extracted', 'o': 'add', 'x': entities}] WHEN 'system.metric_updated' THEN [{'m': metric, 'o': 'set', 'x': k}] END) AS c FROM st), "
+    "l AS (SELECT c.m AS m, max((ts, event_id)) AS at, arg_max(c.x, (ts, event_id)) AS x FROM c WHERE c.o = 'set' GROUP BY c.m), "
+    "s AS (SELECT c.c.m AS m, sum(c.c.x) AS x FROM c LEFT JOIN l ON l.m = c.c.m WHERE c.c.o = 'add' AND (l.at IS NULL OR (c.ts, c.event_id) > l.at) GROUP BY c.c.m) "
+    f"SELECT n.name, CAST(coalesce(l.x, 0) + coalesce(s.x, 0) AS DOUBLE) AS value FROM (VALUES {', '.join(repr((m,)).replace(',)', ')') for m in state.METRICS)}) n(name) LEFT JOIN l ON l.m = n.name LEFT JOIN s ON s.m = n.name"
+)
+def state_counters(spark, d):
+    return state.counters(v.st(spark, d))
+
+
 QUERIES, ORACLE_SQL = family.queries, family.oracle

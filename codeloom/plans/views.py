@@ -57,6 +57,23 @@ def comp(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "ts", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("name"), "event_type", "value", _choose(F.col("event_type"), COMPONENT_STATUS).alias("status"))
 
 
+def st(spark: SparkSession, d: str) -> DataFrame:
+    """State events: every event as one of the nine kinds, or of another; the SQL below says which."""
+    e = ev(spark, d)
+    i, k, r = F.col("event_id"), F.col("k"), F.col("event_id") % 23
+    kind = (
+        F.when(i % 2311 == 2310, "system.shutdown").when(r < 2, "component.registered").when(r == 2, "component.unregistered").when(r < 11, "component.heartbeat").when(r < 14, "component.error")
+        .when(r < 16, "system.metric_updated").when(r == 16, "project.analysis_started").when(r < 20, "project.analysis_completed").when(r == 20, "project.analysis_failed").otherwise("user.click")
+    )
+    status = _choose(k % 6, {0: "healthy", 1: "degraded", 2: "unhealthy", 4: "bogus", 5: "starting"})
+    return e.select(
+        "event_id", "ts", kind.alias("event_type"), F.when(F.col("user_id") % 7 == 0, "indexer").otherwise(F.concat(F.lit("c"), F.col("user_id"))).alias("name"), status.alias("status"),
+        F.when(k % 2 == 0, F.col("value")).alias("response_ms"), F.when(k % 5 == 0, F.create_map(F.concat(F.lit("f"), k % 3), k.cast("string"))).alias("details"), F.when(k % 4 != 0, F.concat(F.lit("e"), k)).alias("error"),
+        (k > 50).alias("critical"), F.element_at(F.array(F.lit("graph_nodes"), F.lit("files_processed"), F.lit("no_such_metric")), (k % 3 + 1).cast("int")).alias("metric"), k.alias("value"),
+        F.when(k % 4 > 0, k).alias("files"), (2 * k).alias("entities"),
+    )
+
+
 def tr(spark: SparkSession, d: str) -> DataFrame:
     return ev(spark, d).select("event_id", "ts", "user_id", _choose(F.col("event_type"), TARGETS).alias("target"))
 
@@ -142,6 +159,12 @@ SQL = {
     "ev": "SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "comp": f"SELECT event_id, ts, 'c' || user_id AS name, event_type, value, {_case('event_type', COMPONENT_STATUS)} AS status FROM events",
     "tr": f"SELECT event_id, ts, user_id, {_case('event_type', TARGETS)} AS target FROM events",
+    "st": """SELECT event_id, ts, CASE WHEN event_id % 2311 = 2310 THEN 'system.shutdown' WHEN event_id % 23 < 2 THEN 'component.registered' WHEN event_id % 23 = 2 THEN 'component.unregistered' WHEN event_id % 23 < 11 THEN 'component.heartbeat'
+      WHEN event_id % 23 < 14 THEN 'component.error' WHEN event_id % 23 < 16 THEN 'system.metric_updated' WHEN event_id % 23 = 16 THEN 'project.analysis_started' WHEN event_id % 23 < 20 THEN 'project.analysis_completed'
+      WHEN event_id % 23 = 20 THEN 'project.analysis_failed' ELSE 'user.click' END AS event_type, CASE WHEN user_id % 7 = 0 THEN 'indexer' ELSE 'c' || user_id END AS name,
+      CASE k % 6 WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' WHEN 2 THEN 'unhealthy' WHEN 4 THEN 'bogus' WHEN 5 THEN 'starting' END AS status, CASE WHEN k % 2 = 0 THEN value END AS response_ms,
+      CASE WHEN k % 5 = 0 THEN 'f' || (k % 3) END AS field, k, CASE WHEN k % 4 <> 0 THEN 'e' || k END AS error, k > 50 AS critical, CASE k % 3 WHEN 0 THEN 'graph_nodes' WHEN 1 THEN 'files_processed' ELSE 'no_such_metric' END AS metric,
+      CASE WHEN k % 4 > 0 THEN k END AS files, 2 * k AS entities FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
     "subs": f"SELECT * FROM (VALUES {_values(SUBSCRIPTIONS)}) t(sub_id, seq, event_type, priority, min_value)",
     "edges": f"SELECT * FROM (VALUES {_values([(a, b) for a, bs in EDGES.items() for b in bs])}) t(old, new)",
     "cfg": f"SELECT * FROM (VALUES {_values(CONFIG)}) t(layer, key, value)",

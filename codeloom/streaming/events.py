@@ -122,9 +122,10 @@ OUTPUT = "name string, status string, error_count long, seen long"
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     status, errors, seen = state.get if state.exists else (None, 0, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for status in rows["status"]:
-        errors = 0 if status == "healthy" else errors + (status == "unhealthy")
-        seen += 1
+    healthy = (rows["status"] == "healthy").to_numpy().nonzero()[0]
+    after = rows["status"].iloc[healthy[-1] :] if len(healthy) else rows["status"]
+    errors = (0 if len(healthy) else errors) + int((after == "unhealthy").sum())
+    status, seen = rows["status"].iloc[-1], seen + len(rows)
     state.update((status, errors, seen))
     yield pd.DataFrame([{"name": key[0], "status": status, "error_count": errors, "seen": seen}])
 

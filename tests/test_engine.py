@@ -222,42 +222,6 @@ def test_component_state(spark):
     assert got["d"]["warnings"] is None and got["d"]["details"] == {}
 
 
-def test_state_events(spark):
-    """All kinds of events against a fold one by one."""
-    r = random.Random(13)
-    rows = []
-    for i in range(400):
-        kind = r.choice([*health.STATE_EVENTS[:4] * 4, *health.STATE_EVENTS[4:]])
-        kind = "component.heartbeat" if kind == "system.shutdown" and i != 250 else kind
-        name = r.choice(["a", "b", "c", "indexer"]) if kind.startswith("component") else None
-        status = r.choice(["healthy", "degraded", None]) if kind == "component.heartbeat" else None
-        rows.append((i, i // 2, kind, name, status, r.random() < 0.5, r.choice(["total_errors", "files_processed"]) if kind == "metric.updated" else None, float(r.randint(0, 99)), r.choice([None, 3.0]), 2.0))
-    rows[250] = (250, 125, "system.shutdown", *rows[250][3:])
-    schema = "event_id long, ts long, event_type string, name string, status string, critical boolean, metric string, value double, files double, entities double"
-    here, counts = {}, {}
-    for _, ts, kind, name, status, critical, metric, value, files, entities in rows:
-        if kind == "component.registered":
-            here[name] = ["unknown", ts]
-        elif kind == "component.unregistered":
-            here.pop(name, None)
-        elif kind in ("component.heartbeat", "component.error") and name in here:
-            here[name] = ["unhealthy" if kind == "component.error" else status or here[name][0], ts]
-        elif kind == "analysis.started" and "indexer" in here:
-            here["indexer"][1] = ts
-        elif kind == "system.shutdown":
-            here = {k: ["stopped", v[1]] for k, v in here.items()}
-        elif kind == "metric.updated":
-            counts[metric] = value
-        for on, key, n in (
-            (kind in ("component.error", "analysis.failed"), "total_errors", 1), (kind == "component.error" and critical, "critical_errors", 1),
-            (kind == "analysis.completed", "projects_analyzed", 1), (kind == "analysis.completed", "files_processed", files or 0), (kind == "analysis.completed", "entities_extracted", entities),
-        ):
-            counts[key] = counts.get(key, 0) + n if on else counts.get(key, 0)
-    df = spark.createDataFrame(rows, schema)
-    assert {x["name"]: [x["status"], x["last_active"]] for x in health.registered(df).collect()} == here
-    assert {x["name"]: x["value"] for x in health.state_metrics(df).collect()} == counts
-
-
 def test_streak_and_overall(spark):
     rows = spark.createDataFrame(component_rows(), "event_id long, ts string, name string, status string, value double")
     assert [r["error_count"] for r in health.streaks(rows).orderBy("event_id").collect()] == [0, 1, 2, 2, 3, 0, 1]
