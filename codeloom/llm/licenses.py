@@ -21,9 +21,11 @@ empty results. Extra columns, of whatever name, are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -173,29 +175,39 @@ class Scanner:
         return {"n_words": len(words), "places": sorted(places), "spans": self._spans(matches)}
 
     def _spans(self, by_template: dict[int, list[tuple[int, int, int]]]) -> list[tuple[str, int, int, float]]:
-        """The heaviest chains of maximal matches that don't overlap, template by template."""
+        """The heaviest chains of maximal matches that don't overlap, template by template.
+
+        Words of a chain are different words of the template, from its first match's place on. So the template's words
+        that the matches within reach cover, and those from that place on, bound its share, and only starts that
+        may lead to a label or to the best share so far are chained.
+        """
         out = []
         for t, found in sorted(by_template.items()):
             size, best = len(self.templates[t]), 0.0
             found.sort()
             # A chain goes on, in the file and the template, within half a template more.
             reach = size + size // 2 + 2
-            chains, to, own = [], 0, 0
-            for k, (start, _, n) in enumerate(found):
+            chains, to, covered, times = [], 0, 0, [0] * size
+            for k, (start, place, n) in enumerate(found):
                 while to < len(found) and found[to][0] - start <= reach:
-                    own += found[to][2]
+                    for x in range(found[to][1], found[to][1] + found[to][2]):
+                        covered += not times[x]
+                        times[x] += 1
                     to += 1
-                # ``own`` bounds the words of a chain from here; one that is no label and not the best is not needed.
-                if min(1.0, own / size) >= LEAST_SHARE or own / size > best:
+                bound = min(covered, size - place) / size
+                if bound >= LEAST_SHARE or bound > best:
                     words, end = _heaviest(found[k:to])
                     share = min(1.0, words / size)
                     best = max(best, share)
                     chains.append((-share, start, end))
-                own -= n
-            taken: list[tuple[int, int]] = []
+                for x in range(place, place + n):
+                    times[x] -= 1
+                    covered -= not times[x]
+            taken: list[tuple[int, int]] = []  # in order, without overlaps
             for share, start, end in sorted(chains):
-                if all(end <= a or start >= b for a, b in taken):
-                    taken.append((start, end))
+                at = bisect_left(taken, (start,))
+                if (at == len(taken) or taken[at][0] >= end) and (not at or taken[at - 1][1] <= start):
+                    taken.insert(at, (start, end))
                     out.append((self.labels[t], start, end, -share))
         return out
 
@@ -205,20 +217,15 @@ def _heaviest(found: list[tuple[int, int, int]]) -> tuple[int, int]:
 
     A match that overlaps the one before, in the file or the template, counts from where that ends.
     """
-    weight = [0] * len(found)
-    weight[0] = found[0][2]
-    top = 0
+    s, b, n = np.array(found, np.int64).T
+    weight = np.zeros(len(found), np.int64)
+    weight[0] = n[0]
     for j in range(1, len(found)):
-        s, b, n = found[j]
-        for i in range(j):
-            if weight[i]:
-                s0, b0, m = found[i]
-                left = n - max(0, s0 + m - s, b0 + m - b)
-                if left > 0 and s > s0 and b > b0 and weight[i] + left > weight[j]:
-                    weight[j] = weight[i] + left
-        if weight[j] > weight[top]:
-            top = j
-    return weight[top], found[top][0] + found[top][2]
+        left = n[j] - np.maximum(0, np.maximum(s[:j] + n[:j] - s[j], b[:j] + n[:j] - b[j]))
+        good = (weight[:j] > 0) & (left > 0) & (s[:j] < s[j]) & (b[:j] < b[j])
+        weight[j] = np.where(good, weight[:j] + left, 0).max()
+    top = int(weight.argmax())
+    return int(weight[top]), found[top][0] + found[top][2]
 
 
 @lru_cache(maxsize=1)
