@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,21 +13,25 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "path string, ord int, type string, name string, line_start int, line_end int, "
-    "bases array<string>, methods array<string>, args array<string>, decorators array<string>, module string, alias string, error string, parent string, complexity int, calls array<string>"
+    "bases array<string>, methods array<string>, args array<string>, decorators array<string>, module string, alias string, error string, parent string, scope string, ident string, owner string, owner_type string, complexity int, calls array<string>"
 )
 ARROW = pa.schema(
     [("path", pa.string()), ("ord", pa.int32()), ("type", pa.string()), ("name", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]
     + [(n, pa.list_(pa.string())) for n in ("bases", "methods", "args", "decorators")]
-    + [(n, pa.string()) for n in ("module", "alias", "error", "parent")]
+    + [(n, pa.string()) for n in ("module", "alias", "error", "parent", "scope", "ident", "owner", "owner_type")]
     + [("complexity", pa.int32()), ("calls", pa.list_(pa.string()))]
 )
-#: From these on, a function is complex, or long.
+#: Above these, a function is complex, or long.
 COMPLEX, LONG = 10, 50
 BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert, ast.comprehension, ast.match_case)
 SCOPES = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def _described(node: ast.AST) -> list[dict]:
+#: Where statements hold statements, in the order of their fields.
+BODIES = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+def _described(node: ast.AST, details: bool) -> list[dict]:
     """The entities that one syntax node stands for; most stand for none."""
     match node:
         case ast.ClassDef(name=name, bases=bases, body=body):
@@ -33,7 +39,7 @@ def _described(node: ast.AST) -> list[dict]:
             return [{"type": "class", "name": name, "bases": list(map(ast.unparse, bases)), "methods": methods}]
         case ast.FunctionDef(name=name, args=args, decorator_list=marks):
             known = {"type": "function", "name": name, "args": [a.arg for a in args.args], "decorators": list(map(ast.unparse, marks))}
-            return [known | {"complexity": complexity(node), "calls": calls(node)}]
+            return [known | measures(node) if details else known]
         case ast.Import(names=names):
             return [{"type": "import", "name": n.name, "alias": n.asname} for n in names]
         case ast.ImportFrom(names=names, module=module):
@@ -41,52 +47,77 @@ def _described(node: ast.AST) -> list[dict]:
     return []
 
 
-def complexity(function: ast.AST) -> int:
-    """Cyclomatic: one more than the branches within, further operands of and / or counting each."""
-    inner = list(ast.walk(function))
-    return 1 + sum(isinstance(x, BRANCHES) for x in inner) + sum(len(x.values) - 1 for x in inner if isinstance(x, ast.BoolOp))
-
-
-def calls(function: ast.AST) -> list[str]:
-    """Names that are called within, each once, sorted; of attributes the last part."""
-    called = (x.func for x in ast.walk(function) if isinstance(x, ast.Call))
-    return sorted({f.id if isinstance(f, ast.Name) else f.attr for f in called if isinstance(f, (ast.Name, ast.Attribute))})
-
-
-def _owners(tree: ast.AST) -> dict[ast.AST, str]:
-    """The nearest class or function around each node that has one."""
-    out: dict[ast.AST, str] = {}
-    for node in ast.walk(tree):
-        name = node.name if isinstance(node, SCOPES) else out.get(node)
-        if name is not None:
-            out.update(dict.fromkeys(ast.iter_child_nodes(node), name))
-    return out
+def measures(function: ast.AST) -> dict:
+    """Of a function without the classes and functions within: its complexity and the names that it calls.
 
-
-def entities_of(path: str, content: str | None) -> Iterator[dict]:
+    Complexity is cyclomatic: one more than the branches, further operands of and / or counting each. Called names
+    are sorted, each once; of attributes the last part.
+    """
+    branches, called, todo = 1, set(), list(ast.iter_child_nodes(function))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, SCOPES):
+            continue
+        branches += len(x.values) - 1 if isinstance(x, ast.BoolOp) else isinstance(x, BRANCHES)
+        if isinstance(x, ast.Call) and isinstance(x.func, (ast.Name, ast.Attribute)):
+            called.add(x.func.id if isinstance(x.func, ast.Name) else x.func.attr)
+        todo += ast.iter_child_nodes(x)
+    return {"complexity": branches, "calls": sorted(called)}
+
+
+def _statements(tree: ast.AST) -> Iterator[tuple[ast.AST, tuple[str, ...], str, tuple[str, str] | None]]:
+    """Statements, breadth first, with their scopes' names, their own and the nearest class or function with a row.
+
+    A name defined again in the same scope is told apart by its number, from the second on. Expressions hold no
+    statements and are left out. Coroutines are scopes, but have no rows.
+    """
+    seen: dict[tuple[str, ...], int] = {}
+    todo: deque = deque([(tree, (), None)])
+    while todo:
+        node, scope, owner = todo.popleft()
+        name = getattr(node, "name", "")
+        if isinstance(node, SCOPES):
+            seen[*scope, name] = n = seen.get((*scope, name), 0) + 1
+            name = name if n == 1 else f"{name}#{n}"
+        yield node, scope, name, owner
+        if isinstance(node, SCOPES):
+            scope = (*scope, name)
+            if not isinstance(node, ast.AsyncFunctionDef):
+                owner = ("::".join(scope), "class" if isinstance(node, ast.ClassDef) else "function")
+        for field in BODIES:
+            todo.extend((x, scope, owner) for x in getattr(node, field, ()))
+
+
+def entities_of(path: str, content: str | None, details: bool = True) -> Iterator[dict]:
     """Rows in breadth-first order; a file that can't be parsed gives one row with its error."""
     try:
         tree = ast.parse(content or "")
     except (SyntaxError, ValueError) as e:
         yield {"path": path, "ord": 0, "error": f"{path}: {type(e).__name__}"}
         return
-    found, owner = 0, _owners(tree)
-    for node in ast.walk(tree):
-        for row in _described(node):
-            yield {"path": path, "ord": found, "line_start": node.lineno, "line_end": node.end_lineno or node.lineno, "parent": owner.get(node), **row}
+    found = 0
+    for node, scope, name, owner in _statements(tree):
+        for row in _described(node, details):
+            of, kind = owner or (None, None)
+            own = f"import::{row['name']}" if row["type"] == "import" else "::".join((*scope, name))
+            place = {"scope": "::".join(scope) or None, "parent": scope[-1].split("#")[0] if scope else None, "ident": own, "owner": of, "owner_type": kind}
+            yield {"path": path, "ord": found, "line_start": node.lineno, "line_end": node.end_lineno or node.lineno, **place, **row}
             found += 1
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], details: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in entities_of(p, c)]
+        rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in entities_of(p, c, details)]
         yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
-def extract(files: DataFrame, enrich=lambda df: df) -> DataFrame:
-    """Entities (and errors) of the ``.py`` files among ``files`` (path, content); ``enrich`` is a hook."""
+def extract(files: DataFrame, enrich=lambda df: df, details: bool = True) -> DataFrame:
+    """Entities (and errors) of the ``.py`` files among ``files`` (path, content); ``enrich`` is a hook.
+
+    Without ``details``, complexity and calls are null and cost nothing.
+    """
     python = files.filter(F.col("path").endswith(".py")).select("path", "content")
-    return enrich(python.mapInArrow(_extract, SCHEMA))
+    return enrich(python.mapInArrow(partial(_extract, details=details), SCHEMA))
 
 
 def parsed(entities: DataFrame) -> DataFrame:
@@ -108,26 +139,27 @@ def smells(entities: DataFrame) -> DataFrame:
 def graph(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label) and edges (src, rel, dst) of entities: files, classes, functions and imports.
 
-    A call or a base class leads to the functions or classes of that name in the same file; to the bare name where
-    the file has none.
+    An id is the path with all scopes around, so nodes of one name in other scopes are others. A class defines its methods; a
+    file contains all other classes and functions in it, nested ones too, and imports what is imported anywhere in it. A call or
+    a base class leads to the functions or classes of that name in the same file; where the file has none, to a node
+    with the bare name, outside of all files. Every edge has its nodes. A null path is no file and gives nothing.
     """
-    own = parsed(entities)
-    label = F.initcap("type")
-    ident = F.concat_ws("::", "path", "parent", "name")
-    rows = own.select("path", "parent", "name", "type", "bases", "calls", ident.alias("id"), label.alias("label"))
-    files = own.select(F.col("path").alias("id"), F.lit("File").alias("label")).distinct()
-    nodes = rows.select("id", "label").union(files).distinct()
-    inside = F.when(F.col("parent").isNull(), F.when(F.col("type") == "import", "IMPORTS").otherwise("CONTAINS")).otherwise("DEFINES")
-    above = F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat_ws("::", "path", "parent"))
-    held = rows.select(above.alias("src"), inside.alias("rel"), F.col("id").alias("dst"))
+    own = parsed(entities).filter("path is not null")
+    rows = own.select("path", "owner", "owner_type", "name", "type", "bases", "calls", F.concat_ws("::", "path", "ident").alias("id"), F.initcap("type").alias("label"))
+    method = (F.col("type") == "function") & F.coalesce(F.col("owner_type") == "class", F.lit(False))
+    rel = F.when(F.col("type") == "import", "IMPORTS").when(method, "DEFINES").otherwise("CONTAINS")
+    held = rows.select(F.when(method, F.concat_ws("::", "path", "owner")).otherwise(F.col("path")).alias("src"), rel.alias("rel"), F.col("id").alias("dst"))
     names = rows.filter("type in ('class', 'function')").select(F.col("path").alias("of"), F.col("type").alias("kind"), F.col("name").alias("named"), F.col("id").alias("target"))
 
     def to(column: str, rel: str, kind: str) -> DataFrame:
         asked = rows.select("path", "id", F.explode(column).alias("wanted"))
         met = asked.join(names.filter(F.col("kind") == kind), (F.col("path") == F.col("of")) & (F.col("wanted") == F.col("named")), "left")
-        return met.select(F.col("id").alias("src"), F.lit(rel).alias("rel"), F.coalesce("target", "wanted").alias("dst"))
+        return met.select(F.col("id").alias("src"), F.lit(rel).alias("rel"), F.coalesce("target", "wanted").alias("dst"), F.col("target").isNull().alias("outside"), F.lit(kind.capitalize()).alias("label"))
 
-    return nodes, held.union(to("calls", "CALLS", "function")).union(to("bases", "EXTENDS", "class")).distinct()
+    used = to("calls", "CALLS", "function").union(to("bases", "EXTENDS", "class"))
+    files = own.select(F.col("path").alias("id"), F.lit("File").alias("label"))
+    nodes = rows.select("id", "label").union(files).union(used.filter("outside").select("dst", "label")).distinct()
+    return nodes, held.union(used.select("src", "rel", "dst")).distinct()
 
 
 def by_type(entities: DataFrame) -> DataFrame:

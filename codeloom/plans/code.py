@@ -16,7 +16,7 @@ UNION ALL SELECT 'p' || p_partkey || '.py', p_partkey, 3, 'function', 'run', 5,
 
 
 def _entities(spark, d):
-    return e.parsed(e.extract(v.code(spark, d)))
+    return e.parsed(e.extract(v.code(spark, d), details=False))
 
 
 @family.add(f"SELECT path, ord, type, name, line_start, line_end FROM {ALL}")
@@ -48,7 +48,7 @@ def entity_spans(spark, d):
 
 @family.add(f"SELECT type, count(*) AS n FROM {ALL} GROUP BY type")
 def entities_by_type(spark, d):
-    return e.by_type(e.extract(v.code(spark, d)))
+    return e.by_type(e.extract(v.code(spark, d), details=False))
 
 
 @family.add(f"SELECT path, ord, name FROM {ALL} ORDER BY path, ord LIMIT 100")
@@ -59,7 +59,7 @@ def entities_top100(spark, d):
 @family.add("SELECT count(*) AS files, 4 * count(*) AS entities_found, 0 AS files_failed, count(*) AS n_class, 2 * count(*) AS n_function, count(*) AS n_import FROM part")
 def analyze_project(spark, d):
     files = v.code(spark, d)
-    return e.report(files, e.extract(files))
+    return e.report(files, e.extract(files, details=False))
 
 
 @family.add("SELECT 'm' || p_partkey AS module, 'p' || p_partkey || '.py' AS path, count(*) AS n FROM part GROUP BY ALL")
@@ -70,7 +70,7 @@ def dependency_map(spark, d):
 @family.add("SELECT 'p' || p_partkey || '.py' AS path, 13 AS n_lines, 5 AS blank_lines, 1 AS comment_lines, round(1 / 13, 6) AS comment_density, 1 AS n_class, 2 AS n_function, 1 AS n_import FROM part")
 def source_metrics(spark, d):
     files = v.code(spark, d)
-    return e.metrics(files, e.extract(files))
+    return e.metrics(files, e.extract(files, details=False))
 
 
 @family.add("SELECT 'q' || p_partkey || '.py' AS path, 'g' || p_partkey AS name, CAST(1 + 2 * (p_partkey % 9) AS INTEGER) AS complexity, CASE WHEN p_partkey % 9 > 0 THEN 'h' ELSE '' END AS calls FROM part UNION ALL SELECT 'q' || p_partkey || '.py', 'h', 1, '' FROM part")
@@ -91,6 +91,27 @@ def code_graph(spark, d):
     return e.graph(e.extract(v.branchy(spark, d)))[1]
 
 
+@family.add(
+    """WITH f AS (SELECT p_partkey AS k, 'n' || p_partkey || '.py' AS p FROM part)
+SELECT p AS src, 'CONTAINS' AS rel, p || '::' || unnest(['A', 'B', 'A::run::inner', 'B::run::inner', 'job::step', 'twice', 'twice#2', 'A::run::Local']) AS dst FROM f
+UNION ALL SELECT p || '::' || unnest(['A', 'B']), 'DEFINES', p || '::' || unnest(['A::run', 'B::run']) FROM f
+UNION ALL SELECT p || '::A::run::Local', 'DEFINES', p || '::A::run::Local::go' FROM f
+UNION ALL SELECT p, 'IMPORTS', p || '::import::os' || k FROM f
+UNION ALL SELECT p || '::B', 'EXTENDS', p || '::A' FROM f
+UNION ALL SELECT p || '::A::run', 'CALLS', unnest([p || '::A::run::inner', p || '::B::run::inner']) FROM f
+UNION ALL SELECT p || '::job::step', 'CALLS', unnest([p || '::twice', p || '::twice#2']) FROM f
+UNION ALL SELECT p || '::A::run::Local::go', 'CALLS', 'outside' || k FROM f"""
+)
+def code_graph_nested(spark, d):
+    return e.graph(e.extract(v.nested(spark, d)))[1]
+
+
+@family.add("SELECT name, complexity, count(*) AS n FROM (SELECT unnest(['run', 'run', 'inner', 'inner', 'go', 'step', 'twice', 'twice']) AS name, unnest([1, 2, 2, 1, 1, 1, 1, 1]) AS complexity FROM part) GROUP BY name, complexity")
+def nested_complexity(spark, d):
+    own = e.parsed(e.extract(v.nested(spark, d))).filter("type = 'function'")
+    return own.groupBy("name", "complexity").agg(F.count("*").alias("n"))
+
+
 @family.add(
     "SELECT rel, count(*) AS n FROM (SELECT unnest(['IMPORTS', 'CONTAINS', 'CONTAINS', 'DEFINES', 'EXTENDS']) AS rel FROM part) GROUP BY rel"
 )

@@ -144,6 +144,45 @@ def branchy(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.concat(F.lit("q"), k, F.lit(".py")).alias("path"), text.alias("content"))
 
 
+NESTED = """class A:
+    def run(self):
+        import os{k}
+        def inner(x):
+            return x if x else 0
+        class Local:
+            def go(self):
+                return outside{k}()
+        return inner(1)
+
+
+class B(A):
+    def run(self):
+        def inner():
+            pass
+        if self:
+            pass
+
+
+async def job():
+    def step():
+        return twice()
+
+
+def twice():
+    pass
+
+
+def twice():
+    pass
+"""
+
+
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """A source text for each part: ``NESTED`` with the part's key."""
+    k = F.col("p_partkey").cast("string")
+    return read(spark, d, "part").select(F.concat(F.lit("n"), k, F.lit(".py")).alias("path"), F.replace(F.lit(NESTED), F.lit("{k}"), k).alias("content"))
+
+
 def _values(rows: list[tuple]) -> str:
     def one(x) -> str:
         return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)

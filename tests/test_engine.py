@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as s
-from codeloom.operators import bus, entities, health, scanning, validate, workflow
+from codeloom.operators import bus, entities, health, scanning, search, validate, workflow
 from codeloom.plans import views
 from codeloom.runtime import container, errors, logs, sampler, settings
 from codeloom.runtime.errors import ConfigurationError, DependencyError, EngineError, StateError, ValidationError, WorkflowError
@@ -169,6 +169,31 @@ def test_entity_cases(spark):
     assert run["complexity"] == 1 + len(["for", "if", "and", "or", "while", "else", "except", "comprehension"])
 
 
+def test_graph_of_scopes(spark):
+    """No edge without its nodes, none that the schema forbids, and nodes of one name apart by scope."""
+    files = spark.createDataFrame([("n.py", views.NESTED.replace("{k}", "1")), ("c.py", CASES), ("bad.py", "def"), ("e.py", None), (None, "x = 1")], "path string, content string")
+    nodes, edges = entities.graph(entities.extract(files).withColumn("src", F.lit(1)))
+    labels = {r["id"]: r["label"] for r in nodes.collect()}
+    found = edges.collect()
+    assert {x for r in found for x in (r["src"], r["dst"])} <= set(labels)
+    typed = [(r["rel"], labels[r["src"]], labels[r["dst"]]) for r in found]
+    assert search.schema_violations(spark.createDataFrame(typed, "rel string, src_type string, dst_type string")).isEmpty()
+    assert {"n.py::A::run::inner", "n.py::B::run::inner", "n.py::twice#2", "n.py::job::step", "a.B", "c.py::Outer::run"} <= set(labels) and "n.py::job" not in labels
+    rows = {r["ident"]: r for r in entities.extract(files).collect() if r["path"] == "n.py"}
+    assert (rows["B::run"]["complexity"], rows["B::run::inner"]["complexity"], rows["A::run"]["calls"], rows["A::run::inner"]["complexity"]) == (2, 1, ["inner"], 2)
+    quick = entities.extract(files, details=False)
+    assert quick.drop("complexity", "calls").collect() == entities.extract(files).drop("complexity", "calls").collect() and quick.filter("calls is not null").isEmpty()
+
+
+def test_entities_in_breadth_first_order(spark):
+    """The order of a walk over all nodes of the syntax tree."""
+    import ast
+
+    for text in (views.NESTED.replace("{k}", "1"), CASES, open(entities.__file__).read(), open(views.__file__).read(), open(search.__file__).read()):
+        want = [n for x in ast.walk(ast.parse(text)) for n in ([x.name] if type(x) in (ast.FunctionDef, ast.ClassDef) else [a.name for a in x.names] if isinstance(x, (ast.Import, ast.ImportFrom)) else [])]
+        assert [r["name"] for r in entities.entities_of("a.py", text)] == want
+
+
 def test_languages(spark):
     table = [(".py", "python"), (".js", "javascript"), (".ts", "typescript"), (".java", "java"), (".go", "go"), (".rs", "rust"), (".cpp", "cpp"), (".c", "c"), (".cs", "c_sharp")]
     assert one(spark, s.code_language(F.col("x")), *[k for k, _ in table], ".php", "", None) == [v for _, v in table] + ["unknown"] * 3
