@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as s
-from codeloom.operators import search
+from codeloom.operators import search, vectors
 from codeloom.operators import workflow as w
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
@@ -245,6 +245,32 @@ def semantic_topk(spark, d):
     return search.semantic_top(t, q, 10)
 
 
+NEAREST = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10"
+
+
+def _asked(spark, d):
+    """All vectors, and those with ids divisible by 100 as queries."""
+    rows = vectors.usable(v.read(spark, d, "embeddings"))
+    return rows, rows.filter("id % 100 = 0")
+
+
+@family.add(NEAREST)
+def vector_neighbors_exact(spark, d):
+    return vectors.exact(*_asked(spark, d))
+
+
+@family.add(NEAREST)
+def vector_neighbors(spark, d):
+    return vectors.neighbors(*_asked(spark, d))
+
+
+@family.add("SELECT 10 * count(*) AS neighbors, TRUE AS found FROM embeddings WHERE vec_id % 100 = 0")
+def vector_recall(spark, d):
+    """Whether the index finds 95 % of the nearest neighbours."""
+    rows = _asked(spark, d)
+    return vectors.recall(vectors.neighbors(*rows), vectors.exact(*rows)).select("neighbors", (F.col("recall") >= 0.95).alias("found"))
+
+
 AGENTS = [("analyst", True, "code_metrics"), ("analyst", True, "complexity_analysis"), ("architect", False, "design_patterns"), ("security", False, "vulnerability_scan")]
 
 
