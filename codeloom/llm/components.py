@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import cut, tidied
+from codeloom.runtime.scratch import renewed
 
 #: Edges that one task joins, 16 bytes each; beyond it, rounds on the cluster do.
 FEW_EDGES = 250_000
+#: Rounds between which the links are stored anew, so that their size is known.
+RENEW = 5
 
 
 @tidied
@@ -54,14 +58,14 @@ def stars(edges: DataFrame) -> DataFrame:
 
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
-    while True:
+    for k in count():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = unlike(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = cut(unlike(small))
+        now = renewed(unlike(small)) if k % RENEW == RENEW - 1 else cut(unlike(small))
         after = state(now)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,9 +2,9 @@
 
 A document's set is that of its distinct ``WIDTH``-word shingles. Two small collections of ``HALVES`` half keys, each
 of ``MINIMA`` minima, are computed for it, and the keys of ``HALVES`` squared tables are all pairs of a half key of the
-first collection and one of the second: 144 tables of four minima from 48 minhashes instead of 576. Two
+first collection and one of the second: 256 tables of six minima from 96 minhashes instead of 1,536. Two
 sets share a table if they share a half key in each collection, so a pair at similarity 0.8 is missed by all tables with a
-probability of 9.4e-6 (2 (1 - 0.8**2)**12), at 0.9 with 4.4e-9. Candidates are confirmed on the full sets
+probability of 2.1e-5 (2 (1 - 0.8**3)**16), at 0.85 with 5.7e-7. Candidates are confirmed on the full sets
 (:mod:`codeloom.llm.near_sets`).
 
 The tables are never shuffled as such: a text goes to each of its first half keys with all its second ones, and the
@@ -35,7 +35,7 @@ from codeloom.llm.components import rooted, stars
 from codeloom.runtime.scratch import small
 
 WIDTH, SIMILARITY = 2, 0.8
-HALVES, MINIMA = 12, 2
+HALVES, MINIMA = 16, 3
 #: Texts of one first half key that meet in one task.
 LIGHT = 10_000
 BROADCAST_ROWS = 100_000
@@ -78,14 +78,27 @@ def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _met(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """(own, pivot) of the tables of whole first half keys; ``rows`` are sorted by half, own."""
+    """(own, other, weight) of the tables of whole first half keys; ``rows`` are sorted by half, own.
+
+    Each member with the smallest of a table (weight 0), and with the member before it in most of its tables, of one
+    half key, and their number.
+    """
     half, own = (rows.column(k).to_numpy().view(np.uint64) for k in (0, 1))
     second = rows.column(2).flatten().to_numpy().view(np.uint32).reshape(-1, HALVES).astype(np.uint64)
     tables = mixed(half[:, None] ^ mixed(second + (np.arange(HALVES, dtype=np.uint64) << np.uint64(32)))).ravel()
-    _, at, of = np.unique(tables, return_index=True, return_inverse=True)
-    member, pivot = np.repeat(own, HALVES), own[at // HALVES][of]
-    found = np.unique(np.stack([member, pivot], 1)[member != pivot], axis=0).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["own", "pivot"])
+    order = np.argsort(tables, kind="stable")
+    member, table = order // HALVES, tables[order]
+    begins = np.ones(len(table), bool)
+    begins[1:] = table[1:] != table[:-1]
+    pivot = member[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+    stars = np.unique(np.stack([member, pivot], 1)[member != pivot], axis=0)
+    at = np.flatnonzero(~begins)
+    pairs, weight = np.unique(np.stack([member[at], member[at - 1]], 1), axis=0, return_counts=True)
+    best = np.lexsort((-weight, pairs[:, 0]))
+    best = best[np.unique(pairs[best, 0], return_index=True)[1]]
+    found = own[np.concatenate([stars, pairs[best]])].view(np.int64)
+    weights = np.concatenate([np.zeros(len(stars), np.int64), weight[best]])
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(weights)], ["own", "other", "weight"])
 
 
 @tidied
@@ -109,18 +122,20 @@ def _tensored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _met(pa.concat_batches(held))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct (own, pivot): texts (own, first, second) that share a table with the table's smallest."""
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (own, first, second) that share a table: (own, pivot), with the table's smallest, and fellows (own, fellow, weight)."""
     halves = texts.select(F.explode("first").alias("half"), "own", "second")
     heavy = cut(halves.groupBy("half").agg(F.count("*").alias("n")).filter(F.col("n") > LIGHT).select("half"))
     few = small(heavy, BROADCAST_ROWS)
-    light = halves.join(few, "half", "left_anti")
-    light = light.repartition("half").sortWithinPartitions("half", "own")
-    met = light.mapInArrow(_tensored, "own long, pivot long")
+    light = halves.join(few, "half", "left_anti").repartition("half").sortWithinPartitions("half", "own")
+    found = cut(light.mapInArrow(_tensored, "own long, other long, weight long"))
+    met = found.filter("weight = 0").select("own", F.col("other").alias("pivot"))
+    fellows = found.filter("weight > 0").toDF("own", "fellow", "weight")
     if not heavy.isEmpty():
         wide = halves.join(few, "half", "left_semi").select("own", "half", F.posexplode("second").alias("j", "k"))
-        met = met.union(near_sets.pivoted(wide.select("own", F.xxhash64("half", "j", "k").alias("bucket"))))
-    return cut(met.distinct())
+        keys = wide.select("own", F.xxhash64("half", "j", "k").alias("bucket"))
+        met, fellows = met.union(near_sets.pivoted(keys)), fellows.union(near_sets.fellows(keys))
+    return cut(met.distinct()), fellows.groupBy("own", "fellow").agg(F.sum("weight").alias("weight"))
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -130,7 +145,8 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     full = prints.filter("n_shingles > 0")
     texts = full.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("first").alias("first"), F.any_value("second").alias("second"))
     texts = cut(texts)
-    edges = near_sets.link_texts(docs, texts, candidates(texts.select("own", "first", "second")), width, similarity)
+    met, fellows = candidates(texts.select("own", "first", "second"))
+    edges = near_sets.link_texts(docs, texts, met, fellows, width, similarity)
     classes = rooted(texts.select("own", "first_id"), stars(edges), "own")
     least = classes.groupBy("root").agg(F.min("first_id").alias("least_id"))
     known = classes.join(least, "root").select("own", "least_id")

@@ -108,7 +108,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> Data
     """
     texts = cut(prints.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
     keys = texts.select("own", F.posexplode("bands").alias("band", "key")).select("own", F.xxhash64("band", "key").alias("bucket"))
-    edges = near_sets.link_texts(docs, texts, near_sets.pivoted(keys), SIMILAR_WIDTH, similarity)
+    edges = near_sets.link_texts(docs, texts, near_sets.pivoted(keys), near_sets.fellows(keys), SIMILAR_WIDTH, similarity)
     prints_of = texts.select("own", "fp")
     ends = edges.join(prints_of.select(F.col("own").alias("a"), F.col("fp").alias("p")), "a").join(prints_of.select(F.col("own").alias("b"), F.col("fp").alias("q")), "b")
     return cut(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())

@@ -830,9 +830,10 @@ def sets_of(spark, sets):
     return spark.createDataFrame([(k, len(x), sorted(x)) for k, x in sets], "own long, n int, shingles array<long>")
 
 
-def joined(spark, sets, met, similarity=0.8):
+def joined(spark, sets, met, similarity=0.8, fellows=()):
     """The component (smallest member) of each set by the links found."""
-    got = near_sets.near_links(spark.createDataFrame(met, "own long, pivot long"), sets_of(spark, sets), similarity)
+    near = spark.createDataFrame(list(fellows), "own long, fellow long, weight long")
+    got = near_sets.near_links(spark.createDataFrame(met, "own long, pivot long"), near, sets_of(spark, sets), similarity)
     return {k: k for k, _ in sets} | {x["node"]: x["root"] for x in components.stars(got).collect()}
 
 
@@ -842,9 +843,10 @@ def test_members_that_stand_apart_are_compared(spark):
     assert joined(spark, sets, [(k, 0) for k in range(1, 32)]) == {k: k // 8 * 8 for k in range(32)}
 
 
-@pytest.mark.parametrize("block", [1 << 20, 30])
-def test_near_links_by_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(near_sets, "BLOCK", block)
+@pytest.mark.parametrize(("block", "texts", "stream", "fellows"), [(1 << 20, 256, 4096, 0), (30, 5, 7, 0), (1 << 20, 7, 1, 50), (1 << 20, 1 << 20, 1 << 20, 0)])
+def test_near_links_by_brute_force(spark, block, texts, stream, fellows, monkeypatch):
+    for name, value in (("BLOCK", block), ("TEXTS", texts), ("STREAM", stream)):
+        monkeypatch.setattr(near_sets, name, value)
     r = np.random.default_rng(5)
     sets = [(k, np.unique(r.choice(34, r.integers(6, 34), replace=False)).tolist()) for k in range(60)]
     near = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
@@ -854,17 +856,33 @@ def test_near_links_by_brute_force(spark, block, monkeypatch):
             if near(sets[i][1], sets[j][1]):
                 at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
     assert 3 < len(set(at)) < 57
-    assert joined(spark, sets, [(k, 0) for k in range(1, 60)]) == dict(enumerate(at))
+    some = {(int(a), int(b), 1) for a, b in r.integers(0, 60, (fellows, 2)) if a != b}
+    assert joined(spark, sets, [(k, 0) for k in range(1, 60)], fellows=some) == dict(enumerate(at))
     both = near_sets.confirmed(spark.createDataFrame([(0, k) for k in range(1, 60)], "a long, b long"), sets_of(spark, sets), 0.8)
     assert {x["b"] for x in both.collect()} == {k for k in range(1, 60) if near(sets[0][1], sets[k][1])}
 
 
-def test_frequent_passages_give_no_pairs(spark):
+def test_frequent_passages_give_no_pairs(spark, monkeypatch):
     """Texts that share half of their elements and stand apart: none is compared with another but the pivot."""
+    sent = []
+    monkeypatch.setattr(near_sets, "_in_blocks", lambda *_: sent.append(1))
     for n in (300, 1200):
         sets = [(k, [*range(20), *range(1000 + 20 * k, 1020 + 20 * k)]) for k in range(n)]
-        rows = spark.createDataFrame([(k, 0, k, 0, True) for k in range(1, n)], "own long, pivot long, root long, of long, apart boolean")
-        assert near_sets._fellows(rows, sets_of(spark, sets), 0.8).isEmpty()
+        rows = spark.createDataFrame([(k, 0, k, k > 0) for k in range(n)], "own long, pivot long, root long, apart boolean")
+        pairs, dense = near_sets._fellows(rows, sets_of(spark, sets), 0.8)
+        assert pairs.isEmpty() and dense.isEmpty()
+
+
+def test_copies_just_below_the_similarity_go_in_blocks(spark, monkeypatch):
+    """Each has the same 80 elements and 12 of its own: sets sent are a 256th of the pairs, and none is linked."""
+    sets = [(k, [*range(80), *range(1000 + 12 * k, 1012 + 12 * k)]) for k in range(700)] + [(900, [*range(80), 1, 999]), (901, [*range(80), 998])]
+    sets = [(k, sorted(set(x))) for k, x in sets]
+    rows = spark.createDataFrame([(k, 0, k, k > 0) for k, _ in sets], "own long, pivot long, root long, apart boolean")
+    pairs, dense = near_sets._fellows(rows, sets_of(spark, sets), 0.8)
+    assert pairs.isEmpty() and dense.count() == 702
+    links = near_sets._in_blocks(dense, sets_of(spark, sets), 0.8)
+    # 80 of 104 elements are too few, 80 of 93 are enough.
+    assert {x for r in links.collect() for x in (r["a"], r["b"])} >= {900, 901} and all({r["a"], r["b"]} & {900, 901} for r in links.collect())
 
 
 # 10 quality classifier
