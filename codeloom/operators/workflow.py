@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.operators import graphs
 from codeloom.runtime.scratch import cut
 
 FINISHED = ("completed", "skipped")
@@ -13,7 +14,6 @@ STALL_SECONDS = 3600
 MAX_RUNNING = 10
 #: Graphs of at most so many edges are walked on the driver.
 FEW_EDGES = 5_000
-TRIMS = 8
 ARROW = " -> "
 
 
@@ -144,15 +144,9 @@ def cycles(spark, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     own = _few(links, few)
     if own is not None:
         return spark.createDataFrame(_loops(own), "root string, path string")
-    links = cut(links)
-    for _ in range(TRIMS):  # ends of trees go first; what is left doesn't change the result
-        before = links.count()
-        links = cut(links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        if links.count() == before:
-            break
-    reach = closure(spark, links.select(F.col("a").alias("node"), F.col("b").alias("depends_on")))
-    back = reach.select(F.col("root").alias("b"), F.col("node").alias("a"))
-    links = cut(links.join(back, ["a", "b"], "left_semi"))
+    own = graphs.strong_components(links.toDF("src", "dst"), few)
+    both = links.join(own.toDF("a", "component"), "a").join(own.toDF("b", "other"), "b")
+    links = cut(both.filter("component = other").select("a", "b"))
     walk = cut(links.select(F.col("a").alias("root"), F.col("b").alias("node"), F.concat("a", F.lit(ARROW), "b").alias("path")))
     seen, out = walk.select("root", "node"), walk.filter("root = node").select("root", "path")
     while True:

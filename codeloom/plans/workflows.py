@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as s
-from codeloom.operators import search, vectors
+from codeloom.operators import graphs, search, vectors
 from codeloom.operators import workflow as w
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
@@ -245,6 +245,68 @@ def semantic_topk(spark, d):
     return search.semantic_top(t, q, 10)
 
 
+def _trade(spark, d):
+    """Who ordered which part of whom, who supplies it, and where they live, as edges with types."""
+    item, order = v.read(spark, d, "lineitem"), v.read(spark, d, "orders")
+    bought = item.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("c"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
+    edge = lambda df, a, rel, b: df.select(F.col(a).alias("src"), F.lit(rel).alias("rel"), F.col(b).alias("dst"))
+    lives = v.read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("x"), F.concat(F.lit("n"), "c_nationkey").alias("n"))
+    lives = lives.union(v.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
+    parts = [edge(bought, "c", "BOUGHT_OF", "s"), edge(bought, "c", "ORDERED", "p"), edge(bought, "s", "SUPPLIES", "p"), edge(lives, "x", "LIVES_IN", "n")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+TRADE = "t AS (SELECT DISTINCT 'c' || o_custkey AS c, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey), lc AS (SELECT 'c' || c_custkey AS c, 'n' || c_nationkey AS n FROM customer), ls AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n FROM supplier)"
+
+
+@family.add(f"WITH {TRADE} SELECT a.c, a.s, lc.n FROM (SELECT DISTINCT c, s FROM t) a JOIN lc ON lc.c = a.c JOIN ls ON ls.s = a.s AND ls.n = lc.n")
+def graph_triangles(spark, d):
+    """Customers and suppliers of one nation who trade with each other."""
+    return graphs.match(_trade(spark, d), [("c", "BOUGHT_OF", "s"), ("c", "LIVES_IN", "n"), ("s", "LIVES_IN", "n")])
+
+
+@family.add(f"WITH {TRADE} SELECT a.c, a.p, b.s, lc.n FROM (SELECT DISTINCT c, p FROM t) a JOIN (SELECT DISTINCT s, p FROM t) b ON b.p = a.p JOIN lc ON lc.c = a.c JOIN ls ON ls.s = b.s AND ls.n = lc.n")
+def graph_squares(spark, d):
+    """Parts that a customer ordered and that a supplier of the same nation has: a ring of four edges."""
+    return graphs.match(_trade(spark, d), [("c", "ORDERED", "p"), ("s", "SUPPLIES", "p"), ("c", "LIVES_IN", "n"), ("s", "LIVES_IN", "n")])
+
+
+def _web(spark, d):
+    """Parts that point to one or two others."""
+    t = v.read(spark, d, "part")
+    k, n = F.col("p_partkey"), F.broadcast(t.agg(F.count("*").alias("n")))
+    rows = t.crossJoin(n).select(k.alias("k"), "n")
+    one = rows.select(F.concat(F.lit("p"), "k").alias("src"), F.concat(F.lit("p"), (F.col("k") * F.col("k") + 1) % F.col("n") + 1).alias("dst"))
+    two = rows.filter("k % 4 = 0").select(F.concat(F.lit("p"), "k"), F.concat(F.lit("p"), (F.col("k") * 3 + 7) % F.col("n") + 1))
+    return one.union(two)
+
+
+WEB = "g AS (SELECT 'p' || p_partkey AS src, 'p' || ((p_partkey::HUGEINT * p_partkey + 1) % (SELECT count(*) FROM part) + 1) AS dst FROM part UNION SELECT 'p' || p_partkey, 'p' || ((p_partkey::HUGEINT * 3 + 7) % (SELECT count(*) FROM part) + 1) FROM part WHERE p_partkey % 4 = 0)"
+RANKS = ", ".join(
+    f"r{k} AS MATERIALIZED (SELECT v.node, v.o, 0.15 / v.n + 0.85 * (coalesce(i.x, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE o = 0) / v.n) AS rank FROM v LEFT JOIN (SELECT g.dst, sum(r.rank / r.o) AS x FROM g JOIN r{k - 1} r ON r.node = g.src GROUP BY g.dst) i ON i.dst = v.node)"
+    for k in range(1, 13)
+)
+
+
+@family.add(
+    f"WITH {WEB}, w AS (SELECT node, sum(o) AS o FROM (SELECT src AS node, 1 AS o FROM g UNION ALL SELECT dst, 0 FROM g) GROUP BY node), v AS (SELECT node, o, (SELECT count(*) FROM w)::DOUBLE AS n FROM w), r0 AS (SELECT node, o, 1 / n AS rank FROM v), {RANKS} SELECT node, round(rank, 12) AS rank, 12 AS rounds FROM r12"
+)
+def graph_rank(spark, d):
+    return graphs.rank(_web(spark, d), rounds=12, tolerance=0).select("node", F.round("rank", 12).alias("rank"), "rounds")
+
+
+@family.add(f"WITH RECURSIVE {WEB}, r AS (SELECT src AS root, dst AS node FROM g UNION SELECT r.root, g.dst FROM r JOIN g ON g.src = r.node) SELECT a.root AS node, min(a.node) AS component FROM r a JOIN r b ON b.root = a.node AND b.node = a.root GROUP BY a.root")
+def strong_components(spark, d):
+    return graphs.strong_components(_web(spark, d))
+
+
+@family.add(
+    f"WITH RECURSIVE {LOOPS}, c AS (SELECT a.root, min(a.node) AS component FROM r a JOIN r b ON b.root = a.node AND b.node = a.root GROUP BY a.root), p AS (SELECT component, 0::BIGINT AS position, component AS node FROM c WHERE root = component UNION ALL SELECT p.component, p.position + 1, g.depends_on FROM p JOIN g ON g.node = p.node WHERE g.depends_on <> p.component) SELECT * FROM p"
+)
+def component_cycles(spark, d):
+    return graphs.component_cycles(_squares(spark, d).toDF("src", "dst"))
+
+
 NEAREST = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10"
 
 

@@ -55,6 +55,15 @@ class Stored:
         self._files.delete(self._path, True)
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """``df`` stored, so that its size is known again.
+
+    Estimates multiply with every join and outlive checkpoints: after a dozen rounds of an iteration the numbers alone
+    take seconds to multiply. Iterations call this every few rounds.
+    """
+    return Stored(df).df
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint where it has at most ``most`` rows (counted, no further than that)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
