@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as s
-from codeloom.operators import scanning
+from codeloom.operators import scanning, versions
 from codeloom.operators.validate import stripped
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
@@ -138,6 +138,29 @@ def change_detect(spark, d):
     return scanning.changes(old, new, "doc_id")
 
 
+def _versions(spark, d):
+    """Two versions of a project: files gone, new, changed and under another path."""
+    i = F.col("doc_id")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/d"), i % 13, F.lit("/"), i, F.lit(".txt"))
+    t = v.read(spark, d, "documents").select("doc_id", path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    new = t.filter(i % 10 != 2).select(F.when(i % 11 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), F.when(i % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"))
+    return t.filter(i % 10 != 1).select("path", "content"), new
+
+
+@family.add(
+    """WITH t AS (SELECT doc_id AS i, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/d' || (doc_id % 13) || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents),
+  o AS (SELECT path, sha256(content) AS h FROM t WHERE i % 10 <> 1),
+  n AS (SELECT CASE WHEN i % 11 = 0 THEN 'moved/' ELSE '' END || path AS path, sha256(content || CASE WHEN i % 7 = 0 THEN '!' ELSE '' END) AS h FROM t WHERE i % 10 <> 2),
+  r AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM o WHERE path NOT IN (SELECT path FROM n)),
+  a AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM n WHERE path NOT IN (SELECT path FROM o))
+SELECT o.path, 'changed' AS change, NULL AS before FROM o JOIN n ON n.path = o.path AND n.h <> o.h
+UNION ALL SELECT coalesce(a.path, r.path), CASE WHEN r.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'moved' END, CASE WHEN a.path IS NOT NULL THEN r.path END FROM a FULL JOIN r ON r.h = a.h AND r.k = a.k"""
+)
+def version_diff(spark, d):
+    old, new = (versions.Version(versions.tree(x)) for x in _versions(spark, d))
+    return versions.diff(old, new)
+
+
 @family.add(
     "SELECT source, CASE WHEN n <= 5 THEN array_to_string(xs, ',') ELSE array_to_string(xs[1:5], ',') || ', … y ' || (n - 5) || ' más' END AS shown FROM (SELECT source, list(doc_id ORDER BY doc_id) AS xs, count(*) AS n FROM documents GROUP BY source)"
 )

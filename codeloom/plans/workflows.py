@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as s
-from codeloom.operators import graphs, search, vectors
+from codeloom.operators import graphs, search, textsearch, vectors
 from codeloom.operators import workflow as w
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
@@ -307,6 +307,19 @@ def component_cycles(spark, d):
     return graphs.component_cycles(_squares(spark, d).toDF("src", "dst"))
 
 
+WORDS = ["the", "und", "license", "token", "stupid"]
+BM25 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
+  a AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM d), t AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d),
+  f AS (SELECT doc_id, length, term, count(*) AS tf FROM t WHERE term IN ({", ".join(f"'{w}'" for w in WORDS)}) GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (a.n - g.df + 0.5) / (g.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * f.length / a.average))), 6) AS score FROM f JOIN g ON g.term = f.term, a GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@family.add(BM25)
+def text_search(spark, d):
+    """The 20 best documents for a few words, by the index."""
+    return textsearch.Index(v.read(spark, d, "documents"), block=64).search(WORDS)[0]
+
+
 NEAREST = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10"
 
 

@@ -41,10 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
 class Stored:
     """``df`` as Parquet in the shared folder, for wide rows: later reads take the columns that they need."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: tuple[str, ...] = ()):
         spark = df.sparkSession
         path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         self._files = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._files.deleteOnExit(self._path)
