@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import clones
 from codeloom.operators import entities as e
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
@@ -119,4 +120,10 @@ def code_graph_relationships(spark, d):
     return e.graph(e.extract(v.code(spark, d)))[1].groupBy("rel").agg(F.count("*").alias("n"))
 
 
+@family.add("SELECT 'q' || p_partkey || '.py' AS path, 1 AS line_start, CAST(6 + 2 * (p_partkey % 9) AS INTEGER) AS line_end, count(*) OVER (PARTITION BY p_partkey % 9) AS copies FROM part")
+def code_clones(spark, d):
+    """Files that are the same but for names."""
+    return clones.clones(v.branchy(spark, d)).select("path", "line_start", "line_end", "copies")
+
+
 QUERIES, ORACLE_SQL = family.queries, family.oracle

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from codeloom.operators import bus
 from codeloom.operators import health as h
-from codeloom.operators import state
+from codeloom.operators import decay, state
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
 
@@ -329,4 +329,28 @@ def state_counters(spark, d):
     return state.counters(v.st(spark, d))
 
 
+HALF_LIFE = 5 * 86_400.0
+SECONDS = "epoch_us(ts) / 1000000.0"
+
+
+@family.add(
+    f"WITH a AS (SELECT max(floor({SECONDS} / 86400)) AS last FROM events), w AS (SELECT event_type, value, exp(-ln(2) / {HALF_LIFE} * ((a.last + 1) * 86400 - {SECONDS})) AS w FROM events, a) SELECT event_type, count(*) AS n, round(sum(w), 6) AS weight, round(coalesce(sum(w * value), 0), 6) AS total FROM w GROUP BY event_type"
+)
+def decayed_sums(spark, d):
+    """Events and values of each kind as of the last day's end, half as much every five days; of two states, merged."""
+    e = v.ev(spark, d)
+    halves = [decay.state(e.filter(F.col("event_id") % 2 == k), HALF_LIFE, "event_type") for k in (0, 1)]
+    states = decay.merged(halves[0].union(halves[1]), "event_type")
+    last = F.broadcast(states.agg(F.max("day").alias("last")))
+    out = decay.read(states.crossJoin(last), HALF_LIFE, F.col("last"), "event_type")
+    return out.select("event_type", "n", F.round("weight", 6).alias("weight"), F.round("total", 6).alias("total"))
+
+
+@family.add(
+    f"SELECT event_id, ts FROM events ORDER BY {SECONDS} * (ln(2) / {HALF_LIFE}) - ln(-ln(((event_id * 2654435761) % 4294967296 + 0.5) / 4294967296)) DESC, event_id LIMIT 100"
+)
+def decayed_sample(spark, d):
+    return decay.sample(v.ev(spark, d), HALF_LIFE, 100).select("event_id", "ts")
+
+
 QUERIES, ORACLE_SQL = family.queries, family.oracle
