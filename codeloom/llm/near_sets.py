@@ -143,7 +143,9 @@ def near_links(met: DataFrame, fellows: DataFrame, sets: DataFrame, similarity:
     members = cut(met.join(pivots, "pivot").select("own", "pivot").union(pivots.select(F.col("pivot").alias("own"), "pivot")))
     near = fellows.union(fellows.select(F.col("fellow").alias("own"), F.col("own").alias("fellow"), "weight"))
     near = near.union(met.select("own", F.col("pivot").alias("fellow"), F.lit(1)))
-    near = cut(near.groupBy("own", "fellow").agg(F.sum("weight").alias("weight")))
+    near = near.groupBy("own", "fellow").agg(F.sum("weight").alias("weight"))
+    heaviest = Window.partitionBy("own").orderBy(F.desc("weight"), "fellow")
+    near = cut(near.withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= 2 * FELLOWS).drop("r"))
     for _ in range(ROUNDS):
         roots = stars(edges)
         rows = cut(_apart(members, roots))
