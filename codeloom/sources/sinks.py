@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.runtime.errors import ValidationError
@@ -34,12 +34,31 @@ def write_table(df: DataFrame, path: str, version: str) -> str:
 
 
 def write_logs(logs: DataFrame, path: str, retention_days: int = 30, error_days: int = 90) -> None:
-    """All lines by day, and errors apart with a longer retention, counted from the newest line."""
-    last = logs.agg(F.max("timestamp").alias("last"))
-    dated = logs.withColumn("day", F.to_date("timestamp")).crossJoin(F.broadcast(last))
+    """All lines by day, and errors apart with a longer retention, counted from the newest day that is stored.
+
+    Only the days of ``logs`` are written (again); other days stay as they are until they are too old, then their
+    folders go. Lines without a time have no day and are left out.
+    """
+    dated = logs.withColumn("day", F.to_date("timestamp")).filter("day is not null")
     for name, rows, days in (("daily", dated, retention_days), ("errors", dated.filter("level = 'ERROR'"), error_days)):
-        kept = rows.filter(F.col("day") > F.date_sub(F.to_date("last"), days)).drop("last")
-        kept.write.mode("overwrite").partitionBy("day").json(f"{path}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(f"{path}/{name}")
+    _expire(logs.sparkSession, path, {"daily": retention_days, "errors": error_days})
+
+
+def _expire(spark: SparkSession, path: str, retention: dict[str, int]) -> None:
+    """Remove the folders of days that are as old as their retention, as of the newest day of any."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for name in retention:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name)
+        if files.exists(folder):
+            found += [(name, x.getPath()) for x in files.listStatus(folder) if x.getPath().getName().startswith("day=")]
+    day = lambda p: date.fromisoformat(p.getName()[len("day=") :])
+    newest = max((day(p) for _, p in found), default=None)
+    for name, p in found:
+        if day(p) <= newest - timedelta(days=retention[name]):
+            files.delete(p, True)
 
 
 def export(df: DataFrame, form: str = "json", most: int = 10_000) -> str:

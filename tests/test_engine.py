@@ -227,6 +227,13 @@ def test_sinks(spark, tmp_path):
     sinks.write_logs(logs, str(tmp_path / "logs"))
     assert [r["message"] for r in spark.read.json(str(tmp_path / "logs/daily")).collect()] == ["b"]
     assert [r["message"] for r in spark.read.json(str(tmp_path / "logs/errors")).collect()] == ["a"]
+    # Another day is added; a day that comes again is written anew, others stay, and what is too old goes.
+    messages = lambda n: sorted(r["message"] for r in spark.read.json(str(tmp_path / f"logs/{n}")).collect())
+    more = [("2024-03-01", "INFO", "b2"), ("2024-03-20", "ERROR", "c"), (None, "ERROR", "x")]
+    sinks.write_logs(spark.createDataFrame(more, logs.schema), str(tmp_path / "logs"))
+    assert messages("daily") == ["b2", "c"] and messages("errors") == ["a", "c"]
+    sinks.write_logs(spark.createDataFrame([("2024-04-30", "ERROR", "d")], logs.schema), str(tmp_path / "logs"))
+    assert messages("daily") == ["d"] and messages("errors") == ["c", "d"]
 
 
 def component_rows():
