@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import scalars as s
-from codeloom.operators import graphs, search, textsearch, vectors
+from codeloom.operators import graphs, reuse, search, textsearch, vectors
 from codeloom.operators import workflow as w
 from codeloom.plans import views as v
 from codeloom.plans.views import Family
@@ -362,4 +362,13 @@ def lru_keep(spark, d):
     return search.lru(uses, 3)
 
 
+@family.add(
+    "WITH a AS (SELECT event_id, user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev), b AS (SELECT *, lag(i) OVER (PARTITION BY user_id, k ORDER BY i) AS p FROM a), d AS (SELECT b.event_id, count(DISTINCT a.k) AS n FROM b JOIN a ON a.user_id = b.user_id AND a.i > b.p AND a.i < b.i GROUP BY b.event_id) SELECT b.event_id, CASE WHEN b.p IS NOT NULL THEN coalesce(d.n, 0) END AS distance, CASE WHEN b.p IS NULL OR d.n >= 24 THEN 3 WHEN d.n >= 8 THEN 2 ELSE 1 END AS tier FROM b LEFT JOIN d ON d.event_id = b.event_id"
+)
+def reuse_tiers(spark, d):
+    """In which of three tiers each user's access is found, with 8 and 16 entries in the first two."""
+    found = reuse.distances(v.ev(spark, d).select(F.col("user_id").alias("log"), "ts", "event_id", F.col("k").alias("key")))
+    return reuse.tiers(found, 8, 16).select("event_id", "distance", "tier")
+
+
 QUERIES, ORACLE_SQL = family.queries, family.oracle
