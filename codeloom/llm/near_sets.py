@@ -39,7 +39,7 @@ BROADCAST_ROWS = 100_000
 BLOCK, ROWS = 1 << 20, 256
 #: Fellows that a text which stands apart meets in a round, how many rounds there are at most, and the share of new links below
 #: which no other follows; expected members of a part of a bucket.
-FELLOWS, ROUNDS, FRUITFUL, PART = 4, 4, 0.05, 4
+FELLOWS, ROUNDS, FRUITFUL, PART = 8, 1, 0.05, 4
 #: Texts, and elements of theirs, that are held as one block; texts that stream past a block in one task.
 TEXTS, STREAM = 256, 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -145,7 +145,7 @@ def near_links(met: DataFrame, fellows: DataFrame, sets: DataFrame, similarity:
     near = near.union(met.select("own", F.col("pivot").alias("fellow"), F.lit(1)))
     near = near.groupBy("own", "fellow").agg(F.sum("weight").alias("weight"))
     heaviest = Window.partitionBy("own").orderBy(F.desc("weight"), "fellow")
-    near = cut(near.withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= 2 * FELLOWS).drop("r"))
+    near = cut(near.withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= FELLOWS * max(ROUNDS, 1)).drop("r"))
     for _ in range(ROUNDS):
         roots = stars(edges)
         rows = cut(_apart(members, roots))
