@@ -6,6 +6,7 @@ import ast
 from collections import deque
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ ARROW = pa.schema(
     + [(n, pa.string()) for n in ("module", "alias", "error", "parent", "scope", "ident", "owner", "owner_type")]
     + [("complexity", pa.int32()), ("calls", pa.list_(pa.string()))]
 )
+#: Rows of one batch.
+ROWS = 2000
 #: Above these, a function is complex, or long.
 COMPLEX, LONG = 10, 50
 BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert, ast.comprehension, ast.match_case)
@@ -107,8 +110,16 @@ def entities_of(path: str, content: str | None, details: bool = True) -> Iterato
 
 def _extract(batches: Iterator[pa.RecordBatch], details: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in entities_of(p, c, details)]
-        yield pa.RecordBatch.from_pylist(rows, ARROW)
+        rows = (r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in entities_of(p, c, details))
+        while some := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in some], f.type) for f in ARROW], schema=ARROW)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) dealt over all cores: many small texts may be one split, and parsing one costs far more than moving it."""
+    spark = files.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("path", "content").repartition(parts, "path", "content")
 
 
 def extract(files: DataFrame, enrich=lambda df: df, details: bool = True) -> DataFrame:
@@ -116,7 +127,7 @@ def extract(files: DataFrame, enrich=lambda df: df, details: bool = True) -> Dat
 
     Without ``details``, complexity and calls are null and cost nothing.
     """
-    python = files.filter(F.col("path").endswith(".py")).select("path", "content")
+    python = spread(files.filter(F.col("path").endswith(".py")))
     return enrich(python.mapInArrow(partial(_extract, details=details), SCHEMA))
 
 
@@ -148,18 +159,27 @@ def graph(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = own.select("path", "owner", "owner_type", "name", "type", "bases", "calls", F.concat_ws("::", "path", "ident").alias("id"), F.initcap("type").alias("label"))
     method = (F.col("type") == "function") & F.coalesce(F.col("owner_type") == "class", F.lit(False))
     rel = F.when(F.col("type") == "import", "IMPORTS").when(method, "DEFINES").otherwise("CONTAINS")
-    held = rows.select(F.when(method, F.concat_ws("::", "path", "owner")).otherwise(F.col("path")).alias("src"), rel.alias("rel"), F.col("id").alias("dst"))
-    names = rows.filter("type in ('class', 'function')").select(F.col("path").alias("of"), F.col("type").alias("kind"), F.col("name").alias("named"), F.col("id").alias("target"))
-
-    def to(column: str, rel: str, kind: str) -> DataFrame:
-        asked = rows.select("path", "id", F.explode(column).alias("wanted"))
-        met = asked.join(names.filter(F.col("kind") == kind), (F.col("path") == F.col("of")) & (F.col("wanted") == F.col("named")), "left")
-        return met.select(F.col("id").alias("src"), F.lit(rel).alias("rel"), F.coalesce("target", "wanted").alias("dst"), F.col("target").isNull().alias("outside"), F.lit(kind.capitalize()).alias("label"))
 
-    used = to("calls", "CALLS", "function").union(to("bases", "EXTENDS", "class"))
+    def end(rel, name, src=None, target=None):
+        """One end of edges: who asks for a name of the file, or which node has it."""
+        null = F.lit(None).cast("string")
+        return F.struct(rel.alias("rel"), name.alias("name"), (null if src is None else src).alias("src"), (null if target is None else target).alias("target"))
+
+    # Who asks and what is there meet by file, relationship and name; a node that is held asks for nothing, so its id is its name.
+    held = end(rel, F.col("id"), F.when(method, F.concat_ws("::", "path", "owner")).otherwise(F.col("path")))
+    there = F.when(F.col("type").isin("class", "function"), end(F.when(F.col("type") == "class", "EXTENDS").otherwise("CALLS"), F.col("name"), target=F.col("id")))
+    calls = F.transform("calls", lambda x: end(F.lit("CALLS"), x, F.col("id")))
+    bases = F.transform("bases", lambda x: end(F.lit("EXTENDS"), x, F.col("id")))
+    every = F.flatten(F.array_compact(F.array(F.array_compact(F.array(held, there)), calls, bases)))
+    ends = rows.select("path", F.explode(every).alias("e")).select("path", "e.*")
+    met = ends.groupBy("path", "rel", "name").agg(F.collect_set("src").alias("src"), F.collect_set("target").alias("target")).filter(F.size("src") > 0)
+    outside = F.size("target") == 0
+    edges = met.select("rel", F.explode("src").alias("src"), F.when(outside, F.array("name")).otherwise(F.col("target")).alias("dst")).select("src", "rel", F.explode("dst").alias("dst"))
+    label = F.when(F.col("rel") == "CALLS", "Function").otherwise("Class")
+    others = met.filter(outside & F.col("rel").isin("CALLS", "EXTENDS")).select("name", label)
     files = own.select(F.col("path").alias("id"), F.lit("File").alias("label"))
-    nodes = rows.select("id", "label").union(files).union(used.filter("outside").select("dst", "label")).distinct()
-    return nodes, held.union(used.select("src", "rel", "dst")).distinct()
+    nodes = rows.select("id", "label").union(files).union(others).distinct()
+    return nodes, edges
 
 
 def by_type(entities: DataFrame) -> DataFrame:
@@ -174,7 +194,8 @@ def metrics(files: DataFrame, entities: DataFrame) -> DataFrame:
         F.size(F.filter("lines", lambda x: F.startswith(x, F.lit("#")))).alias("comment_lines"),
     )
     kinds = [F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("class", "function", "import")]
-    counts = parsed(entities).groupBy("path").agg(*kinds)
+    # Files are small in the tables that they come from, so that their number looks small too: never broadcast them.
+    counts = parsed(entities).groupBy("path").agg(*kinds).hint("merge")
     both = own.withColumn("comment_density", F.round(F.col("comment_lines") / F.col("n_lines"), 6)).join(counts, "path", "left")
     return both.na.fill(0, ["n_class", "n_function", "n_import"])
 
