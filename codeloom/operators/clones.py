@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.entities import spread
+from codeloom.runtime.scratch import Stored, cut, small
+
 LEAST = 12
+BROADCAST_ROWS = 100_000
 SCHEMA = "path string, line_start int, line_end int, nodes int, hash long, parent long"
 ARROW = pa.schema([("path", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("nodes", pa.int32()), ("hash", pa.int64()), ("parent", pa.int64())])
 
@@ -73,9 +77,9 @@ def _hashed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 def clones(files: DataFrame, least: int = LEAST) -> DataFrame:
     """(path, line_start, line_end, nodes, hash, copies) of the maximal repeated subtrees of ``.py`` files (path, content)."""
-    python = files.filter(F.col("path").endswith(".py")).select("path", "content")
-    rows = python.mapInArrow(partial(_hashed, least=least), SCHEMA)
-    counts = rows.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1")
+    python = spread(files.filter(F.col("path").endswith(".py")))
+    rows = Stored(python.mapInArrow(partial(_hashed, least=least), SCHEMA)).df  # read twice, parsed once
+    counts = small(cut(rows.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1")), BROADCAST_ROWS)
     found = rows.join(counts, "hash")
-    within = counts.select(F.col("hash").alias("parent"))
+    within = counts.select(F.col("hash").alias("parent"))  # keeps the hint
     return found.join(within, "parent", "left_anti").select("path", "line_start", "line_end", "nodes", "hash", "copies")
