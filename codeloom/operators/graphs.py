@@ -18,14 +18,17 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.runtime.scratch import cut, renewed, small
 
 BROADCAST_ROWS = 100_000
-#: Graphs of at most so many edges are walked on the driver.
-FEW_EDGES = 5_000
+#: What is left of a graph is walked on the driver where it has at most so many edges (counted; as numbers, some 100 MB).
+FEW_EDGES = 1_000_000
 TRIMS = 4
 #: Rounds between which an iteration's table is stored anew.
 RENEW = 5
@@ -147,9 +150,8 @@ def strong_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     found = [loops.select("node", F.col("node").alias("component"))]
     while True:
         links = _trimmed(links)
-        rows = links.limit(few + 1).collect() if few else []
-        if few and len(rows) <= few:
-            found.append(_walked(links.sparkSession, [(r["a"], r["b"]) for r in rows]))
+        if few and links.limit(few + 1).count() <= few:
+            found.append(_walked(links))
             break
         if links.isEmpty():
             break
@@ -242,41 +244,48 @@ def _coloured(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(reached.join(sizes, "colour").select("node", "component")), cut(rest)
 
 
-def _walked(spark, links: list[tuple[str, str]]) -> DataFrame:
-    """The same, on the driver: finish times on the graph, then trees on its reverse."""
-    to: dict[str, list[str]] = {}
-    of: dict[str, list[str]] = {}
-    for a, b in links:
-        to.setdefault(a, []).append(b)
-        of.setdefault(b, []).append(a)
-    order, seen = [], set()
-    for root in sorted({*to, *of}):
-        stack = [(root, iter(to.get(root, ())))] if root not in seen else []
-        seen.add(root)
-        while stack:
-            node, following = stack[-1]
-            new = next((x for x in following if x not in seen), None)
-            if new is None:
-                order.append(node)
-                stack.pop()
-            else:
-                seen.add(new)
-                stack.append((new, iter(to.get(new, ()))))
-    out, done = [], set()
-    for root in reversed(order):
-        if root in done:
-            continue
-        done.add(root)
-        tree, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            tree.append(node)
-            new = [x for x in of.get(node, ()) if x not in done]
-            done.update(new)
-            todo += set(new)
-        if len(tree) > 1:
-            out += [(x, min(tree)) for x in tree]
-    return spark.createDataFrame(out, "node string, component string")
+def _walked(links: DataFrame) -> DataFrame:
+    """The same, on the driver: nodes as numbers in order of their names, one walk that closes a component when its first node is left."""
+    table = links.toArrow()
+    both = pc.unique(pa.chunked_array([*table["a"].chunks, *table["b"].chunks], pa.string()))
+    names = both.take(pc.sort_indices(both.cast(pa.binary())))
+    a, b = (pc.index_in(table[c], names).to_numpy() for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    to, at = b[order].tolist(), np.searchsorted(a[order], np.arange(len(names) + 1)).tolist()
+    number, low, component = [-1] * len(names), [0] * len(names), [-1] * len(names)
+    met, stack, following = 0, [], at[:-1]
+    for root in range(len(names)):
+        walk = [root] if number[root] < 0 else []
+        while walk:
+            node = walk[-1]
+            if number[node] < 0:
+                number[node] = low[node] = met
+                met += 1
+                stack.append(node)
+            if following[node] < at[node + 1]:
+                new = to[following[node]]
+                following[node] += 1
+                if number[new] < 0:
+                    walk.append(new)
+                elif component[new] < 0:
+                    low[node] = min(low[node], number[new])
+                continue
+            walk.pop()
+            if walk:
+                low[walk[-1]] = min(low[walk[-1]], low[node])
+            if low[node] == number[node]:
+                k = len(stack) - 1
+                while stack[k] != node:
+                    k -= 1
+                least = min(stack[k:])
+                for x in stack[k:]:
+                    component[x] = least
+                del stack[k:]
+    own = np.array(component, np.int64)
+    many = np.flatnonzero(np.bincount(own, minlength=len(names))[own] > 1) if len(own) else own
+    if not len(many):
+        return links.sparkSession.createDataFrame([], "node string, component string")
+    return links.sparkSession.createDataFrame(pa.table({"node": names.take(pa.array(many)), "component": names.take(pa.array(own[many]))}))
 
 
 def component_cycles(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
