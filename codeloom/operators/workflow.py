@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.operators import graphs
-from codeloom.runtime.scratch import cut
+from codeloom.runtime.scratch import cut, small
 
 FINISHED = ("completed", "skipped")
 STALL_SECONDS = 3600
 MAX_RUNNING = 10
 #: Graphs of at most so many edges are walked on the driver.
 FEW_EDGES = 5_000
+#: Edges on cycles that each task may hold, some 10 MB.
+WALKED_EDGES = 100_000
 ARROW = " -> "
 
 
@@ -134,19 +140,31 @@ def closure(spark, edges: DataFrame) -> DataFrame:
         reach = cut(reach.union(new))
 
 
-def cycles(spark, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def cycles(spark, edges: DataFrame, few: int = FEW_EDGES, walked: int = WALKED_EDGES) -> DataFrame:
     """(root, path): nodes that reach themselves, with a shortest such path, of equals the first; edges are (node, depends_on).
 
     Cycles may be of any length. Paths are searched among the nodes on cycles only, and of the paths to one node
-    the first is carried on: on the driver for at most ``few`` edges, else in rounds on the cluster.
+    the first is carried on: on the driver for at most ``few`` edges. Of larger graphs the edges within components go to all tasks where
+    there are at most ``walked`` (counted), and each task walks from its roots; beyond that, paths grow in rounds on the cluster.
     """
     links = _links(edges, "node", "depends_on")
     own = _few(links, few)
     if own is not None:
         return spark.createDataFrame(_loops(own), "root string, path string")
-    own = graphs.strong_components(links.toDF("src", "dst"), few)
+    links = cut(links)
+    own = small(graphs.strong_components(links.toDF("src", "dst"), graphs.FEW_EDGES if walked else 0), walked)
     both = links.join(own.toDF("a", "component"), "a").join(own.toDF("b", "other"), "b")
     links = cut(both.filter("component = other").select("a", "b"))
+    own = _few(links, walked)
+    if own is not None:
+        held = spark.sparkContext.broadcast(own)
+        parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return links.select("a").distinct().repartition(parts, "a").mapInArrow(partial(_rooted, held=held), "root string, path string")
+    return _grown(links)
+
+
+def _grown(links: DataFrame) -> DataFrame:
+    """The cycles of links (a, b) within components, one step a round."""
     walk = cut(links.select(F.col("a").alias("root"), F.col("b").alias("node"), F.concat("a", F.lit(ARROW), "b").alias("path")))
     seen, out = walk.select("root", "node"), walk.filter("root = node").select("root", "path")
     while True:
@@ -159,6 +177,46 @@ def cycles(spark, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         seen = cut(seen.union(walk.select("root", "node")))
 
 
+def _rooted(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    to = _followers(held.value)
+    for b in batches:
+        for root in b.column(0).to_pylist():
+            path = _loop(root, to)
+            if path is not None:
+                yield pa.RecordBatch.from_pydict({"root": [root], "path": [path]})
+
+
+def _followers(links: list[tuple[str, str]]) -> dict[str, list[str]]:
+    to: dict[str, list[str]] = {}
+    for a, b in links:
+        to.setdefault(a, []).append(b)
+    return to
+
+
+def _text(step: tuple | None) -> str:
+    """The path of a chain of (step before, node)."""
+    names = []
+    while step:
+        step, name = step
+        names.append(name)
+    return ARROW.join(reversed(names))
+
+
+def _loop(root: str, to: dict[str, list[str]]) -> str | None:
+    """The first of the shortest paths from ``root`` back to it; paths are written out only where two meet."""
+    wave: dict[str, tuple] = {root: (None, root)}
+    seen: set[str] = set()
+    while wave and root not in seen:
+        following: dict[str, tuple] = {}
+        for node, step in wave.items():
+            for b in to.get(node, ()):
+                if b not in seen and (b not in following or _text((step, b)) < _text(following[b])):
+                    following[b] = (step, b)
+        seen |= following.keys()
+        wave = following
+    return _text(wave[root]) if root in wave else None
+
+
 def _loops(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
     while True:  # only what has a way in and a way out can be on a cycle
         heads, tails = {a for a, _ in links}, {b for _, b in links}
@@ -166,24 +224,8 @@ def _loops(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
         if len(kept) == len(links):
             break
         links = kept
-    to: dict[str, list[str]] = {}
-    for a, b in links:
-        to.setdefault(a, []).append(b)
-    out = []
-    for root in to:
-        wave, seen = {root: root}, set()
-        while wave and root not in seen:
-            following: dict[str, str] = {}
-            for node, path in wave.items():
-                for b in to.get(node, ()):
-                    if b not in seen:
-                        text = path + ARROW + b
-                        following[b] = min(text, following.get(b, text))
-            seen |= following.keys()
-            wave = following
-        if root in wave:
-            out.append((root, wave[root]))
-    return out
+    to = _followers(links)
+    return [(root, path) for root in to if (path := _loop(root, to)) is not None]
 
 
 def last_runs(runs: DataFrame, n: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """That the work of an operator is shared out, whatever the tables look like."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from codeloom.operators import clones, entities
+from codeloom.operators import clones, entities, graphs, workflow
 from codeloom.plans import views as v
 
 
@@ -38,3 +40,27 @@ def test_graph_of_repeated_paths(spark):
     nodes, edges = entities.graph(entities.extract(spark.createDataFrame(both, "path string, content string")))
     assert {tuple(r) for r in edges.collect()} == {("a.py", "CONTAINS", "a.py::f"), ("a.py", "CONTAINS", "a.py::g"), ("a.py::f", "CALLS", "a.py::g"), ("a.py::g", "CALLS", "h")}
     assert edges.count() == 4 and nodes.count() == 4
+
+
+def test_long_cycles_take_few_jobs(spark):
+    """Six rings with a tail each, more edges than the driver lists: before, a round for each step of the rings."""
+    rows = [(f"{r}-{k:04}", f"{r}-{(k + 1) % 1001:04}") for r in range(6) for k in range(1001)] + [(f"t{r}", f"{r}-0000") for r in range(6)]
+    edges = spark.createDataFrame(rows, "node string, depends_on string")
+    spark.sparkContext.setJobGroup("rings", "rings")
+    found = {x["root"]: x["path"] for x in workflow.cycles(spark, edges).collect()}
+    own = {x["node"]: x["component"] for x in graphs.strong_components(edges.toDF("src", "dst")).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rings")) < 200
+    assert found.keys() == own.keys() == {a for a, _ in rows if a[0] != "t"} and all(own[x] == f"{x[0]}-0000" for x in own)
+    for x in ("0-0000", "5-0700"):
+        k, names = int(x[2:]), found[x].split(" -> ")
+        assert names == [f"{x[0]}-{(k + i) % 1001:04}" for i in range(1002)]
+
+
+def test_ways_of_walking_agree(spark):
+    """On the driver, in tasks and in rounds, with ties and names that begin others."""
+    r = random.Random(5)
+    rows = [(f"p{r.randrange(25)}", f"p{r.randrange(25)}") for _ in range(45)]
+    edges = spark.createDataFrame(rows, "node string, depends_on string")
+    ways = [{tuple(x) for x in workflow.cycles(spark, edges, *of).collect()} for of in ((), (0,), (0, 0))]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 5
