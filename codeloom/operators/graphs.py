@@ -3,7 +3,8 @@
 * :func:`match` finds all bindings of a pattern of typed edges, cyclic ones too. A variable is bound at a time: of the edges
   that lead to it from bound ones each row follows the one with the fewest neighbours, and the others only check
   what it finds. So a hub's neighbours are listed only where every other way is as wide, and the work is that of the best
-  order for each row (a worst-case optimal join); lists of hubs are split by adaptive execution.
+  order for each row (a worst-case optimal join); lists of hubs are split by adaptive execution. Where the edges of
+  those ways have fewer meetings (counted) than that lists nodes, they are joined with each other first.
 * :func:`rank` repeats a sum over in-edges, added up before it is shuffled, so hubs get one row a task.
 * :func:`strong_components` makes no pairs of nodes. Ends of trees are trimmed and chains of nodes with one edge in and one
   out become single edges by pointer doubling, so rings and paths of any length take a logarithmic number of
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.runtime.scratch import cut, renewed, small
+from codeloom.runtime.scratch import Stored, cut, renewed, small
 
 BROADCAST_ROWS = 100_000
 #: What is left of a graph is walked on the driver where it has at most so many edges (counted; as numbers, some 100 MB).
@@ -47,7 +48,7 @@ def match(edges: DataFrame, pattern: list[tuple[str, str, str]]) -> DataFrame:
 
     ``edges``: src, rel, dst. Variables may be bound to the same node. The pattern must be connected.
     """
-    links = edges.select("src", "rel", "dst").dropna().distinct()
+    links = Stored(edges.select("src", "rel", "dst").dropna().distinct()).df
 
     def typed(rel: str, x: str, y: str) -> DataFrame:
         return links.filter(F.col("rel") == rel).select(F.col("src").alias(x), F.col("dst").alias(y))
@@ -71,7 +72,10 @@ def match(edges: DataFrame, pattern: list[tuple[str, str, str]]) -> DataFrame:
                 ways.setdefault(x, []).append((y, rel, False))
         if not ways:
             raise ValueError("the pattern must be connected")
-        new = max(ways, key=lambda v: len(ways[v]))
+        # Most checks first; of equals the variable with the fewest edges to it for each node that they come from.
+        most = max(map(len, ways.values()))
+        able = [v for v in ways if len(ways[v]) == most]
+        new = min(able, key=lambda v: min(_width(links, *way[1:]) for way in ways[v])) if len(able) > 1 else able[0]
         used = [e for e in left if (e[2] == new and e[0] in bound) or (e[0] == new and e[2] in bound)]
         sides = [typed(rel, "__from", "__to") if ahead else typed(rel, "__to", "__from") for _, rel, ahead in ways[new]]
         rows = _bound(rows, new, [x for x, _, _ in ways[new]], sides)
@@ -80,6 +84,12 @@ def match(edges: DataFrame, pattern: list[tuple[str, str, str]]) -> DataFrame:
     return rows.select(*bound)
 
 
+def _width(links: DataFrame, rel: str, ahead: bool) -> float:
+    """Edges of the type for each node that has one, in this direction."""
+    n = links.filter(F.col("rel") == rel).agg(F.count("*").alias("n"), F.count_distinct("src" if ahead else "dst").alias("of")).first()
+    return n["n"] / max(n["of"], 1)
+
+
 def _bound(rows: DataFrame, new: str, through: list[str], sides: list[DataFrame]) -> DataFrame:
     """``rows`` with ``new`` bound to all nodes that every side (__from, __to) reaches from the variable it goes ``through``."""
     own = rows.columns
@@ -88,6 +98,10 @@ def _bound(rows: DataFrame, new: str, through: list[str], sides: list[DataFrame]
     degrees = [side.groupBy("__from").agg(F.count("*").alias(f"__n{k}")) for k, side in enumerate(sides)]
     for k, (x, n) in enumerate(zip(through, degrees)):
         rows = rows.join(n.withColumnRenamed("__from", f"__f{k}"), F.col(x) == F.col(f"__f{k}")).drop(f"__f{k}")
+    met = _meetings(sides)
+    listed = rows.agg(F.sum(F.least(*[F.col(f"__n{k}") for k in range(len(sides))])).alias("n")).first()["n"] or 0
+    if met <= listed:
+        return _together(rows.select(own), new, through, sides)
     least = F.least(*[F.struct(F.col(f"__n{k}").alias("n"), F.lit(k).alias("k")) for k in range(len(sides))])["k"]
     rows = rows.withColumn("__least", least)
     parts = []
@@ -100,6 +114,21 @@ def _bound(rows: DataFrame, new: str, through: list[str], sides: list[DataFrame]
     return reduce(DataFrame.union, parts)
 
 
+def _meetings(sides: list[DataFrame]) -> int:
+    """How many rows the sides joined on the node that they lead to would have."""
+    counts = [side.groupBy("__to").agg(F.count("*").cast("double").alias(f"__m{k}")) for k, side in enumerate(sides)]
+    both = reduce(lambda a, b: a.join(b, "__to"), counts)
+    return both.agg(F.sum(reduce(lambda a, b: a * b, [F.col(f"__m{k}") for k in range(len(sides))])).alias("n")).first()["n"] or 0
+
+
+def _together(rows: DataFrame, new: str, through: list[str], sides: list[DataFrame]) -> DataFrame:
+    """As :func:`_bound`: the sides meet on ``new`` first, and each row finds its nodes by all the ways at once."""
+    named = [side.select(F.col("__from").alias(f"__f{k}"), F.col("__to").alias("__new")) for k, side in enumerate(sides)]
+    ways = reduce(lambda a, b: a.join(b, "__new"), named)
+    met = reduce(lambda a, b: a & b, [F.col(x) == F.col(f"__f{k}") for k, x in enumerate(through)])
+    return rows.join(ways, met).select(*rows.columns, F.col("__new").alias(new))
+
+
 def _listed(rows: DataFrame, new: str, x: str, side: DataFrame) -> DataFrame:
     return rows.join(side.select(F.col("__from").alias("__f"), F.col("__to").alias(new)), F.col(x) == F.col("__f")).drop("__f")
 

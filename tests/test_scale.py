@@ -64,3 +64,15 @@ def test_ways_of_walking_agree(spark):
     edges = spark.createDataFrame(rows, "node string, depends_on string")
     ways = [{tuple(x) for x in workflow.cycles(spark, edges, *of).collect()} for of in ((), (0,), (0, 0))]
     assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 5
+
+
+def test_squares_list_no_sellers_of_a_part(spark, monkeypatch):
+    """A part that 60 sell and 60 buy, all of nations of their own but for pairs: 60 rows, and no step with 60 * 60."""
+    rows = [(f"c{k}", "ORDERED", "p") for k in range(60)] + [(f"s{k}", "SUPPLIES", "p") for k in range(60)]
+    rows += [(f"{x}{k}", "LIVES_IN", f"n{k}") for k in range(60) for x in "cs"]
+    edges, seen = spark.createDataFrame(rows, "src string, rel string, dst string"), []
+    listed = graphs._listed
+    monkeypatch.setattr(graphs, "_listed", lambda *a: (seen.append(listed(*a)), seen[-1])[1])
+    got = graphs.match(edges, [("c", "ORDERED", "p"), ("s", "SUPPLIES", "p"), ("c", "LIVES_IN", "n"), ("s", "LIVES_IN", "n")])
+    assert {tuple(r) for r in got.select("c", "p", "s", "n").collect()} == {(f"c{k}", "p", f"s{k}", f"n{k}") for k in range(60)} and got.count() == 60
+    assert max(x.count() for x in seen) == 60
