@@ -7,7 +7,8 @@ the other as matrix products. The exact way sends every query to all blocks.
 The index is fitted on at most ``SAMPLE`` rows, those with the smallest hashes (its only bound; every row is indexed):
 coarse centroids, code books of the residuals, and the number of lists that a query probes, the smallest by which ``TARGET`` of the
 nearest neighbours within the sample are found. A list that holds many rows is many blocks. Each block gives its ``KEEP``
-best rows by code, and these are ranked again by their vectors.
+best rows by code, and these are ranked again by their vectors. :func:`neighbors` then confirms them: a query sees whole every list whose
+centroid and radius don't rule out a row as near as its k-th so far, so its result is exact; where directions are nearly random that is most lists.
 
 Edge cases: vectors that are null, empty, of zero length or with null or non-finite entries are neither found nor asked;
 all others must have one length, else an error is raised. Similarities are rounded to six decimals, and equal ones are in
@@ -36,6 +37,8 @@ LIST, LISTS, PARTS, VALUES = 512, 1024, 16, 256
 #: Queries of one matrix product.
 QUERIES = 256
 BROADCAST_ROWS = 100_000
+#: By how much a bound may miss a similarity of six decimals.
+SLACK = 2e-6
 FOUND = "query_id long, vec_id long, similarity double"
 
 
@@ -237,12 +240,52 @@ def search(vectors: DataFrame, built: DataFrame, index: Index, queries: DataFram
     return _top(pairs.mapInArrow(_ranked, FOUND), k)
 
 
+def _placed(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """(id, v, list, far): each row's list and its distance from the centroid."""
+    index: Index = held.value
+    for b in batches:
+        if b.num_rows:
+            x = _padded(_matrix(b.column(1)), index)
+            at = _nearest(x, index.centroids)
+            far = np.sqrt(((x - index.centroids[at]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array(far)], ["id", "v", "list", "far"])
+
+
+def _able(batches: Iterator[pa.RecordBatch], held, radius: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, v, lists): the lists that can hold a row as near as the query's ``least``, as no row is nearer than centroid plus radius."""
+    index: Index = held.value
+    for b in batches:
+        if b.num_rows:
+            bound = _padded(_matrix(b.column(1)), index) @ index.centroids.T + radius
+            lists = [np.flatnonzero(x).astype(np.int32) for x in bound >= b.column(2).to_numpy()[:, None] - SLACK]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "lists"])
+
+
+def confirmed(vectors: DataFrame, index: Index, queries: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
+    """``found`` made exact: each query sees whole every list that its k-th similarity so far doesn't rule out."""
+    held = vectors.sparkSession.sparkContext.broadcast(index)
+    rows = cut(vectors.select("id", "v").mapInArrow(partial(_placed, held=held), "id long, v array<double>, list int, far double"))
+    sizes = cut(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("far").alias("radius")))
+    radius = np.full(len(index.centroids), -np.inf)
+    for r in sizes.collect():  # a row a list
+        radius[r["list"]] = r["radius"]
+    blocks = small(sizes.select("list", "blocks"), LISTS)
+    least = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("least")).filter(F.col("n") >= k)
+    asked = queries.join(least, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    wide = asked.mapInArrow(partial(_able, held=held, radius=radius), "id long, v array<double>, lists array<int>")
+    none = F.lit(None).cast("binary").alias("code")
+    probes = wide.select("id", "v", F.explode("lists").alias("list")).join(blocks, "list")
+    asked = probes.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", none)
+    base = rows.join(blocks, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v", none)
+    return _top(_met(base, asked, k), k)
+
+
 def neighbors(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` nearest of ``vectors`` to each of ``queries`` by a new index."""
+    """The ``k`` nearest of ``vectors`` to each of ``queries``: by a new index, then confirmed, so all are found."""
     index = fit(vectors)
     if index is None:
         return vectors.sparkSession.createDataFrame([], FOUND + ", rank int")
-    return search(vectors, build(vectors, index), index, queries, k)
+    return confirmed(vectors, index, queries, search(vectors, build(vectors, index), index, queries, k), k)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """That the work of an operator is shared out, whatever the tables look like."""
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import clones, entities, graphs, workflow
+from codeloom.operators import clones, entities, graphs, vectors, workflow
 from codeloom.plans import views as v
 
 
@@ -76,3 +77,15 @@ def test_squares_list_no_sellers_of_a_part(spark, monkeypatch):
     got = graphs.match(edges, [("c", "ORDERED", "p"), ("s", "SUPPLIES", "p"), ("c", "LIVES_IN", "n"), ("s", "LIVES_IN", "n")])
     assert {tuple(r) for r in got.select("c", "p", "s", "n").collect()} == {(f"c{k}", "p", f"s{k}", f"n{k}") for k in range(60)} and got.count() == 60
     assert max(x.count() for x in seen) == 60
+
+
+def test_neighbors_are_exact_where_the_index_misses(spark, monkeypatch):
+    """An index that probes one list finds too few, and its result is made whole."""
+    r = random.Random(3)
+    rows = vectors.usable(spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(16)]) for k in range(3000)], "vec_id long, embedding array<double>"))
+    asked, fit = rows.filter("id % 100 = 0"), vectors.fit
+    monkeypatch.setattr(vectors, "fit", lambda x: replace(fit(x), probes=1))
+    index = vectors.fit(rows)
+    want = {tuple(x) for x in vectors.exact(rows, asked).collect()}
+    near = {tuple(x) for x in vectors.search(rows, vectors.build(rows, index), index, asked).collect()}
+    assert near != want and {tuple(x) for x in vectors.neighbors(rows, asked).collect()} == want
