@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from codeloom.runtime.scratch import Stored, cut, renewed, small
 
 BROADCAST_ROWS = 100_000
-#: What is left of a graph is walked on the driver where it has at most so many edges (counted; as numbers, some 100 MB).
+#: What is left of a graph is walked on the driver where it has at most so many edges (counted; held as numbers).
 FEW_EDGES = 1_000_000
 TRIMS = 4
 #: Rounds between which an iteration's table is stored anew.

@@ -18,7 +18,7 @@ STALL_SECONDS = 3600
 MAX_RUNNING = 10
 #: Graphs of at most so many edges are walked on the driver.
 FEW_EDGES = 5_000
-#: Edges on cycles that each task may hold, some 10 MB.
+#: Edges on cycles that each task may hold.
 WALKED_EDGES = 100_000
 ARROW = " -> "
 
