@@ -8,8 +8,9 @@ probability of 2.1e-5 (2 (1 - 0.8**3)**16), at 0.85 with 5.7e-7. Candidates are
 (:mod:`codeloom.llm.near_sets`).
 
 The tables are never shuffled as such: a text goes to each of its first half keys with all its second ones, and the
-pairs are formed where the texts of one first half key meet, each member with the table's smallest, its pivot. First
-half keys of more than ``LIGHT`` texts, as those of a large group of near copies, aren't gathered: there the full keys
+pairs are formed where the texts of one first half key meet, each member with the table's smallest, its pivot. Tables of one
+first half key that share members are one group with one pivot, so a text has at most ``HALVES`` pivots, not one for each of
+its tables. First half keys of more than ``LIGHT`` texts, as those of a large group of near copies, aren't gathered: there the full keys
 are made and reduced to pivots before they are shuffled.
 
 Edge cases: a null, empty or blank text has the empty set, is linked with nothing and is its own component. A text of
@@ -77,11 +78,24 @@ def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "n_shingles", "first", "second"])
 
 
-def _met(rows: pa.RecordBatch) -> pa.RecordBatch:
+def _joined(order: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The smallest member that each one's tables lead to; ``order`` are the members' keys by table, ``begins`` where one starts."""
+    starts, table = np.flatnonzero(begins), np.cumsum(begins) - 1
+    root, of = np.arange(len(order) // HALVES), np.empty(len(order), np.int64)
+    while True:
+        of[order] = np.minimum.reduceat(root[order // HALVES], starts)[table]
+        new = of.reshape(-1, HALVES).min(1)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _met(rows: pa.RecordBatch, grouped: bool) -> pa.RecordBatch:
     """(own, other, weight) of the tables of whole first half keys; ``rows`` are sorted by half, own.
 
-    Each member with the smallest of a table (weight 0), and with the member before it in most of its tables, of one
-    half key, and their number.
+    Each member with the smallest of a table, or of its group of tables (weight 0), and with the member before it in most
+    of its tables, of one half key, and their number.
     """
     half, own = (rows.column(k).to_numpy().view(np.uint64) for k in (0, 1))
     second = rows.column(2).flatten().to_numpy().view(np.uint32).reshape(-1, HALVES).astype(np.uint64)
@@ -90,8 +104,11 @@ def _met(rows: pa.RecordBatch) -> pa.RecordBatch:
     member, table = order // HALVES, tables[order]
     begins = np.ones(len(table), bool)
     begins[1:] = table[1:] != table[:-1]
-    pivot = member[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-    stars = np.unique(np.stack([member, pivot], 1)[member != pivot], axis=0)
+    if grouped:
+        each, pivot = np.arange(len(own)), _joined(order, begins)
+    else:
+        each, pivot = member, member[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+    stars = np.unique(np.stack([each, pivot], 1)[each != pivot], axis=0)
     at = np.flatnonzero(~begins)
     pairs, weight = np.unique(np.stack([member[at], member[at - 1]], 1), axis=0, return_counts=True)
     best = np.lexsort((-weight, pairs[:, 0]))
@@ -102,7 +119,7 @@ def _met(rows: pa.RecordBatch) -> pa.RecordBatch:
 
 
 @tidied
-def _tensored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tensored(batches: Iterator[pa.RecordBatch], grouped: bool) -> Iterator[pa.RecordBatch]:
     """Batches sorted by half, own; the rows of the last half key of a batch wait for the next."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -111,30 +128,34 @@ def _tensored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cuts = np.flatnonzero(half[1:] != half[:-1]) + 1
         if held and held[0].column(0)[0].as_py() != half[0]:
-            yield _met(pa.concat_batches(held))
+            yield _met(pa.concat_batches(held), grouped)
             held = []
         if not len(cuts):
             held.append(b)
             continue
-        yield _met(pa.concat_batches([*held, b.slice(0, cuts[-1])]))
+        yield _met(pa.concat_batches([*held, b.slice(0, cuts[-1])]), grouped)
         held = [b.slice(cuts[-1])]
     if held:
-        yield _met(pa.concat_batches(held))
+        yield _met(pa.concat_batches(held), grouped)
 
 
-def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts (own, first, second) that share a table: (own, pivot), with the table's smallest, and fellows (own, fellow, weight)."""
+def candidates(texts: DataFrame, grouped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of texts (own, first, second) that share a table: (own, pivot), with the table's smallest, and fellows (own, fellow, weight).
+
+    If ``grouped``, tables of one first half key that share members have one pivot, the smallest of all.
+    """
     halves = texts.select(F.explode("first").alias("half"), "own", "second")
     heavy = cut(halves.groupBy("half").agg(F.count("*").alias("n")).filter(F.col("n") > LIGHT).select("half"))
     few = small(heavy, BROADCAST_ROWS)
     light = halves.join(few, "half", "left_anti").repartition("half").sortWithinPartitions("half", "own")
-    found = cut(light.mapInArrow(_tensored, "own long, other long, weight long"))
+    found = cut(light.mapInArrow(partial(_tensored, grouped=grouped), "own long, other long, weight long"))
     met = found.filter("weight = 0").select("own", F.col("other").alias("pivot"))
     fellows = found.filter("weight > 0").toDF("own", "fellow", "weight")
     if not heavy.isEmpty():
         wide = halves.join(few, "half", "left_semi").select("own", "half", F.posexplode("second").alias("j", "k"))
-        keys = wide.select("own", F.xxhash64("half", "j", "k").alias("bucket"))
-        met, fellows = met.union(near_sets.pivoted(keys)), fellows.union(near_sets.fellows(keys))
+        keys = wide.select("own", "half", F.xxhash64("half", "j", "k").alias("bucket"))
+        pivots = near_sets.grouped(keys) if grouped else near_sets.pivoted(keys.drop("half"))
+        met, fellows = met.union(pivots), fellows.union(near_sets.fellows(keys.drop("half")))
     return cut(met.distinct()), fellows.groupBy("own", "fellow").agg(F.sum("weight").alias("weight"))
 
 
@@ -145,7 +166,7 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     full = prints.filter("n_shingles > 0")
     texts = full.groupBy("own").agg(F.min("doc_id").alias("first_id"), F.any_value("first").alias("first"), F.any_value("second").alias("second"))
     texts = cut(texts)
-    met, fellows = candidates(texts.select("own", "first", "second"))
+    met, fellows = candidates(texts.select("own", "first", "second"), grouped=True)
     edges = near_sets.link_texts(docs, texts, met, fellows, width, similarity)
     classes = rooted(texts.select("own", "first_id"), stars(edges), "own")
     least = classes.groupBy("root").agg(F.min("first_id").alias("least_id"))

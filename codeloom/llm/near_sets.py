@@ -117,6 +117,21 @@ def pivoted(keys: DataFrame) -> DataFrame:
     return cut(keys.join(pivots, "bucket").filter("own <> pivot").select("own", "pivot").distinct())
 
 
+def grouped(keys: DataFrame) -> DataFrame:
+    """Distinct (own, pivot) of the groups in ``keys`` (own, half, bucket): buckets of one half that share members are one.
+
+    The pivot is the group's smallest member, so each has at most one a half.
+    """
+    pivots = keys.groupBy("half", "bucket").agg(F.min("own").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = cut(keys.join(pivots, ["half", "bucket"]).groupBy("half", "own").agg(F.collect_set("pivot").alias("pivots")))
+    least = rows.withColumn("first", F.array_min("pivots"))
+    links = least.select("half", "first", F.explode("pivots").alias("pivot")).filter("pivot <> first").distinct()
+    roots = stars(links.select(F.xxhash64("half", "first").alias("a"), F.xxhash64("half", "pivot").alias("b")))
+    named = cut(rooted(least.select("own", F.xxhash64("half", "first").alias("node")), roots, "node"))
+    pivots = named.groupBy("root").agg(F.min("own").alias("pivot"))
+    return cut(named.join(pivots, "root").filter("own <> pivot").select("own", "pivot").distinct())
+
+
 def fellows(keys: DataFrame) -> DataFrame:
     """(own, fellow, weight): each member of a bucket in ``keys`` (own, bucket) with the smallest of its part of it.
 

@@ -187,6 +187,28 @@ def test_tables_are_pairs_of_half_keys(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("light", [10_000, 2])
+def test_tables_that_share_members_have_one_pivot(spark, light, monkeypatch):
+    """Near copies have few pivots, at most one a half key; texts that share a table have one in common, and groups don't run into others."""
+    monkeypatch.setattr(minhash, "LIGHT", light)
+    r = np.random.default_rng(8)
+    words, other = r.integers(0, 1 << 62, (2, 300)).astype(np.uint64)
+    sets = {k: np.unique(np.r_[r.choice(words if k < 60 else other, 280, False), r.integers(0, 1 << 62, 20).astype(np.uint64)]) for k in range(80)}
+    keys = {k: minhash.half_keys(s) for k, s in sets.items()}
+    df = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in keys.items()], "own long, first array<long>, second array<int>").repartition(5)
+    single, grouped = (rows_of(minhash.candidates(df, g)[0]) for g in (False, True))
+    tables = {}
+    for k, (a, b) in keys.items():
+        for i, x in enumerate(a.tolist()):
+            for j, y in enumerate(b.tolist()):
+                tables.setdefault((i, x, j, y), []).append(k)
+    pivots = {k: {k} | {q for p, q in grouped if p == k} for k in sets}
+    assert all(pivots[m[0]] & pivots[k] for m in tables.values() for k in m[1:])
+    assert all((p < 60) == (q < 60) and q < p for p, q in grouped)
+    most = max(sum(p == k for p, _ in grouped) for k in sets)
+    assert most <= minhash.HALVES and len(grouped) < 0.5 * len(single)
+
+
 def test_recall_of_tables():
     """Of pairs at similarity 0.8 (their share of equal half keys is that of the formula) hardly any shares no table."""
     r = np.random.default_rng(8)
