@@ -4,10 +4,11 @@ The distance of an access is the number of other keys that its log has seen sinc
 entries holds it if the distance is below c. It is the number of accesses between, less those that repeat a key seen
 between, that is less the accesses k before i whose own previous access is after p, i's previous one.
 
-Those are counted over a grid: each log's positions fall into ``GRID`` equal stretches, and so do the previous positions. Cells
-that are before in one way and after in the other count as wholes (at most ``GRID`` squared numbers a log); what
-lies in the same stretch of positions, or of previous positions, is counted there, by order statistics on one stretch at a time. So no
-task holds more than a ``GRID``-th of a log, and positions come from ranks within a day and counts of days.
+Those are counted over a grid: each log's positions fall into at most ``GRID`` equal stretches of ``STRETCH`` or more, and so do the previous
+positions. Cells that are before in one way and after in the other count as wholes (at most ``GRID`` squared numbers a log); what
+lies in the same stretch of positions, or of previous positions, is counted there, by order statistics. So no
+task holds more than a ``GRID``-th of a log, or ``STRETCH`` of it, and positions come from ranks within a day and counts of days. Logs of
+at most ``STRETCH`` accesses are one stretch, have no cells, and are counted many at once as they stream by.
 
 Nulls: rows without a log, key or time are left out. Ties of time are in order of event_id. A first access has no distance and is found in the last
 tier. Repeated event ids are accesses of their own where times differ, else in any order. Empty tables give empty results.
@@ -15,15 +16,18 @@ tier. Repeated event ids are accesses of their own where times differ, else in a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.runtime.scratch import cut, small
 
-GRID = 512
+GRID, STRETCH = 512, 65_536
 BROADCAST_ROWS = 100_000
 
 
@@ -42,16 +46,47 @@ def greater_before(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within_positions(t: pa.Table) -> pa.Table:
-    """In one stretch of positions: accesses before with a later previous position."""
-    t = t.sort_by("position")
-    return pa.table({"log": t["log"], "position": t["position"], "more": greater_before(t["previous"].to_numpy())})
+def _begins(b: pa.RecordBatch) -> np.ndarray:
+    """Whether a row is of another (log, stretch) than the one before; the first is."""
+    out = np.ones(b.num_rows, bool)
+    out[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in b.columns[:2]], axis=0)
+    return out
+
+
+def _more(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    b = pa.concat_batches(batches)
+    values = b.column(3).to_numpy()
+    values = values - values.min()
+    # Of later stretches all values are higher, so none of them is below one of a stretch before.
+    more = greater_before(np.cumsum(_begins(b)) * (values.max() + 1) + values)
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(more)], ["log", "position", "more"])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (log, stretch, position, value), sorted by log, stretch: how many before in the stretch have a greater value.
+
+    All whole stretches of a batch are counted together; the rows of its last one wait for the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != b.column(k)[0] for k in (0, 1)):
+            yield _more(held)
+            held = []
+        cuts = np.flatnonzero(_begins(b)[1:]) + 1
+        if len(cuts):
+            yield _more([*held, b.slice(0, cuts[-1])])
+            held = []
+        held.append(b.slice(cuts[-1] if len(cuts) else 0))
+    if held:
+        yield _more(held)
 
 
-def _within_previous(t: pa.Table) -> pa.Table:
-    """In one stretch of previous positions: accesses of earlier stretches with a later previous position."""
-    t = t.sort_by([("previous", "descending")])
-    return pa.table({"log": t["log"], "position": t["position"], "more": greater_before(-t["at"].to_numpy())})
+def _counted(rows: DataFrame, stretch: str, order: Column, value: Column) -> DataFrame:
+    """(log, position, more): in one ``stretch``, how many of the accesses before in this order have a greater value."""
+    sorted_ = rows.repartition("log", stretch).sortWithinPartitions("log", stretch, order)
+    return sorted_.select("log", stretch, "position", value.alias("value")).mapInArrow(_within, "log string, position long, more long")
 
 
 def _cells(t: pa.Table) -> pa.Table:
@@ -78,14 +113,17 @@ def distances(accesses: DataFrame) -> DataFrame:
     last = last.select("log", "key", "day", F.lag("last").over(Window.partitionBy("log", "key").orderBy("day")).alias("earlier"))
     mine = F.lag("position").over(Window.partitionBy("log", "key", "day").orderBy("position"))
     rows = cut(rows.withColumn("mine", mine).join(last, ["log", "key", "day"]).select("log", "event_id", "position", F.coalesce("mine", "earlier").alias("previous"), "size"))
-    width = F.greatest(F.ceil(F.col("size") / GRID), F.lit(1))
+    width = F.greatest(F.ceil(F.col("size") / GRID), F.lit(STRETCH))
     stretch: dict[str, Column] = {n: F.floor(F.col(c) / width).cast("long").alias(n) for n, c in (("at", "position"), ("of", "previous"))}
-    again = cut(rows.filter("previous is not null").select("log", "position", "previous", *stretch.values()))
-    cells = again.groupBy("log", "at", "of").agg(F.count("*").alias("n"))
-    wholes = small(cut(cells.groupBy("log").applyInArrow(_cells, "log string, at long, of long, wholes long")), BROADCAST_ROWS)
-    shape = "log string, position long, more long"
-    parts = again.groupBy("log", "at").applyInArrow(_within_positions, shape).union(again.groupBy("log", "of").applyInArrow(_within_previous, shape))
-    parts = parts.union(again.join(wholes, ["log", "at", "of"]).select("log", "position", "wholes"))
+    again = rows.filter("previous is not null").select("log", "position", "previous", *stretch.values(), (F.col("size") > width).alias("wide"))
+    # Accesses before in the same stretch with a later previous position; of those in other stretches, see _cells and the last line.
+    parts = _counted(again, "at", F.col("position"), F.col("previous"))
+    wide = cut(again.filter("wide").drop("wide"))
+    if not wide.isEmpty():
+        cells = wide.groupBy("log", "at", "of").agg(F.count("*").alias("n"))
+        wholes = small(cut(cells.groupBy("log").applyInArrow(_cells, "log string, at long, of long, wholes long")), BROADCAST_ROWS)
+        parts = parts.union(_counted(wide, "of", F.desc("previous"), -F.col("at")))
+        parts = parts.union(wide.join(wholes, ["log", "at", "of"]).select("log", "position", "wholes"))
     repeats = parts.groupBy("log", "position").agg(F.sum("more").alias("repeats"))
     out = rows.join(repeats, ["log", "position"], "left")
     return out.select("log", "event_id", (F.col("position") - F.col("previous") - 1 - F.col("repeats")).alias("distance"))

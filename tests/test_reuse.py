@@ -38,6 +38,29 @@ def test_distances(spark, grid, monkeypatch):
     assert reuse.distances(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("grid", "stretch"), [(512, 1), (7, 1), (1, 1), (7, 20), (512, 1000)])
+def test_stretches(spark, grid, stretch, monkeypatch):
+    """Many logs in one task, wide ones among them, in batches smaller than a stretch."""
+    monkeypatch.setattr(reuse, "GRID", grid)
+    monkeypatch.setattr(reuse, "STRETCH", stretch)
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "b", f"l{r.randrange(60)}"]), START + datetime.timedelta(hours=r.randrange(120)), i, r.choice("pqrstuvwxyz")) for i in range(500)]
+    df = spark.createDataFrame(rows, "log string, ts timestamp, event_id long, key string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(((x["log"], x["event_id"], x["distance"]) for x in reuse.distances(df).collect()), key=lambda x: x[1]) == by_hand(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_short_logs_are_no_groups_of_their_own(spark):
+    """Before, each access of a short log was a group, and each log a grid."""
+    rows = [(f"l{k % 50}", START + datetime.timedelta(hours=k), k, "pqr"[k % 3]) for k in range(400)]
+    found = reuse.distances(spark.createDataFrame(rows, "log string, ts timestamp, event_id long, key string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1 and found.count() == 400
+
+
 def test_greater_before():
     r = np.random.default_rng(2)
     for n in (0, 1, 2, 50, 300):
