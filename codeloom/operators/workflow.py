@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.operators import graphs
-from codeloom.runtime.scratch import cut, small
+from codeloom.runtime.scratch import cut, renewed, small
 
 FINISHED = ("completed", "skipped")
 STALL_SECONDS = 3600
@@ -21,6 +21,8 @@ FEW_EDGES = 5_000
 #: Edges on cycles that each task may hold.
 WALKED_EDGES = 100_000
 ARROW = " -> "
+#: Rounds between which an iteration's table is stored anew.
+RENEW = 5
 
 
 def finished(results: DataFrame) -> DataFrame:
@@ -129,15 +131,23 @@ def _peeled(nodes: list[str], links: list[tuple[str, str]]) -> list[tuple[str, i
 def closure(spark, edges: DataFrame) -> DataFrame:
     """(root, node) for all nodes that a node depends on, directly or not; edges are (node, depends_on).
 
-    Pairs of twice the length are added in each round, so the rounds grow with the logarithm of the longest path.
+    Each round adds the pairs at up to twice the distance: those at the largest distance so far, with all that their ends
+    reach. So the rounds grow with the logarithm of the longest path, a pair is found once for each node half way on its shortest paths,
+    and is written once.
     """
-    reach = cut(_links(edges, "node", "depends_on").select(F.col("a").alias("root"), F.col("b").alias("node")))
+    links = _links(edges, "node", "depends_on")
+    parts, most = [cut(links.select(F.col("a").alias("root"), F.col("b").alias("node"), F.lit(1).alias("distance")))], 1
     while True:
-        further = reach.join(reach.select(F.col("root").alias("node"), F.col("node").alias("end")), "node").select("root", F.col("end").alias("node"))
-        new = cut(further.distinct().join(reach, ["root", "node"], "left_anti"))
+        reach = reduce(DataFrame.union, parts)
+        far = parts[-1].filter(F.col("distance") == most).select("root", F.col("node").alias("through"))
+        ahead = reach.select(F.col("root").alias("through"), "node", "distance")
+        further = far.join(ahead, "through").groupBy("root", "node").agg((F.min("distance") + most).alias("distance"))
+        further = further.join(reach.select("root", "node"), ["root", "node"], "left_anti")
+        new = renewed(further) if len(parts) % RENEW == 0 else cut(further)
         if new.isEmpty():
-            return reach
-        reach = cut(reach.union(new))
+            return reach.select("root", "node")
+        parts.append(new)
+        most *= 2
 
 
 def cycles(spark, edges: DataFrame, few: int = FEW_EDGES, walked: int = WALKED_EDGES) -> DataFrame:

@@ -58,6 +58,31 @@ def test_long_cycles_take_few_jobs(spark):
         assert names == [f"{x[0]}-{(k + i) % 1001:04}" for i in range(1002)]
 
 
+def _cuts(monkeypatch):
+    """The tables that rounds store."""
+    stored, cut = [], workflow.cut
+    monkeypatch.setattr(workflow, "cut", lambda df: (stored.append(cut(df)), stored[-1])[1])
+    return stored
+
+
+def test_closure_stores_a_pair_once(spark, monkeypatch):
+    """A path of 17 nodes: before, each round stored what was reached again."""
+    stored = _cuts(monkeypatch)
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(16)], "node string, depends_on string")
+    assert workflow.closure(spark, edges).count() == sum(x.count() for x in stored) == 16 * 17 // 2
+
+
+def test_closure_of_random_graphs(spark):
+    r = random.Random(9)
+    for nodes, links in ((12, 14), (30, 60), (40, 42)):
+        rows = sorted({(f"p{r.randrange(nodes)}", f"p{r.randrange(nodes)}") for _ in range(links)})
+        want = set(rows)
+        while more := {(a, d) for a, b in want for c, d in rows if b == c} - want:
+            want |= more
+        got = workflow.closure(spark, spark.createDataFrame(rows, "node string, depends_on string")).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_ways_of_walking_agree(spark):
     """On the driver, in tasks and in rounds, with ties and names that begin others."""
     r = random.Random(5)
