@@ -23,6 +23,8 @@ WALKED_EDGES = 100_000
 ARROW = " -> "
 #: Rounds between which an iteration's table is stored anew.
 RENEW = 5
+#: Above all levels: that of nodes which are never ready.
+NEVER = 2**31 - 1
 
 
 def finished(results: DataFrame) -> DataFrame:
@@ -91,22 +93,24 @@ def levels(spark, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     cycle, and those that need one, are never ready and left out. Levels are peeled one by one, however many
     there are: on the driver for at most ``few`` edges, else in rounds on the cluster.
     """
-    links = _links(edges, "node", "requires")
-    nodes = edges.select(F.col("node").cast("string").alias("node")).union(edges.select(F.col("requires").cast("string"))).dropna().distinct()
+    links = cut(_links(edges, "node", "requires"))
+    nodes = edges.select(F.col("node").cast("string").alias("node")).union(edges.select(F.col("requires").cast("string"))).dropna()
     own = _few(links, few)
-    if own is not None and (names := nodes.limit(2 * few + 1).collect()) and len(names) <= 2 * few:
+    if own is not None and (names := nodes.distinct().limit(2 * few + 1).collect()) and len(names) <= 2 * few:
         return spark.createDataFrame(_peeled([r["node"] for r in names], own), "node string, level int")
-    links, left, out, level = cut(links), cut(nodes), None, 0
-    while True:
-        level += 1
-        ready = cut(left.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+    found, level, n = [nodes.withColumn("level", F.lit(1))], 1, links.count()
+    while n:
+        # A link is met in the round in which the node that it requires waits for none; its own node is a level higher at least.
+        waiting = links.select(F.col("a").alias("b")).distinct().withColumn("waits", F.lit(True))
+        both = links.join(waiting, "b", "left")
+        both, level = renewed(both) if level % RENEW == 0 else cut(both), level + 1
+        found.append(both.filter("waits is null").select(F.col("a").alias("node"), F.lit(level).alias("level")))
+        links = both.filter("waits").select("a", "b")
+        before, n = n, links.count()
+        if n == before:
             break
-        done = ready.withColumn("level", F.lit(level))
-        out = done if out is None else out.union(done)
-        left = cut(left.join(ready, "node", "left_anti"))
-        links = cut(links.join(ready.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
-    return out if out is not None else spark.createDataFrame([], "node string, level int")
+    found.append(links.select(F.col("a").alias("node"), F.lit(NEVER).alias("level")))
+    return reduce(DataFrame.union, found).groupBy("node").agg(F.max("level").alias("level")).filter(F.col("level") < NEVER)
 
 
 def _peeled(nodes: list[str], links: list[tuple[str, str]]) -> list[tuple[str, int]]:

@@ -83,6 +83,15 @@ def test_closure_of_random_graphs(spark):
         assert {tuple(x) for x in got} == want and len(got) == len(want)
 
 
+def test_levels_store_links_only(spark, monkeypatch):
+    """A table a round, of the links that are left: before, three, of nodes and links."""
+    stored = _cuts(monkeypatch)
+    rows = [(f"{k}-{n}", f"{k}-{n - 1}" if n else None) for k in range(20) for n in range(4)] + [("x", "y"), ("y", "x"), ("z", "x"), ("z", "1-3"), ("w", "0-0"), ("w", "0-2")]
+    got = {tuple(x) for x in workflow.levels(spark, spark.createDataFrame(rows, "node string, requires string"), 0).collect()}
+    assert got == {(f"{k}-{n}", n + 1) for k in range(20) for n in range(4)} | {("w", 4)}
+    assert len(stored) <= 5 and sum(x.count() for x in stored) <= 66 + 66 + 45 + 25 + 4
+
+
 def test_ways_of_walking_agree(spark):
     """On the driver, in tasks and in rounds, with ties and names that begin others."""
     r = random.Random(5)
