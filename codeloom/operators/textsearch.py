@@ -5,6 +5,9 @@ the term, and the highest score that the term gives any of them. A search adds t
 block, without reading postings; scores the ``FIRST`` blocks of the highest sums; and of the others scores only those whose sum
 reaches the k-th score found. The result is that of scoring all.
 
+The index takes one shuffle, of the texts by block: a block's postings are made where its texts meet, and stored in order of terms
+as they lie, so that searches read the pages of their terms only.
+
 Terms are runs of letters a-z and digits, A-Z lower-cased. Scores are BM25, rounded to six decimals, equal ones in order
 of id.
 
@@ -15,36 +18,87 @@ where their texts differ; null ids are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.runtime.scratch import Stored
 
 K1, B = 1.2, 0.75
 BLOCK, FIRST = 1024, 8
-
-
-def terms(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
+TERM = re.compile(rb"[a-z0-9]+")
+POSTINGS = "term string, block long, n long, most double, postings array<struct<doc_id:bigint,copy:bigint,part:double>>"
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = pc.fill_null(pc.count_substring_regex(b.column(2), "[A-Za-z0-9]+"), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "copy", "length"])
+
+
+def _block(block: int, docs: list[tuple[int, int, int]], found: list[Counter], average: float) -> pa.RecordBatch:
+    """The index rows of a block: ``docs`` are (doc_id, copy, length), ``found`` the terms of each and how often it has them."""
+    ids, copies, lengths = np.array(docs, np.int64).T
+    terms = pa.array(list(chain.from_iterable(found)), pa.binary()).dictionary_encode()
+    tf = np.fromiter(chain.from_iterable(c.values() for c in found), np.int64, len(terms))
+    at = np.repeat(np.arange(len(docs)), [len(c) for c in found])
+    codes = terms.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    # The part of the score that the term's rarity doesn't change.
+    part = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / average)))[order]
+    n = np.bincount(codes)
+    starts = np.cumsum(n) - n
+    postings = pa.StructArray.from_arrays([pa.array(ids[at[order]]), pa.array(copies[at[order]]), pa.array(part)], ["doc_id", "copy", "part"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(part)], pa.int32()), postings)
+    columns = [terms.dictionary.cast(pa.string()), pa.array(np.full(len(n), block)), pa.array(n), pa.array(np.maximum.reduceat(part, starts)), lists]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "most", "postings"])
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], average: float) -> Iterator[pa.RecordBatch]:
+    """The index rows of texts (block, doc_id, copy, text) sorted by these; a row like the one before is no document of its own."""
+    now, docs, found = None, [], []
+    for b in batches:
+        texts = b.column(3).cast(pa.binary())
+        for block, i, copy, text in zip(*(b.column(k).to_pylist() for k in range(3)), texts):
+            if block != now:
+                if any(found):
+                    yield _block(now, docs, found, average)
+                now, docs, found = block, [], []
+            if docs and docs[-1][:2] == (i, copy):
+                continue
+            words = TERM.findall((text.as_py() or b"").lower())
+            docs.append((i, copy, len(words)))
+            found.append(Counter(words))
+    if any(found):
+        yield _block(now, docs, found, average)
+
+
+def lists(own: DataFrame, blocks: int, average: float) -> DataFrame:
+    """The rows of the index of ``own`` (doc_id, copy, text); ``average`` is the mean number of terms."""
+    at = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(blocks)).cast("long").alias("block")
+    dealt = own.select(at, "doc_id", "copy", "text").repartition("block").sortWithinPartitions("block", "doc_id", "copy")
+    return dealt.mapInArrow(partial(_indexed, average=average), POSTINGS)
 
 
 class Index:
     """The stored index of ``docs`` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, block: int = BLOCK):
-        own = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("copy"), terms(F.col("text")).alias("terms")).dropDuplicates(["doc_id", "copy"])
-        counted = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("total")).first()
+        own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+        lengths = own.mapInArrow(_lengths, "doc_id long, copy long, length long").distinct()
+        counted = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
         self.documents, total = counted["n"], counted["total"]
         self.blocks = max(1, -(-self.documents // block))
         average = max(total / self.documents, 1e-9) if self.documents else 1.0
-        at = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(self.blocks)).alias("block")
-        tf = own.select("doc_id", "copy", at, F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc_id", "copy", "block", "length", "term").agg(F.count("*").alias("tf"))
-        # The part of the score that the term's rarity doesn't change.
-        part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
-        rows = tf.select("term", "block", F.struct("doc_id", "copy", part.alias("part")).alias("p"))
-        lists = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("p.part").alias("most"), F.collect_list("p").alias("postings"))
-        self._stored = Stored(lists.repartitionByRange("term").sortWithinPartitions("term", "block"))
+        self._stored = Stored(lists(own, self.blocks, average).sortWithinPartitions("term", "block"))
         self.postings = self._stored.df
 
     def free(self) -> None:

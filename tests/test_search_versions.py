@@ -57,6 +57,23 @@ def test_search_edges(spark):
     assert [x["doc_id"] for x in found.collect()] == [1, 1]
 
 
+def test_index_takes_one_shuffle(spark):
+    """Only texts are dealt, once, however batches lie; before, each posting was shuffled four times."""
+    rows = [(k % 50, " ".join(["One", "two"] * (k % 3) + [f"w{k % 7}", "é1_b"])) for k in range(60)] + [(70, None), (71, "")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("copy"), "text").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        lists = textsearch.lists(own, 4, 5.0)
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(block") == 1 and "range" not in plan and "Aggregate" not in plan
+        got = {(x["term"], p["doc_id"], p["copy"]) for x in lists.collect() for p in x["postings"]}
+        assert all(x["n"] == len(x["postings"]) and x["most"] == max(p["part"] for p in x["postings"]) for x in lists.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    copies = {(x["doc_id"], x["text"]): x["copy"] for x in own.collect()}
+    assert got == {(w, i, copies[i, t]) for i, t in rows for w in re.findall("[a-z0-9]+", (t or "").lower())}
+
+
 OLD = {"a.py": "x = 1", "src/m.py": "def f():\n    pass", "src/deep/er/n.py": "class A: pass", "src/gone.py": "import os", "same/one.py": "1", "same/two.py": "1", "was/dir/f.py": "2", "copy1.py": "c", "copy2.py": "c"}
 NEW = {"a.py": "x = 1", "src/m.py": "def g():\n    pass", "src/deep/er/n.py": "class A: pass", "lib/gone.py": "import os", "same/one.py": "1", "same/two.py": "1", "was/dir": "2", "copy3.py": "c", "new.py": "def n(): pass"}
 
