@@ -60,15 +60,23 @@ def inputs(steps: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def conditions(steps: DataFrame) -> DataFrame:
-    """Whether a step runs under its condition, given its required step's status."""
-    required = steps.select("workflow_id", F.col("step").alias("requires"), F.col("status").alias("required_status"))
-    joined = steps.join(required, ["workflow_id", "requires"], "left")
-    ok = (
-        F.when(F.col("condition") == "on_success", F.coalesce(F.bool_and(F.col("required_status") == "completed"), F.lit(True)))
-        .when(F.col("condition") == "on_failure", F.coalesce(F.bool_or(F.col("required_status") == "failed"), F.lit(False)))
-        .otherwise(F.lit(True))
-    )
-    return joined.groupBy("workflow_id", "step", "condition").agg(ok.alias("runs"))
+    """Whether a step runs under its condition, given its required step's status.
+
+    The steps are read once. Each asks at the step that it requires, where its condition depends on one, and tells its
+    own status there, unless it has completed: only 1 (not completed) and 2 (failed) change an answer.
+    """
+    c, status = F.col("condition"), F.col("status")
+    asks = F.coalesce(c.isin("on_success", "on_failure") & F.col("requires").isNotNull(), F.lit(False))
+    asked = F.struct(F.when(asks, F.col("requires")).otherwise(F.col("step")).alias("at"), "step", "condition", F.when(asks, 0).otherwise(-1).alias("told"))
+    told = F.struct(F.col("step").alias("at"), F.lit(None).alias("step"), F.lit(None).alias("condition"), F.when(status == "failed", 2).otherwise(1).alias("told"))
+    # Unknown steps and workflows are nobody's requirement.
+    tells = (status != "completed") & F.col("workflow_id").isNotNull() & F.col("step").isNotNull()
+    rows = steps.select("workflow_id", F.inline(F.when(tells, F.array(asked, told)).otherwise(F.array(asked))))
+    worst = F.max("told").over(Window.partitionBy("workflow_id", "at"))
+    heard = rows.withColumn("worst", worst).filter("told <= 0")
+    hit = (F.col("told") == 0) & F.when(c == "on_success", F.col("worst") >= 1).otherwise(F.col("worst") == 2)
+    runs = F.when(c == "on_failure", F.bool_or(hit)).otherwise(~F.bool_or(hit))
+    return heard.groupBy("workflow_id", "step", "condition").agg(runs.alias("runs"))
 
 
 def final_status() -> Column:

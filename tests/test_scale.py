@@ -123,3 +123,30 @@ def test_neighbors_are_exact_where_the_index_misses(spark, monkeypatch):
     want = {tuple(x) for x in vectors.exact(rows, asked).collect()}
     near = {tuple(x) for x in vectors.search(rows, vectors.build(rows, index), index, asked).collect()}
     assert near != want and {tuple(x) for x in vectors.neighbors(rows, asked).collect()} == want
+
+
+def test_conditions_read_steps_once(spark, tmp_path):
+    """Before, steps were aggregated for both sides of a join, and one task held both, two sorts and a third table."""
+    d = str(tmp_path)
+    line = spark.range(60).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4 + 1).cast("int").alias("l_linenumber"), F.substring(F.lit("RAN"), (F.col("id") % 3 + 1).cast("int"), F.lit(1)).alias("l_returnflag"))
+    line.withColumns({"l_linestatus": F.lit("F"), "l_shipdate": F.current_timestamp(), "l_quantity": F.lit(1.0)}).write.parquet(f"{d}/lineitem.parquet")
+    got = workflow.conditions(v.steps(spark, d).withColumn("condition", F.lit("on_success")))
+    assert got.count() == 60 and _plan(got).count("FileScan") == 1 and "Join" not in _plan(got)
+
+
+def test_conditions_by_hand(spark):
+    """Several requirements, unknown ones, nulls, repeated steps, one step that all require."""
+    r = random.Random(11)
+    some = lambda *of: r.choice(of)
+    rows = [(some(1, 2, 3, None), some(*range(12), None), some(*range(14), None), some("completed", "completed", "failed", "skipped", None), some("on_success", "on_failure", "always", "other", None)) for _ in range(700)]
+    rows += [(9, k, 0, some("completed", "failed"), some("on_success", "on_failure")) for k in range(60)]
+    rows += [(8, k, k - 1 if k else None, some("completed", "failed", None), some("on_success", "on_failure")) for k in range(60)]
+    want = {}
+    for w, step, requires, _, c in rows:
+        found = [s for a, b, _, s, _ in rows if w is not None and requires is not None and (a, b) == (w, requires) and s]
+        want.setdefault((w, step, c), []).extend(found)
+    want = {(*k, all(s == "completed" for s in v) if k[2] == "on_success" else "failed" in v if k[2] == "on_failure" else True) for k, v in want.items()}
+    steps = spark.createDataFrame(rows, "workflow_id long, step int, requires int, status string, condition string")
+    got = workflow.conditions(steps)
+    assert got.schema.simpleString() == "struct<workflow_id:bigint,step:int,condition:string,runs:boolean>"
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
